@@ -29,7 +29,7 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Code points with the White_Space property.
 WHITE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Bounds the memory of a worker's piece cache; when full it starts afresh.
-CACHE = 400_000
+CACHE = 1_000_000
 
 # States after a character: FREE; OPEN: a run of others, or a blank that the next run takes in; ONE, TWO: letters left of a contraction.
 FREE, OPEN, ONE, TWO = range(4)
@@ -130,51 +130,234 @@ def boundaries(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return start | ended | is_first
 
 
-class Codec:
+@functools.cache
+def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    up = lambda b: np.concatenate([[np.uint64(1)], np.cumprod(np.full((1 << bits) - 1, b, np.uint64))])
+    return up(base), up(pow(base, -1, 1 << 64))
+
+
+def piece_hashes(points: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit polynomial hashes of each piece between ``edges``."""
+    bits, hashes = max(22, int(len(points)).bit_length()), []
+    for base in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95):
+        up, down = _powers(base, bits)
+        total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points.astype(np.uint64) + np.uint64(0x632BE5AB)) * up[: len(points)], out=total[1:])
+        hashes.append((total[edges[1:]] - total[edges[:-1]]) * down[edges[:-1]])
+    return hashes[0], hashes[1]
+
+
+def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices begin, begin + 1, ... of each span, end to end."""
+    end = np.cumsum(size)
+    return np.repeat(begin - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
+class PairMerger:
+    """Merges the symbols of many pieces side by side: in each step every piece merges its lowest-ranked pair, the leftmost among equals.
+
+    Pairs are looked up in an open-addressing table held in arrays. Pieces without a pair left drop out, so a step costs what the
+    unfinished ones hold; very long pieces go one at a time through a heap instead, in n log n steps.
+    """
+
+    NONE = np.iinfo(np.int64).max
+    LONG = 96
+
+    def __init__(self, left, right, rank, merged):
+        keys = (np.asarray(left, np.uint64) << np.uint64(32)) | np.asarray(right, np.uint64)
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, np.uint64(2**64 - 1))
+        self.ranks = np.full(1 << self.bits, self.NONE)
+        self.merged = np.zeros(1 << self.bits, np.int64)
+        todo, slots = np.arange(len(keys)), self._slots(keys)
+        rank, merged = np.asarray(rank, np.int64), np.asarray(merged, np.int64)
+        while len(todo):
+            free = np.flatnonzero(self.keys[slots] == np.uint64(2**64 - 1))
+            _, first = np.unique(slots[free], return_index=True)
+            won = free[first]
+            self.keys[slots[won]], self.ranks[slots[won]], self.merged[slots[won]] = keys[todo[won]], rank[todo[won]], merged[todo[won]]
+            rest = np.ones(len(todo), bool)
+            rest[won] = False
+            todo, slots = todo[rest], (slots[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slots(self, keys):
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, left, right):
+        """(rank or NONE, merged symbol) of each pair."""
+        keys = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+        slots = self._slots(keys)
+        seen = self.keys[slots]
+        at = np.flatnonzero((seen != keys) & (seen != np.uint64(2**64 - 1)))
+        while len(at):
+            slots[at] = (slots[at] + 1) & ((1 << self.bits) - 1)
+            seen = self.keys[slots[at]]
+            at = at[(seen != keys[at]) & (seen != np.uint64(2**64 - 1))]
+        return self.ranks[slots], self.merged[slots]
+
+    def merge(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Initial symbols of pieces laid end to end (none empty) -> their ids end to end, and how many each has."""
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        got_owner, got = [], []
+        long = np.flatnonzero(sizes > self.LONG)
+        if len(long):
+            begin = np.cumsum(sizes) - sizes
+            for i in long.tolist():
+                got.append(self._one(symbols[begin[i] : begin[i] + sizes[i]]))
+                got_owner.append(np.full(len(got[-1]), i))
+            keep = np.repeat(sizes <= self.LONG, sizes)
+            symbols, owner = symbols[keep], owner[keep]
+        rank, merged = np.full(len(symbols), self.NONE), np.zeros(len(symbols), np.int64)
+        joined = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[joined], merged[joined] = self.find(symbols[joined], symbols[joined + 1])
+        symbols = symbols.astype(np.int64)
+        while len(symbols):
+            begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            best = np.minimum.reduceat(rank, begin)
+            size = np.diff(np.append(begin, len(symbols)))
+            done = best == self.NONE
+            if done.any():
+                keep = np.repeat(~done, size)
+                got.append(symbols[~keep])
+                got_owner.append(owner[~keep])
+                symbols, owner, rank, merged = symbols[keep], owner[keep], rank[keep], merged[keep]
+                best, size = best[~done], size[~done]
+                if not len(symbols):
+                    break
+            at = np.flatnonzero(rank == np.repeat(best, size))
+            own = owner[at]
+            at = at[np.concatenate([[True], own[1:] != own[:-1]])]
+            symbols[at] = merged[at]
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            moved = at - np.arange(len(at))
+            symbols, owner, rank, merged = symbols[keep], owner[keep], rank[keep], merged[keep]
+            rank[moved] = self.NONE
+            near = np.concatenate([moved, moved[moved > 0] - 1])
+            near = near[near + 1 < len(symbols)]
+            near = near[owner[near] == owner[near + 1]]
+            rank[near], merged[near] = self.find(symbols[near], symbols[near + 1])
+        if not got:
+            return np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
+        owner = np.concatenate(got_owner)
+        return np.concatenate(got)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(sizes))
+
+    def _one(self, symbols: np.ndarray) -> np.ndarray:
+        n = len(symbols)
+        sym, after, before, alive = symbols.astype(np.int64).tolist(), list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+        rank, merged = self.find(symbols[:-1].astype(np.int64), symbols[1:].astype(np.int64))
+        heap = [(r, i, sym[i], sym[i + 1], m) for i, (r, m) in enumerate(zip(rank.tolist(), merged.tolist(), strict=True)) if r != self.NONE]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, m = heapq.heappop(heap)
+            j = after[i] if alive[i] else n
+            if j >= n or sym[i] != a or sym[j] != b:
+                continue
+            sym[i], alive[j], after[i] = m, False, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for x in (i, before[i]):
+                if x >= 0 and after[x] < n:
+                    r, y = self.find(np.array([sym[x]]), np.array([sym[after[x]]]))
+                    if r[0] != self.NONE:
+                        heapq.heappush(heap, (int(r[0]), x, sym[x], sym[after[x]], int(y[0])))
+        return np.array([s for s, ok in zip(sym, alive, strict=True) if ok], np.int64)
+
+
+class PieceCache:
+    """Ids by piece, held in arrays sorted by the piece's first hash; the second hash guards the first.
+
+    At most ``CACHE`` pieces are held; when full it starts afresh. ``whole`` names pieces that are one id whatever the merges say.
+    """
+
+    def __init__(self, merger: PairMerger, initial: np.ndarray, whole: dict[bytes, int] | None = None):
+        self.merger, self.initial, self.whole = merger, initial, whole
+        self.forget()
+
+    def forget(self) -> None:
+        self.key, self.guard = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _merged(self, text: str, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for the pieces from ``begin`` to ``end``."""
+        raw = text.encode()
+        at = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
+        begin, size = at[begin], at[end] - at[begin]
+        symbols = self.initial[np.frombuffer(raw, np.uint8)[spans(begin, size)]]
+        if self.whole:
+            one = np.array([self.whole.get(raw[i : i + n], -1) for i, n in zip(begin.tolist(), size.tolist(), strict=True)], np.int64)
+            first = np.cumsum(size) - size
+            keep = np.repeat(one < 0, size)
+            keep[first[one >= 0]] = True
+            symbols[first[one >= 0]] = one[one >= 0]
+            symbols, size = symbols[keep], np.where(one < 0, size, 1)
+        return self.merger.merge(symbols, size)
+
+    def look_up(self, text: str, points: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first id, number of ids) in ``self.ids`` for each piece between ``edges``."""
+        if len(self.key) > CACHE:
+            self.forget()
+        key, guard = piece_hashes(points, edges)
+        key, first, same = np.unique(key, return_index=True, return_inverse=True)
+        if (guard != guard[first][same]).any():  # two kinds of piece share a hash: each piece for itself, and nothing is kept
+            ids, size = self._merged(text, points, edges[:-1], edges[1:])
+            self.forget()
+            self.ids = ids.astype(np.uint32)
+            return np.cumsum(size) - size, size
+        guard = guard[first]
+        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+        hit = (self.key[at] == key) & (self.guard[at] == guard) if len(self.key) else np.zeros(len(key), bool)
+        new = np.flatnonzero(~hit)
+        begin, size = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        begin[hit], size[hit] = self.begin[at[hit]], self.size[at[hit]]
+        if len(new):
+            ids, size[new] = self._merged(text, points, edges[first[new]], edges[first[new] + 1])
+            begin[new] = len(self.ids) + np.cumsum(size[new]) - size[new]
+            self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+            fresh = new[self.key[at[new]] != key[new]] if len(self.key) else new
+            every = np.concatenate([self.key, key[fresh]])
+            order = np.argsort(every, kind="stable")
+            self.key = every[order]
+            self.guard = np.concatenate([self.guard, guard[fresh]])[order]
+            self.begin, self.size = np.concatenate([self.begin, begin[fresh]])[order], np.concatenate([self.size, size[fresh]])[order]
+        return begin[same], size[same]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        for a, b in chunks(texts):
+            part = texts[a:b]
+            lengths = np.array([len(t) for t in part], np.int64)
+            if not lengths.sum():
+                out += [b""] * len(part)
+                continue
+            text = "".join(part)
+            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            begins = np.cumsum(lengths) - lengths
+            cuts = np.flatnonzero(boundaries(points, begins[lengths > 0]))
+            begin, size = self.look_up(text, points, np.append(cuts, len(text)))
+            flat = self.ids[spans(begin, size)].astype("<u4")
+            to = np.concatenate([[0], np.cumsum(size)])
+            edge = zip(to[np.searchsorted(cuts, begins)].tolist(), to[np.searchsorted(cuts, begins + lengths)].tolist(), strict=True)
+            out += [flat[i:j].tobytes() for i, j in edge]
+        return out
+
+
+class Codec(PieceCache):
     """Ranks of a vocabulary file; encodes and decodes. Made once in each Python worker."""
 
     def __init__(self, path: str):
         files, at = open_fs(path)
         with files.open_input_stream(at) as f:
             lines = f.read().split(b"\n")
-        self.ranks = {base64.b64decode(x[0]): int(x[1]) for x in map(bytes.split, lines) if x}
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, i in self.ranks.items():
+        ranks = {base64.b64decode(x[0]): int(x[1]) for x in map(bytes.split, lines) if x}
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
             self.tokens[i] = token
         self.widths = np.array([len(x) for x in self.tokens], np.int64)
-        self.cache: dict[str, bytes] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Merge adjacent parts, the lowest rank first and leftmost among equals, until no pair is a token."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        n, rank = len(piece), self.ranks.get
-        end, prev, alive = list(range(1, n + 1)), list(range(-1, n)), [True] * n
-        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, mid, stop = heapq.heappop(heap)
-            if not alive[i] or end[i] != mid or not alive[mid] or end[mid] != stop:
-                continue
-            end[i], alive[mid] = stop, False
-            if stop < n:
-                prev[stop] = i
-                if (r := rank(piece[i : end[stop]])) is not None:
-                    heapq.heappush(heap, (r, i, stop, end[stop]))
-            if i and (r := rank(piece[prev[i] : stop])) is not None:
-                heapq.heappush(heap, (r, prev[i], i, stop))
-        return [self.ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
-
-    def _miss(self, piece: str) -> bytes:
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        ids = self.cache[piece] = np.array(self.merge(piece.encode()), "<u4").tobytes()
-        return ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        return encode_pieces(texts, self.cache, self._miss)
+        pairs = [(a, b, i) for token, i in ranks.items() for k in range(1, len(token)) if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None]
+        left, right, merged = np.array(pairs, np.int64).reshape(-1, 3).T
+        super().__init__(PairMerger(left, right, merged, merged), np.array([ranks[bytes([b])] for b in range(256)]), ranks)
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """The byte at which each token begins."""
@@ -184,27 +367,6 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-def encode_pieces(texts: list[str], cache: dict[str, bytes], miss) -> list[bytes]:
-    """Cut texts into pieces and join what ``cache`` or else ``miss`` has for each."""
-    out: list[bytes] = []
-    for a, b in chunks(texts):
-        part = texts[a:b]
-        lengths = np.array([len(t) for t in part], np.int64)
-        if not lengths.sum():
-            out += [b""] * len(part)
-            continue
-        text = "".join(part)
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        begins = np.cumsum(lengths) - lengths
-        cuts = np.flatnonzero(boundaries(points, begins[lengths > 0]))
-        edges = np.append(cuts, len(text)).tolist()
-        get = cache.get
-        parts = [get(p) or miss(p) for p in [text[i:j] for i, j in zip(edges, edges[1:], strict=False)]]
-        ends = np.searchsorted(cuts, begins + lengths).tolist()
-        out += [b"".join(parts[i:j]) for i, j in zip(np.searchsorted(cuts, begins).tolist(), ends, strict=True)]
-    return out
-
-
 @functools.cache
 def codec(path: str) -> Codec:
     return Codec(path)

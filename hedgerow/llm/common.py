@@ -116,7 +116,7 @@ def put_file(uri: str, *parts) -> None:
     files.move(own, path)
 
 
-def chunks(texts: list[str], most: int = 1 << 20):
+def chunks(texts: list[str], most: int = 1 << 21):
     """Cut a list of texts into index ranges of about ``most`` characters; a longer text stands alone."""
     begin = size = 0
     for i, t in enumerate(texts):
