@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, near_dedup, packing, quality_rules, token_files, warc
+from . import bpe, exact_dedup, near_dedup, packing, quality_rules, suffix_dedup, token_files, warc
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.label(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.label(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_exact_dedup, op4_warc, op5_token_files, op6_best_fit_packing, op9_quality_rules, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_exact_dedup, op4_warc, op5_token_files, op6_best_fit_packing, op8_suffix_dedup, op9_quality_rules, op10_near_dedup)}
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL, "op4_warc": warc.SQL, "op9_quality_rules": quality_rules.sql()}
