@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, near_dedup, packing, quality_rules, suffix_dedup, token_files, warc
+from . import bpe, classifier, exact_dedup, licenses, near_dedup, packing, quality_rules, suffix_dedup, token_files, warc
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.notices(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.label(table(spark, sf_dir, "documents"))
 
@@ -41,5 +49,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.label(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_exact_dedup, op4_warc, op5_token_files, op6_best_fit_packing, op8_suffix_dedup, op9_quality_rules, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_exact_dedup, op4_warc, op5_token_files, op6_best_fit_packing, op7_quality_classifier, op8_suffix_dedup, op9_quality_rules, op10_near_dedup)}
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL, "op4_warc": warc.SQL, "op9_quality_rules": quality_rules.sql()}
