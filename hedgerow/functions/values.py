@@ -15,7 +15,7 @@ DURATION = T.StructType([T.StructField(n, LONG) for n in ("months", "days", "sec
 POINT = T.StructType([T.StructField("srid", T.IntegerType()), *[T.StructField(n, DOUBLE) for n in "xyz"]])
 
 
-@dataclass
+@dataclass(eq=False)
 class Value:
     col: Column
     ghost: Column

@@ -702,7 +702,10 @@ class Lowering:
             filled = F.struct(*[(inner.getField(n) if n in t["properties"].dataType.names else F.lit(None)).cast(x).alias(n) for n, x in props.items()]) if props else F.from_json(F.lit("{}"), T.StructType([]))
             return F.struct(*[c.getField(n).alias(n) for n in ("id", "type", "start", "end")], filled.alias("properties"))
 
-        lists = [F.array(same(r.col, r.type)) if is_rel(r.type) else F.transform(r.col, lambda x, t=r.type.elementType: same(x, t)) for r in rels]
+        def chained(r):
+            return F.array(same(r.col, r.type)) if is_rel(r.type) else F.transform(r.col, lambda x: same(x, r.type.elementType))
+
+        lists = [chained(r) for r in rels]
         chain = F.concat(*lists) if lists else F.array().cast(T.ArrayType(kind))
         start = trail[0]
         follow = F.aggregate(chain, F.array(F.col(start)), lambda acc, r: F.array_append(acc, F.when(r.getField("start") == F.element_at(acc, -1), r.getField("end")).otherwise(r.getField("start"))))
@@ -1067,7 +1070,7 @@ class Lowering:
         return self.filter(out, d["where"])
 
     def do_show(self, frame: Frame, what, **d) -> Frame:
-        rows = self.spark.createDataFrame([(n, x["type"], x["entity"], x["label"], list(x["props"])) for n, x in self.graph.catalog.items() if (x["what"] == "INDEX") == what.startswith("INDEX")], "name string, type string, entityType string, label string, properties array<string>")
+        rows = self.spark.createDataFrame([(n, x["type"], x["entity"], x["label"], list(x["props"])) for n, x in self.graph.catalog.items() if x["what"] == ("INDEX" if what.startswith("INDEX") else "CONSTRAINT")], "name string, type string, entityType string, label string, properties array<string>")
         if what.startswith("PROCEDURE"):
             from ..operators.procedures import NAMES
 

@@ -43,7 +43,7 @@ CATALOG: dict[str, tuple[str, str | None]] = {
     "call_subquery": ("MATCH (n:Nation) CALL (n) { MATCH (n)<-[:IN_NATION]-(c:Customer) RETURN c.custkey AS best ORDER BY c.acctbal DESC, best LIMIT 2 } RETURN n.name AS name, best", "SELECT n_name AS name, c_custkey AS best FROM nation JOIN customer ON c_nationkey = n_nationkey QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY c_acctbal DESC, c_custkey) <= 2"),
     "var_length": (
         "MATCH (e:Event)-[:NEXT_EVENT*1..3]->(f:Event) WHERE e.event_id < 100 RETURN e.event_id AS e, f.event_id AS f",
-        "WITH x AS (SELECT event_id, lead(event_id, 1) OVER w AS a, lead(event_id, 2) OVER w AS b, lead(event_id, 3) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id AS e, unnest([a, b, c]) AS f FROM x WHERE event_id < 100 AND a IS NOT NULL QUALIFY f IS NOT NULL",
+        "WITH x AS (SELECT event_id, lead(event_id, 1) OVER w AS a, lead(event_id, 2) OVER w AS b, lead(event_id, 3) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT * FROM (SELECT event_id AS e, unnest([a, b, c]) AS f FROM x WHERE event_id < 100) WHERE f IS NOT NULL",
     ),
     "quantified_group": (
         "MATCH (e:Event)((a)-[:NEXT_EVENT]->(b)){2}(f) WHERE e.event_id < 100 RETURN e.event_id AS e, f.event_id AS f, size(a) AS k",
