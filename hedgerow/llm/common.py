@@ -68,11 +68,17 @@ def _at_exit() -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished queries now, not when the driver happens to collect garbage."""
+    """Let Spark drop the shuffle files of finished queries now, not when the driver happens to collect garbage.
+
+    Twice, with a pause: the first round releases the driver's handles, the second what they held; files go in the background.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
 
 
 def ship(spark: SparkSession) -> None:
