@@ -136,14 +136,14 @@ def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return up(base), up(pow(base, -1, 1 << 64))
 
 
-def piece_hashes(points: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit polynomial hashes of each piece between ``edges``."""
+def piece_hashes(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit polynomial hashes of each piece from ``begin`` to ``end``."""
     bits, hashes = max(22, int(len(points)).bit_length()), []
     for base in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95):
         up, down = _powers(base, bits)
         total = np.zeros(len(points) + 1, np.uint64)
         np.cumsum((points.astype(np.uint64) + np.uint64(0x632BE5AB)) * up[: len(points)], out=total[1:])
-        hashes.append((total[edges[1:]] - total[edges[:-1]]) * down[edges[:-1]])
+        hashes.append((total[end] - total[begin]) * down[begin])
     return hashes[0], hashes[1]
 
 
@@ -293,14 +293,19 @@ class PieceCache:
             symbols, size = symbols[keep], np.where(one < 0, size, 1)
         return self.merger.merge(symbols, size)
 
-    def look_up(self, text: str, points: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first id, number of ids) in ``self.ids`` for each piece between ``edges``."""
+    def pieces(self, points: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces begin and end."""
+        begin = np.flatnonzero(boundaries(points, firsts))
+        return begin, np.append(begin[1:], len(points))
+
+    def look_up(self, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first id, number of ids) in ``self.ids`` for each piece from ``starts`` to ``ends``."""
         if len(self.key) > CACHE:
             self.forget()
-        key, guard = piece_hashes(points, edges)
+        key, guard = piece_hashes(points, starts, ends)
         key, first, same = np.unique(key, return_index=True, return_inverse=True)
         if (guard != guard[first][same]).any():  # two kinds of piece share a hash: each piece for itself, and nothing is kept
-            ids, size = self._merged(text, points, edges[:-1], edges[1:])
+            ids, size = self._merged(text, points, starts, ends)
             self.forget()
             self.ids = ids.astype(np.uint32)
             return np.cumsum(size) - size, size
@@ -311,7 +316,7 @@ class PieceCache:
         begin, size = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
         begin[hit], size[hit] = self.begin[at[hit]], self.size[at[hit]]
         if len(new):
-            ids, size[new] = self._merged(text, points, edges[first[new]], edges[first[new] + 1])
+            ids, size[new] = self._merged(text, points, starts[first[new]], ends[first[new]])
             begin[new] = len(self.ids) + np.cumsum(size[new]) - size[new]
             self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
             fresh = new[self.key[at[new]] != key[new]] if len(self.key) else new
@@ -334,8 +339,8 @@ class PieceCache:
             text = "".join(part)
             points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             begins = np.cumsum(lengths) - lengths
-            cuts = np.flatnonzero(boundaries(points, begins[lengths > 0]))
-            begin, size = self.look_up(text, points, np.append(cuts, len(text)))
+            cuts, ends = self.pieces(points, begins[lengths > 0])
+            begin, size = self.look_up(text, points, cuts, ends)
             flat = self.ids[spans(begin, size)].astype("<u4")
             to = np.concatenate([[0], np.cumsum(size)])
             edge = zip(to[np.searchsorted(cuts, begins)].tolist(), to[np.searchsorted(cuts, begins + lengths)].tolist(), strict=True)

@@ -24,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, open_fs, put_file, scratch, ship
+from .bpe import PieceCache
+from .common import open_fs, put_file, scratch, ship
 
 MAGIC = b"HGTOKIX1"
 NO_ID = np.iinfo(np.int64).min
-CACHE = 400_000
 
 
-class WordEncoder:
-    """Ids of texts through a cache of words."""
+class WordEncoder(PieceCache):
+    """Ids of texts through a cache of words; new words go to the tokenizer in one batch."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,23 +40,22 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.size = self.tokenizer.get_vocab_size()
-        self.cache: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for a, b in chunks(texts):
-            words = [t.encode().split() for t in texts[a:b]]
-            cache = self.cache
-            new = list({w for ws in words for w in ws if w not in cache})
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                new = list({w for ws in words for w in ws})
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-            out += [b"".join([cache[w] for w in ws]) for ws in words]
-        return out
+        self.vocabulary = self.tokenizer.get_vocab_size()
+        super().__init__(None, None)
+
+    def pieces(self, points: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        solid = (points != 32) & ((points < 9) | (points > 13))
+        first = np.zeros(len(points) + 1, bool)
+        first[firsts] = first[-1] = True
+        before = np.concatenate([[False], solid])
+        begin = solid & (first[:-1] | ~before[:-1])
+        end = solid & (first[1:] | ~np.append(solid[1:], False))
+        return np.flatnonzero(begin), np.flatnonzero(end) + 1
+
+    def _merged(self, text: str, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = [text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.int64), np.array([len(x) for x in ids], np.int64)
 
 
 @functools.cache
@@ -79,7 +78,7 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 1, id_col: str = "
         from pyspark import TaskContext
 
         encoder = word_encoder(path)
-        kind, width = ("<u2", 2) if max(encoder.size - 1, end_id) < 1 << 16 else ("<u4", 4)
+        kind, width = ("<u2", 2) if max(encoder.vocabulary - 1, end_id) < 1 << 16 else ("<u4", 4)
         p = TaskContext.get().partitionId()
         ids, counts, held = [], [], []
         for batch in batches:
