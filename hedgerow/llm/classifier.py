@@ -11,6 +11,8 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,29 +25,43 @@ from .quality_rules import STOP_WORDS, SYMBOLS
 TRAIN_TEXTS, BINS, STEPS, CUT = 4000, 1 << 16, 150, 0.5
 
 
-def _votes(text: Column) -> dict[str, Column]:
-    """Labeller -> 1 (good), -1 (bad) or 0 (no vote)."""
-    trimmed = F.btrim(text, F.lit(SPACES))
-    words = F.split(trimmed, SPACE_RUN)
-    n = F.size(words).cast("double")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    share = lambda test: F.size(F.filter(words, test)) / n
-    chars = F.char_length(text).cast("double")
-    without = lambda pattern: (chars - F.char_length(F.regexp_replace(text, pattern, ""))) / chars
-    vote = lambda good, bad: F.when(trimmed == "", 0).when(bad, -1).when(good, 1).otherwise(0)
-    stop = share(lambda w: F.lower(w).isin(STOP_WORDS))
-    distinct = F.size(F.array_distinct(words)) / n
-    ends = F.size(F.filter(lines, lambda x: x.rlike(r"[.!?][\x20\x09-\x0D]*$"))) / F.size(lines)
+def _measured(rows: DataFrame) -> DataFrame:
+    """``rows`` with what the labellers look at, in steps: a step's columns are worked out once and read by the next. An empty text has nulls among them."""
+    text = F.col("text")
+    without = lambda pattern: F.try_divide(F.col("chars") - F.char_length(F.regexp_replace(text, pattern, "")), "chars")
+    share = lambda test: F.size(F.filter("words", test)) / F.col("n")
+    rows = rows.withColumns({"trimmed": F.btrim(text, F.lit(SPACES)), "chars": F.char_length(text).cast("double")})
+    rows = rows.withColumns({"words": F.split("trimmed", SPACE_RUN), "lines": F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")})
+    rows = rows.withColumn("n", F.size("words").cast("double"))
+    return rows.withColumns(
+        {
+            "empty": F.col("trimmed") == "",
+            "stop": share(lambda w: F.lower(w).isin(STOP_WORDS)),
+            "symbol": without(f"[{re.escape(SYMBOLS)}]") * F.col("chars") / F.col("n"),
+            "letter": share(lambda w: w.rlike(r"\p{L}")),
+            "length": F.col("chars") / F.col("n"),
+            "capital": without(r"\p{Lu}"),
+            "distinct": F.size(F.array_distinct("words")) / F.col("n"),
+            "mark": without(r"[!?|]"),
+            "ends": F.try_divide(F.size(F.filter("lines", lambda x: x.rlike(r"[.!?][\x20\x09-\x0D]*$"))), F.size("lines")),
+        }
+    )
+
+
+def _votes() -> dict[str, Column]:
+    """Labeller -> 1 (good), -1 (bad) or 0 (no vote), over the columns of ``_measured``."""
+    c = F.col
+    vote = lambda good, bad: F.when(c("empty"), 0).when(bad, -1).when(good, 1).otherwise(0).cast("int")
     never = F.lit(False)
     return {
-        "stop_words": vote(stop >= 0.1, (stop < 0.03) & (n >= 20)),
-        "symbols": vote(never, (chars - F.char_length(F.translate(text, SYMBOLS, ""))) / n > 0.1),
-        "letters": vote(never, share(lambda w: w.rlike(r"\p{L}")) < 0.75),
-        "word_length": vote((chars / n >= 5) & (chars / n <= 7.5), (chars / n < 4) | (chars / n > 10)),
-        "capitals": vote(without(r"\p{Lu}") < 0.08, without(r"\p{Lu}") > 0.3),
-        "variety": vote((distinct >= 0.6) & (n >= 20), (distinct < 0.4) & (n >= 50)),
-        "marks": vote(without(r"[!?|]") < 0.01, without(r"[!?|]") > 0.05),
-        "sentences": vote(ends >= 0.9, ends < 0.4),
+        "stop_words": vote(c("stop") >= 0.1, (c("stop") < 0.03) & (c("n") >= 20)),
+        "symbols": vote(never, c("symbol") > 0.1),
+        "letters": vote(never, c("letter") < 0.75),
+        "word_length": vote((c("length") >= 5) & (c("length") <= 7.5), (c("length") < 4) | (c("length") > 10)),
+        "capitals": vote(c("capital") < 0.08, c("capital") > 0.3),
+        "variety": vote((c("distinct") >= 0.6) & (c("n") >= 20), (c("distinct") < 0.4) & (c("n") >= 50)),
+        "marks": vote(c("mark") < 0.01, c("mark") > 0.05),
+        "sentences": vote(c("ends") >= 0.9, c("ends") < 0.4),
     }
 
 
@@ -109,10 +125,10 @@ def fit(docs: DataFrame, text_col: str = "text", train_texts: int = TRAIN_TEXTS)
     """(weights with bias, labeller -> vote law by class)."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    votes = _votes(F.col("text"))
+    votes = _votes()
     names = list(votes)
     rows = docs.select(text.alias("text"))
-    voted = rows.select(*[v.cast("int").alias(k) for k, v in votes.items()])
+    voted = _measured(rows).select(*[v.alias(k) for k, v in votes.items()])
     table = voted.groupBy(*names).count().collect()  # a row for each pattern, not for documents
     if not table:
         return np.zeros(BINS + 1), {}
@@ -129,7 +145,7 @@ def fit(docs: DataFrame, text_col: str = "text", train_texts: int = TRAIN_TEXTS)
             labels = list(zip(*[batch[k].to_pylist() for k in names], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array([_features(t.encode()) for t in batch["text"].to_pylist()], pa.binary()), pa.array([posterior[x] for x in labels], pa.float64()), batch["h"]], ["x", "y", "h"]) if n else pa.RecordBatch.from_pydict({"x": pa.array([], pa.binary()), "y": pa.array([], pa.float64()), "h": pa.array([], pa.int64())})
 
-    sample = chosen.select("text", "h", *[v.cast("int").alias(k) for k, v in votes.items()]).mapInArrow(pack, "x binary, y double, h long").collect()  # train_texts rows
+    sample = _measured(chosen).select("text", "h", *[v.alias(k) for k, v in votes.items()]).mapInArrow(pack, "x binary, y double, h long").collect()  # train_texts rows
     sample.sort(key=lambda r: r["h"])
     return train([(r["x"], r["y"]) for r in sample]), {k: law[:, i].round(3).tolist() for i, k in enumerate(names)}
 
