@@ -6,10 +6,14 @@ slot by chance doesn't either). The damping bounds the ratio of two weights to 1
 near copies shares would weigh next to nothing and the group would fall apart.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples of each text, its random numbers taken from a table of draws; texts that
-agree in a band share a bucket. A bucket is never expanded into all its pairs. In each round, every member is paired with the
-bucket's pivot, if their weights allow a similarity of ``THRESHOLD`` and they are not yet in one class; verified pairs join classes, and in
-the next round the members that are still apart get another pivot. When the rounds are over, what is left in a bucket is compared across classes, so no
-link between candidates is lost. Texts with equal word sequences are one candidate from the start.
+agree in a band share a bucket. A bucket is never expanded into all its pairs. Every member is paired with the bucket's pivot, if their weights
+allow a similarity of ``THRESHOLD``; verified pairs join classes. Texts with equal word sequences are one candidate from the start.
+
+The texts of buckets that still hold two classes are then joined exactly, by prefixes. Shingles are put in order, rare ones first. If the similarity of two texts
+reaches ``THRESHOLD``, what follows from their first common shingle on weighs enough in both to hold the overlap that this takes; so it is among the first of each, and two
+texts that share only what many share never meet. First, ``PIVOT_ROUNDS`` times, each text is tried against at most ``TRIES`` of the pivots of its shingles, which
+joins the near copies of a large group into one class by a number of pairs that grows with the texts. The last step takes every pair in two classes
+that meets that bound, so no link between candidates is lost.
 
 Defined cases: null and empty texts are one class; texts under five words have one shingle of all their words; rows that share
 an id each keep a row of their own; null ids count as largest; an empty table gives an empty result; other columns are ignored.
@@ -22,7 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, ship, staged
@@ -31,7 +35,7 @@ from .shingles import digest, lowered, mixed, shingles
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 4
 SLOTS, BLOCKS = 1 << 20, 64
 DAMP = 0.2
-STAR_ROUNDS = 3
+PIVOT_ROUNDS, PIVOTS, TRIES = 2, 32, 16
 _DRAWS = 1 << 16
 _TILE = 8192
 
@@ -194,16 +198,18 @@ def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = staged(members.join(shared, "bucket"), "members")
     texts = _texts_of(rows, members.select("same", "doc_id").distinct())
-    links, labels, tried = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        apart = _apart(members, labels)
-        if turn and apart.limit(1).count() == 0:
+    tried = staged(_star(members), "pairs")
+    links = staged(verified(tried, texts, idf), "found")
+    labels = classes(links)
+    keyed = _prefixes(_apart(members, labels), texts, idf)
+    for turn in range(PIVOT_ROUNDS + 1):
+        now = _keys_apart(keyed, labels)
+        if now.limit(1).count() == 0:
             break
-        pairs = (_star if turn < STAR_ROUNDS else _across)(apart)
-        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
-        found = staged(verified(pairs, texts, idf), "found")
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
+        pairs = _pivots(now, turn) if turn < PIVOT_ROUNDS else _across(now)
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(pairs)
+        links = links.union(staged(verified(pairs, texts, idf), "found"))
         labels = classes(links)
     named = signed.select("doc_id", "same").join(labels.withColumnRenamed("node", "same"), "same", "left").select("doc_id", F.coalesce("label", "same").alias("label"))
     sizes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
@@ -219,32 +225,84 @@ def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     joined = rows.join(wanted.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).select("same", "text")
-    return staged(joined.mapInArrow(exact, "same binary, text string"), "texts").dropDuplicates(["same"])
+    return staged(joined.mapInArrow(exact, "same binary, text string").dropDuplicates(["same"]), "texts")
+
+
+_FITS = f"least(weight, other) >= {THRESHOLD - 1e-9} * greatest(weight, other)"
+#: The share of both texts' weights that their overlap has at least.
+_OVERLAP = THRESHOLD / (1 + THRESHOLD) * (1 - 1e-6)
+_ENOUGH = f"least(rest, rest_other) >= {_OVERLAP} * (weight + other)"
+
+
+def _star(members: DataFrame) -> DataFrame:
+    """Each member with its bucket's pivot, the member of the smallest digest."""
+    pivot = members.groupBy("bucket").agg(F.min(F.struct("same", "weight")).alias("p"))
+    pivot = pivot.select("bucket", F.col("p.same").alias("a"), F.col("p.weight").alias("other"))
+    return members.join(pivot, "bucket").where("same <> a").where(_FITS).select("a", F.col("same").alias("b")).distinct()
 
 
-def _apart(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of buckets that hold more than one class, with their class."""
-    if labels is None:
-        return members.withColumn("label", F.col("same"))
-    now = members.join(labels.withColumnRenamed("node", "same"), "same", "left").withColumn("label", F.coalesce("label", "same"))
+def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
+    return df.join(labels.withColumnRenamed("node", "same"), "same", "left").withColumn("label", F.coalesce("label", "same"))
+
+
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """same: the members of buckets that hold more than one class."""
+    now = _labelled(members, labels)
     split = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    return staged(now.join(split, "bucket"), "apart")
+    return now.join(split, "bucket").select("same").distinct()
 
 
-_FITS = "least(weight, other) >= {} * greatest(weight, other)".format(THRESHOLD - 1e-9)
+def _prefixes(apart: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """same, weight, key, rest: the first shingles of each text, rare ones first, with the weight from there on; staged.
 
+    Those stay for which some text of a fitting weight could meet the bound, and which two texts have.
+    """
+    table = apart.sparkSession.sparkContext.broadcast(idf)
 
-def _star(apart: DataFrame) -> DataFrame:
-    """Each member with its bucket's pivot, the member of the smallest class and id, where they are in two classes."""
-    pivot = apart.groupBy("bucket").agg(F.min(F.struct("label", "same", "weight")).alias("p"))
-    pivot = pivot.select("bucket", F.col("p.same").alias("a"), F.col("p.label").alias("label_a"), F.col("p.weight").alias("other"))
-    return apart.join(pivot, "bucket").where("label <> label_a").where(_FITS).select(F.least("a", "same").alias("a"), F.greatest("a", "same").alias("b")).distinct()
+    def run(batches):
+        for batch in batches:
+            low, same = lowered(batch["text"].to_pylist()), batch["same"]
+            for x, y in chunks(low):
+                doc, value, times = shingles(low[x:y], WIDTH)
+                rarity = table.value[(value >> np.uint64(44)).astype(np.int64)]
+                order = np.lexsort((value, -rarity, doc))
+                doc, value, weight = doc[order], value[order], (times * rarity)[order].astype(np.float64)
+                total = np.bincount(doc, weight, y - x)
+                ends = np.cumsum(total)[doc]
+                rest = ends - np.cumsum(weight) + weight
+                at = np.flatnonzero(rest >= THRESHOLD * (1 - 1e-6) * total[doc])
+                yield pa.RecordBatch.from_arrays([same.take(pa.array(doc[at] + x)), pa.array(total[doc[at]]), pa.array(value[at].view(np.int64)), pa.array(rest[at])], ["same", "weight", "key", "rest"])
+
+    made = staged(texts.join(apart, "same", "left_semi").select("same", "text").mapInArrow(run, "same binary, weight double, key long, rest double"), "prefixes")
+    return staged(made.join(made.groupBy("key").count().where("count > 1").select("key"), "key"), "prefixes")
 
 
-def _across(apart: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket in two classes."""
-    left = apart.select("bucket", F.col("same").alias("a"), F.col("weight").alias("other"), F.col("label").alias("label_a"))
-    return left.join(apart, "bucket").where("label_a < label").where(_FITS).select(F.least("a", "same").alias("a"), F.greatest("a", "same").alias("b")).distinct()
+def _keys_apart(keyed: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of shingles that stand in more than one class, with their class; staged."""
+    now = _labelled(keyed, labels)
+    split = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return staged(now.join(split, "key"), "apart")
+
+
+def _pivots(now: DataFrame, turn: int) -> DataFrame:
+    """Each text with at most ``TRIES`` pivots of its shingles; a shingle has up to ``PIVOTS`` of its texts as pivots, others in each turn.
+
+    These rounds only save pairs: what they leave apart is for ``_across``, which has no such bounds.
+    """
+    dealt = F.pmod(F.xxhash64("same", F.lit(turn)), F.lit(PIVOTS))
+    pivot = now.groupBy("key", dealt).agg(F.min(F.struct(F.xxhash64("key", "same", F.lit(turn)).alias("h"), "same", "label", "weight", "rest")).alias("p"))
+    pivot = pivot.select("key", F.col("p.same").alias("a"), F.col("p.label").alias("label_a"), F.col("p.weight").alias("other"), F.col("p.rest").alias("rest_other"))
+    met = now.join(pivot, "key").where("label <> label_a").where(_FITS).where(_ENOUGH).select("same", "a").distinct()
+    few = Window.partitionBy("same").orderBy(F.xxhash64("a", F.lit(turn)), "a")
+    return met.withColumn("k", F.row_number().over(few)).where(F.col("k") <= TRIES).select(F.least("a", "same").alias("a"), F.greatest("a", "same").alias("b")).distinct()
+
+
+def _across(now: DataFrame) -> DataFrame:
+    """The pairs in two classes that meet the bound at a shingle that both have; the lighter text's part is held to the bound for a text of its own weight."""
+    light = now.where(f"rest >= {2 * _OVERLAP} * weight").select("key", F.col("same").alias("a"), F.col("weight").alias("other"), F.col("label").alias("label_a"), F.col("rest").alias("rest_other"))
+    lighter = (F.col("other") < F.col("weight")) | ((F.col("other") == F.col("weight")) & (F.col("a") < F.col("same")))
+    met = light.join(now, (light["key"] == now["key"]) & (F.col("label_a") != F.col("label")) & lighter & F.expr(_FITS) & F.expr(_ENOUGH))
+    return met.select(F.least("a", "same").alias("a"), F.greatest("a", "same").alias("b")).distinct()
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
