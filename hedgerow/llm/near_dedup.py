@@ -16,7 +16,8 @@ joins the near copies of a large group into one class by a number of pairs that
 that meets that bound, so no link between candidates is lost.
 
 Defined cases: null and empty texts are one class; texts under five words have one shingle of all their words; rows that share
-an id each keep a row of their own; null ids count as largest; an empty table gives an empty result; other columns are ignored.
+an id each keep a row of their own; null ids count as largest; of each class one row is kept, that of the smallest id, digest and place; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import chunks, ship, staged
 from .shingles import digest, lowered, mixed, shingles
@@ -118,10 +120,13 @@ def bands(codes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, same (digest of the word sequence), weight, buckets (null without shingles); staged."""
+    """doc_id, row (a number of its own), same (digest of the word sequence), weight, buckets (null without shingles); staged."""
     table = docs.sparkSession.sparkContext.broadcast(idf)  # SLOTS floats: 4 MB
 
     def run(batches):
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = lowered(batch["text"].to_pylist())
             total, found = [], []
@@ -134,9 +139,11 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             total = np.concatenate(total) if total else np.zeros(0)
             flat = np.concatenate(found).reshape(-1) if found else np.zeros(0, np.int64)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(map(digest, texts), pa.binary()), pa.array(total, pa.float64()), lists], ["doc_id", "same", "weight", "buckets"])
+            numbers = pa.array(np.arange(row, row + len(texts)))
+            row += len(texts)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], numbers, pa.array(map(digest, texts), pa.binary()), pa.array(total, pa.float64()), lists], ["doc_id", "row", "same", "weight", "buckets"])
 
-    return staged(docs.mapInArrow(run, "doc_id long, same binary, weight double, buckets array<long>"), "signatures")
+    return staged(docs.mapInArrow(run, "doc_id long, row long, same binary, weight double, buckets array<long>"), "signatures")
 
 
 def similarity(a, b) -> float:
@@ -188,7 +195,12 @@ def classes(links: DataFrame) -> DataFrame:
 
 
 def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id (the class's smallest doc_id), class_size, kept."""
+    """One row per document: doc_id, class_id (the class's smallest doc_id), class_size, kept (one row of each class)."""
+    return _labelled_rows(docs, id_col, text_col)[0].select("doc_id", "class_id", "class_size", "kept")
+
+
+def _labelled_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """The rows of ``label`` with same, and whether an id (null included) occurs twice."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     idf = damped_idf(*frequencies(rows))
@@ -197,7 +209,8 @@ def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     members = nodes.where("weight > 0").select("same", "doc_id", "weight", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = staged(members.join(shared, "bucket"), "members")
-    texts = _texts_of(rows, members.select("same", "doc_id").distinct())
+    twice = signed.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    texts = _texts_of(rows, members.select("same", "doc_id").distinct(), twice)
     tried = staged(_star(members), "pairs")
     links = staged(verified(tried, texts, idf), "found")
     labels = classes(links)
@@ -211,13 +224,27 @@ def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         tried = tried.union(pairs)
         links = links.union(staged(verified(pairs, texts, idf), "found"))
         labels = classes(links)
-    named = signed.select("doc_id", "same").join(labels.withColumnRenamed("node", "same"), "same", "left").select("doc_id", F.coalesce("label", "same").alias("label"))
-    sizes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return named.join(sizes, "label").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    named = signed.select("doc_id", "row", "same").join(labels.withColumnRenamed("node", "same"), "same", "left").withColumn("label", F.coalesce("label", "same"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "same", "row"))
+    sizes = named.groupBy("label").agg(first.alias("first"), F.count("*").alias("class_size"))
+    sizes = sizes.select("label", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("first_row"), "class_size")
+    return named.join(sizes, "label").select("doc_id", "same", "class_id", "class_size", (F.col("row") == F.col("first_row")).alias("kept")), twice
+
+
+def _keyed(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """All columns, and as ``name`` the digest of the word sequence of the column ``text``."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.append_column(name, pa.array(map(digest, lowered(batch[text].to_pylist())), pa.binary()))
+
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(name, BinaryType())]))
 
 
-def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts_of(rows: DataFrame, wanted: DataFrame, twice: bool) -> DataFrame:
     """same, text of the candidates, staged."""
+    if twice:  # rows of one id, null above all, would meet each other in a join by id
+        return staged(_keyed(rows.select("text"), "text", "same").join(wanted.select("same"), "same", "left_semi").dropDuplicates(["same"]).select("same", "text"), "texts")
 
     def exact(batches):
         for batch in batches:
@@ -307,7 +334,13 @@ def _across(now: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, with all its columns."""
-    stay = staged(label(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__stay_id")).distinct(), "stay")
-    out = docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__stay_id")), "left_semi")
-    twice = docs.groupBy(id_col).count().where("count > 1").limit(1).count()  # only repeated ids leave two rows
-    return out.dropDuplicates([id_col]) if twice else out
+    labelled, twice = _labelled_rows(docs, id_col, text_col)
+    stay = staged(labelled.where("kept").select(F.col("doc_id").alias("__stay_id"), F.col("same").alias("__stay_same")), "stay")
+    of = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__stay_id"))
+    if not twice:
+        return docs.join(stay, of, "left_semi")
+    # Rows with one id and one word sequence are of one class, and any of them stands for it.
+    keyed = _keyed(docs.withColumn("__text", F.col(text_col).cast("string")).withColumn("__id", F.col(id_col).cast("long")), "__text", "__same")
+    keyed = keyed.dropDuplicates(["__id", "__same"])
+    of = F.col("__id").eqNullSafe(F.col("__stay_id")) & (F.col("__same") == F.col("__stay_same"))
+    return keyed.join(stay, of, "left_semi").drop("__text", "__id", "__same")

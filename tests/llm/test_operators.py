@@ -253,6 +253,24 @@ def test_near_dedup(spark):
     assert near_dedup.kept(df).count() == 32
 
 
+def test_near_dedup_keeps_one_row_of_each_class_under_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(5000)]
+    base = [" ".join(rng.choice(words, 60)) for _ in range(12)]
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, t) for k, t in enumerate(base)]
+    rows += [(None, base[0] + " tail"), (None, base[0].upper()), (5, base[1] + " tail"), (7, base[3]), (5, base[1])]
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    out = near_dedup.kept(df)
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(got) == 12 and set(got) <= set(rows)
+    of = lambda text: next(k for k, b in enumerate(base) if text.lower().startswith(b))
+    assert sorted(of(t) for _, t in got) == list(range(12))
+    assert (7, base[3]) in got and all((i, base[k]) in got for k, (i, _) in enumerate(rows[:12]) if k not in (0, 1, 3))
+    labels = near_dedup.label(df).collect()
+    assert len(labels) == len(rows) and sum(r.kept for r in labels) == 12
+
+
 def test_samples_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     value = np.sort(rng.integers(1, 1 << 63, 3000, np.uint64))
