@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -31,7 +32,10 @@ STEPS = 20_000
 
 
 class PieceEncoder(PieceCache):
-    """A byte-level BPE of the tokenizers library's file format: its merges in order, its ids. Equal to the library's ids (tested)."""
+    """A byte-level BPE of the tokenizers library's file format: its merges in order, its ids. Equal to the library's ids (tested).
+
+    Added tokens that a text holds are cut out first, as the library does; what lies between them is encoded as texts of their own.
+    """
 
     def __init__(self, path: str):
         files, at = open_fs(path)
@@ -40,12 +44,21 @@ class PieceEncoder(PieceCache):
         model, before = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or before["type"] != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"]:
             raise ValueError(f"{path} is not a plain byte-level BPE")
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"] if t["content"]}
+        if spec["normalizer"] or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path} is not a plain byte-level BPE")
+        self.marker = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         vocab = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         left, right = ([vocab[m[k]] for m in merges] for k in (0, 1))
         merged = [vocab[a + b] for a, b in merges]
         super().__init__(PairMerger(left, right, range(len(merges)), merged), np.array([vocab[c] for c in byte_letters()]))
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.marker.split(t) if self.marker else [t] for t in texts]  # between two markers' texts stands a marker
+        plain = iter(super().encode([x for parts in cut for x in parts[::2]]))
+        return [b"".join(self.added[x] if k % 2 else next(plain) for k, x in enumerate(parts)) for parts in cut]
+
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable Latin-1 for itself, the rest from U+0100 on, in order."""

@@ -6,7 +6,7 @@ and 64-bit offsets; ``manifest.json`` holds, for each shard, the ids of all shar
 Documents are range-partitioned by id, so shard order is document order, and a reader maps both files into memory.
 
 A word (a run of bytes outside ASCII white space) is encoded once and then taken from a cache: the normaliser and the pattern of
-the tokenizer never reach across white space (tested against whole texts).
+the tokenizer never reach across white space (tested against whole texts), nor do its added tokens, which a text may hold.
 
 Defined cases: a null text counts as empty and holds the end id alone; null document ids come first; rows with the same id are ordered
 by text; an empty table gives a dataset without shards; other columns are ignored.
@@ -39,7 +39,8 @@ class WordEncoder(PieceCache):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if any(t.single_word or any(c.isspace() for c in t.content) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError(f"{path} has added tokens that reach across words")
         self.vocabulary = self.tokenizer.get_vocab_size()
         super().__init__(None, None)
 

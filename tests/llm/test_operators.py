@@ -137,6 +137,21 @@ def test_packing(spark, docs):
     assert packing.pack_documents(docs.limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
 
+MARKED = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  <|endoftext|>\n\n x", "<|endoftext |> <|ENDOFTEXT|> <|startoftext|>it's", "é <|endoftext|>  Å\u030a <|endoftext", "plain"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|endof", "|>", " ", "  ", "\n", "it's", "a", "É", "12"]), max_size=12).map("".join), max_size=4))
+def test_encoders_map_added_tokens_as_the_library(name, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path(name))
+    encoder = (token_files.word_encoder if name.startswith("word") else packing.piece_encoder)(P.path(name))
+    for text, raw in zip([*MARKED, *texts], encoder.encode([*MARKED, *texts]), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 20), st.integers(1, 30), max_size=8))
 def test_local_search_never_needs_more_bins(lengths):
