@@ -11,6 +11,7 @@ result; other columns are ignored; a text of any length is scanned whole, in blo
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import functools
 import re
@@ -42,7 +43,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-CUE = r"(?i)licen[cs]|copyright|spdx|warrant|redistribut|public domain|permission|mozilla|\bCC0?\b"
+CUE = r"(?i)licen[cs]|copyright|spdx|warrant|redistribut|public[\W_]+domain|permission|mozilla|\bCC0?\b"
 #: Words on either side of a cue, differing words as a share of the template, and templates compared word by word.
 AROUND, TOLERANCE, RANKED = 24, 0.1, 4
 _WORD = re.compile(r"[^\W_]+(?:[.\-'/][^\W_]+)*")
@@ -75,7 +76,11 @@ def scan(text: str) -> list[tuple[str, int, int, int, int]]:
     found = []
     words = list(_WORD.finditer(text))
     cues = re.compile(CUE)
-    near = [i for i, m in enumerate(words) if cues.search(m[0])]
+    starts, ends = [m.start() for m in words], [m.end() for m in words]
+    near = {i for i, m in enumerate(words) if cues.search(m[0])}
+    for m in cues.finditer(text):  # a cue may have several words
+        near.update(range(bisect.bisect_right(ends, m.start()), bisect.bisect_left(starts, m.end())))
+    near = sorted(near)
     blocks: list[list[int]] = []
     for i in near:
         a, b = max(0, i - AROUND), min(len(words), i + AROUND + 1)

@@ -307,6 +307,12 @@ def test_licenses(spark):
     assert licenses.notices(table(spark, texts).limit(0)).count() == 0
 
 
+def test_each_license_template_alone_is_found(spark):
+    texts = [t for _, t in licenses.TEMPLATES] + ["released into the public\n  domain. " + "x " * 60 + licenses.TEMPLATES[-1][1].replace("public domain", "public\ndomain")]
+    got = sorted((r.doc_id, r.license) for r in licenses.notices(table(spark, texts)).collect())
+    assert got == [*((i, k) for i, (k, _) in enumerate(licenses.TEMPLATES)), (len(licenses.TEMPLATES), "Unlicense")]
+
+
 def test_classifier(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
