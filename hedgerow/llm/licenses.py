@@ -1,9 +1,9 @@
 """License scans by conditional compression.
 
 Blocks of words around a cue (license, copyright, ...) are compressed alone and once with each template as a raw Zstandard dictionary.
-Templates are ranked by the bytes they save; the best few are aligned with the block word by word, and a match stands only if the wording
-differs in at most ``TOLERANCE`` of the template's words and never in a word with a digit. Its words are then taken out of the block,
-which is scanned again until nothing is found.
+Templates are ranked by the bytes they save and, in that order, aligned with the block word by word; a match stands only if the wording
+differs in at most ``TOLERANCE`` of the template's words and never in a word with a digit. The words of the first that stands are then taken out
+of the block, which is scanned again until no template stands.
 
 Defined cases: null and empty texts have no match; repeated rows are scanned row by row; an empty table gives an empty
 result; other columns are ignored; a text of any length is scanned whole, in blocks.
@@ -12,9 +12,9 @@ result; other columns are ignored; a text of any length is scanned whole, in blo
 from __future__ import annotations
 
 import bisect
-import difflib
 import functools
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,8 +44,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 CUE = r"(?i)licen[cs]|copyright|spdx|warrant|redistribut|public[\W_]+domain|permission|mozilla|\bCC0?\b"
-#: Words on either side of a cue, differing words as a share of the template, and templates compared word by word.
-AROUND, TOLERANCE, RANKED = 24, 0.1, 4
+#: Words on either side of a cue, and differing words as a share of the template.
+AROUND, TOLERANCE = 24, 0.1
 _WORD = re.compile(r"[^\W_]+(?:[.\-'/][^\W_]+)*")
 
 
@@ -59,16 +59,41 @@ def _engines():
     return plain, [zstandard.ZstdCompressor(level=19, dict_data=k) for k in kinds], words
 
 
-def wording(template: list[str], block: list[str]) -> tuple[int, int, int, list[str]] | None:
-    """(first word, end, differences, missing template words) of the template's best place in the block; null if it has no word there."""
-    at = [op for op in difflib.SequenceMatcher(None, template, block, autojunk=False).get_opcodes()]
-    same = [op for op in at if op[0] == "equal"]
-    if not same:
+def wording(template: list[str], block: list[str]) -> tuple[int, int, int] | None:
+    """(first word, end, differences) of the template's best place in the block; null if it stands nowhere.
+
+    Differences are the template's words that are missing or the words too many, whichever are more. Every place is tried:
+    ``row[k]`` is the least number of missing words among the template's first k, against the place's words so far.
+    """
+    m = len(template)
+    most = int(TOLERANCE * m)
+    fixed = [any(c.isdigit() for c in w) for w in template]
+    lacking = Counter(template) - Counter(block)
+    if sum(lacking.values()) > most or any(c.isdigit() for w in lacking for c in w):
         return None
-    first, end = same[0][3], same[-1][4]
-    missing = [w for tag, a, b, _, _ in at if tag in ("delete", "replace") for w in template[a:b]]
-    extra = end - first - sum(b - a for _, a, b, _, _ in same)
-    return first, end, max(len(missing), extra), missing
+    firsts, never, best = set(template[: most + 1]), m + 1, None
+    for i, word in enumerate(block):
+        if word not in firsts:
+            continue
+        row = [0]
+        for k in range(m):
+            row.append(row[k] + 1 if not fixed[k] and row[k] < most else never)
+        for j, w in enumerate(block[i : i + m + most], 1):
+            now = [0 if j <= most else never]
+            for k in range(1, m + 1):
+                v = row[k]
+                if template[k - 1] == w:
+                    v = min(v, row[k - 1])
+                if not fixed[k - 1]:
+                    v = min(v, now[k - 1] + 1)
+                now.append(v if max(v, j - k + v) <= most else never)
+            row = now
+            if min(row) == never:
+                break
+            if row[m] < never:
+                found = max(row[m], j - m + row[m]), row[m], j, i
+                best = min(best or found, found)
+    return best and (best[3], best[3] + best[2], best[0])
 
 
 def scan(text: str) -> list[tuple[str, int, int, int, int]]:
@@ -98,9 +123,9 @@ def scan(text: str) -> list[tuple[str, int, int, int, int]]:
         size = len(plain.compress(raw))
         saved = [size - len(e.compress(raw)) for e in engines]
         block = [m[0].lower() for m in words[a:b]]
-        for k in sorted(range(len(saved)), key=lambda k: -saved[k])[:RANKED]:
-            at = wording(templates[k], block) if saved[k] > 0 else None
-            if at and at[2] <= TOLERANCE * len(templates[k]) and not any(c.isdigit() for w in at[3] for c in w):
+        for k in sorted(range(len(saved)), key=lambda k: -saved[k]):
+            at = wording(templates[k], block)
+            if at:
                 found.append((TEMPLATES[k][0], words[a + at[0]].start(), words[a + at[1] - 1].end(), at[2], saved[k]))
                 todo += [[a + at[1], b], [a, a + at[0]]]
                 break

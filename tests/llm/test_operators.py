@@ -313,6 +313,47 @@ def test_each_license_template_alone_is_found(spark):
     assert got == [*((i, k) for i, (k, _) in enumerate(licenses.TEMPLATES)), (len(licenses.TEMPLATES), "Unlicense")]
 
 
+def test_no_license_is_lost_beside_an_unlisted_version():
+    others = ["This work is licensed under the GNU General Public License, version 1. The bundled fonts are ", "Licensed under CC BY-NC-SA 3.0, licensed under CC BY-NC-ND 3.0; the rest of this is "]
+    for other in others:
+        for name, notice in licenses.TEMPLATES:
+            assert [x[0] for x in licenses.scan(other + notice)] == [name]
+            assert [x[0] for x in licenses.scan(notice + " " + other)] == [name]
+
+
+def brute_wording(template, block):
+    """The least differences over all spans and all alignments of the template's words with the span's."""
+    from functools import cache
+
+    best = None
+    for i in range(len(block)):
+        for j in range(i + 1, len(block) + 1):
+
+            @cache
+            def ways(k, p):
+                if k == len(template):
+                    return 0
+                skip = 99 if any(c.isdigit() for c in template[k]) else 1 + ways(k + 1, p)
+                return min([skip, *(ways(k + 1, q + 1) for q in range(p, j) if block[q] == template[k])])
+
+            missing = ways(0, i)
+            d = max(missing, j - i - (len(template) - missing))
+            if d <= int(licenses.TOLERANCE * len(template)):
+                best = d if best is None else min(best, d)
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "the", "v2"]), min_size=10, max_size=21), st.lists(st.tuples(st.integers(0, 20), st.sampled_from(["a", "the", "v2", ""])), max_size=4), st.lists(st.sampled_from(["a", "the", "x"]), max_size=4))
+def test_wording_equals_brute_alignment(template, edits, around):
+    block = list(template)
+    for at, word in edits:
+        block[at % len(block) : at % len(block) + (not word)] = [word] if word else []
+    block = around + block + around[::-1]
+    got = licenses.wording(template, block)
+    assert (got and got[2]) == brute_wording(template, block)
+
+
 def test_classifier(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
