@@ -3,7 +3,8 @@
 Items of one length are interchangeable, so the search runs on the histogram of lengths (at most ``size`` numbers, whatever
 the corpus) and on groups of bins with the same contents. Best fit in decreasing order makes a first packing; then bins below
 capacity trade: an item moves, one is exchanged for one, or two for one, whenever the sum of squared fills rises, which empties
-the least filled bins. The plan that results says, for each length, which ranks go to which bins; rows get their rank from
+the least filled bins. Bins are indexed by what they can give, so all trades of a bin are looked up at once, and the search ends only when no
+trade is left or fewer bins are impossible. The plan that results says, for each length, which ranks go to which bins; rows get their rank from
 prefix sums over task counts, so no task sees more than its own rows.
 
 Defined cases: a null text counts as empty (one item with the end id alone); only documents longer than ``size`` are cut, the
@@ -14,10 +15,12 @@ columns are ignored by ``pack_documents``.
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +30,6 @@ from pyspark.sql import functions as F
 from .bpe import PairMerger, PieceCache
 from .common import open_fs, ship, staged
 
-#: Search steps at most, each of which moves whole groups of bins; documented bound of the driver's work.
-STEPS = 20_000
-
 
 class PieceEncoder(PieceCache):
     """A byte-level BPE of the tokenizers library's file format: its merges in order, its ids. Equal to the library's ids (tested).
@@ -96,61 +96,123 @@ def best_fit(lengths: dict[int, int], size: int) -> Counter:
     return Counter({c: n for by in room.values() for c, n in by.items() if n})
 
 
-def _trades(giver: tuple, taker: tuple, size: int):
-    """(gain, new giver, new taker) of each move and exchange that fits, the taker being the fuller bin."""
-    a, b = sum(giver), sum(taker)
-    free = size - b
-    for v in dict.fromkeys(giver):
-        if v <= free:
-            yield _traded(giver, taker, (v,), (), a, b)
-        for r in dict.fromkeys(taker):
-            if r < v <= free + r:
-                yield _traded(giver, taker, (v,), (r,), a, b)
-    for i, v in enumerate(giver):
-        for u in giver[i + 1 :]:
-            for r in dict.fromkeys(taker):
-                if r < v + u <= free + r:
-                    yield _traded(giver, taker, (v, u), (r,), a, b)
-    for i, r in enumerate(taker):
-        for q in taker[i + 1 :]:
-            for v in dict.fromkeys(giver):
-                if r + q < v <= free + r + q:
-                    yield _traded(giver, taker, (v,), (r, q), a, b)
-
-
-def _traded(giver, taker, out, back, a, b):
-    d = sum(out) - sum(back)
+class Givers:
+    """Groups of bins by the sum of ``items`` (1 or 2) of their items; ``fill[s]`` is the least fill of those that can give ``s``."""
+
+    def __init__(self, size: int, items: int):
+        self.none, self.items = size + 1, items
+        self.at: dict[int, dict[int, dict[tuple, None]]] = defaultdict(dict)
+        self.fill = np.full(3 * size + 2, self.none, np.int64)  # a base of up to twice the size, and the room above it
+
+    def sums(self, contents: tuple) -> list[int]:
+        return list(dict.fromkeys(sum(x) for x in combinations(contents, self.items))) if len(contents) < 50 else self._many(contents)
+
+    def _many(self, contents: tuple) -> list[int]:
+        kinds = Counter(contents)
+        return list(dict.fromkeys(sum(x) for x in combinations_with_replacement(kinds, self.items) if len(set(x)) == self.items or kinds[x[0]] >= self.items))
+
+    def add(self, contents: tuple, fill: int) -> None:
+        for s in self.sums(contents):
+            self.at[s].setdefault(fill, {})[contents] = None
+            self.fill[s] = min(self.fill[s], fill)
+
+    def remove(self, contents: tuple, fill: int) -> None:
+        for s in self.sums(contents):
+            by = self.at[s]
+            del by[fill][contents]
+            if not by[fill]:
+                del by[fill]
+                if self.fill[s] == fill:
+                    self.fill[s] = min(by, default=self.none)
+
+    def first(self, s: int) -> tuple:
+        return next(iter(self.at[s][int(self.fill[s])]))
+
+
+def _parts(contents: tuple, total: int, items: int) -> tuple:
+    """``items`` of the contents whose sum is ``total``."""
+    kinds = Counter(contents)
+    if items < 2:
+        return (total,) * items
+    return next((v, total - v) for v in kinds if kinds[total - v] > (total - v == v))
+
+
+def local_search(bins: Counter, size: int) -> Counter:
+    """Trade between underfull bins until no trade raises the sum of squared fills, or fewer bins are impossible.
+
+    A bin takes more than it gives back from one that is no fuller: one item for none, one or two, or two items for one. Any such trade
+    raises the sum; each bin makes the one that raises it most, the fullest bins first.
+    """
+    bins = Counter({c: n for c, n in bins.items() if n and c})
+    least, count = -(-sum(sum(c) * n for c, n in bins.items()) // size), sum(bins.values())
+    one, two = Givers(size, 1), Givers(size, 2)
+
+    def put(contents: tuple, n: int) -> None:
+        fill = sum(contents)
+        if not contents or not n:
+            return
+        was, bins[contents] = bins[contents], bins[contents] + n
+        change = "add" if not was else "remove" if not bins[contents] else None
+        if not bins[contents]:
+            del bins[contents]
+        if change and fill < size:
+            getattr(one, change)(contents, fill)
+            getattr(two, change)(contents, fill)
+
+    def best(taker: tuple):
+        """(giver, items out, items back) of the taker's best trade."""
+        fill = sum(taker)
+        room = np.arange(1, size - fill + 1)
+        back = [(0, 0), *((r, 1) for r in one.sums(taker)), *((r, 2) for r in two.sums(taker))]
+        tries = [(one, back), (two, back[1 : 1 + len(one.sums(taker))])]
+        found = (0,)
+        for givers, bases in tries:
+            if not bases:
+                continue
+            fills = givers.fill[np.array([r for r, _ in bases])[:, None] + room]
+            gain = np.where(fills <= fill, room * (room + fill - fills), 0)
+            k = int(gain.argmax())
+            if gain.flat[k] > found[0]:
+                found = int(gain.flat[k]), givers, *bases[k // len(room)], k % len(room) + 1
+        if not found[0]:
+            return None
+        _, givers, r, items, d = found
+        giver = givers.first(r + d)
+        return giver, _parts(giver, r + d, givers.items), _parts(taker, r, items)
+
     swap = lambda bin_, less, more: tuple(sorted((Counter(bin_) - Counter(less) + Counter(more)).elements(), reverse=True))
-    return (a - d) ** 2 + (b + d) ** 2 - a * a - b * b, swap(giver, out, back), swap(taker, back, out)
-
-
-def local_search(bins: Counter, size: int, steps: int = STEPS) -> Counter:
-    """Trade between underfull bins while the sum of squared fills rises and fewer bins are possible."""
-    bins = Counter(bins)
-    total = sum(sum(c) * n for c, n in bins.items())
-    least = -(-total // size)
-    while steps > 0 and sum(bins.values()) > least:
-        loose = sorted((c for c, n in bins.items() if sum(c) < size), key=lambda c: (sum(c), c))
-        done = False
-        for giver in loose:
-            for taker in reversed(loose):
-                steps -= 1
-                if sum(taker) < sum(giver) or (taker == giver and bins[giver] < 2) or steps <= 0:
-                    break
-                best = max(_trades(giver, taker, size), default=None)
-                if best and best[0] > 0:
-                    times = bins[giver] // 2 if giver == taker else min(bins[giver], bins[taker])
-                    bins[giver] -= times
-                    bins[taker] -= times
-                    bins[best[1]] += times
-                    bins[best[2]] += times
-                    bins = Counter({c: n for c, n in bins.items() if n and c})
-                    done = True
-                    break
-            if done or steps <= 0:
-                break
-        if not done:
-            break
+    for c, n in list(bins.items()):
+        del bins[c]
+        put(c, n)
+    traded = True
+    while traded and count > least:
+        traded = False
+        todo = [(-sum(c), c) for c in bins if sum(c) < size]
+        heapq.heapify(todo)
+        while todo and count > least:
+            taker = heapq.heappop(todo)[1]
+            n = bins.get(taker, 0)
+            if not n:
+                continue
+            if n == 1:  # it can't give to itself
+                put(taker, -1)
+            trade = best(taker)
+            if n == 1:
+                put(taker, 1)
+            if not trade:
+                continue
+            giver, out, given = trade
+            times = n // 2 if giver == taker else min(bins[giver], n)
+            put(giver, -times)
+            put(taker, -times)
+            for c in (swap(giver, out, given), swap(taker, given, out)):
+                put(c, times)
+                count -= 0 if c else times
+                if c and sum(c) < size:
+                    heapq.heappush(todo, (-sum(c), c))
+            if bins.get(taker, 0):
+                heapq.heappush(todo, (-sum(taker), taker))
+            traded = True
     return bins
 
 

@@ -173,6 +173,39 @@ def test_local_search_trades():
     assert sum(packing.local_search(bins, 10).values()) == 2
 
 
+def trade_left(bins, size):
+    """Any two bins below capacity and a move or exchange that makes the fuller one fuller."""
+    loose = [c for c, n in bins.items() if sum(c) < size]
+    for giver in loose:
+        for taker in loose:
+            if sum(taker) < sum(giver) or (taker == giver and bins[giver] < 2):
+                continue
+            one, back = set(giver), {0, *taker}
+            two = {u + v for i, u in enumerate(giver) for v in giver[i + 1 :]}
+            both = {q + r for i, q in enumerate(taker) for r in taker[i + 1 :]}
+            free = size - sum(taker)
+            if any(0 < v - r <= free for v in one for r in back | both) or any(0 < v - r <= free for v in two for r in taker):
+                return giver, taker
+    return None
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 9), max_size=14))
+def test_local_search_ends_when_no_trade_is_left(lengths):
+    bins = packing.local_search(packing.best_fit(lengths, 40), 40)
+    assert sum(bins.values()) == -(-sum(k * n for k, n in lengths.items()) // 40) or not trade_left(bins, 40)
+
+
+def test_local_search_of_many_lengths():
+    from collections import Counter
+
+    lengths = Counter(np.random.default_rng(0).normal(260, 40, 5000).astype(int).tolist())
+    first = packing.best_fit(lengths, 1024)
+    last = packing.local_search(first, 1024)
+    assert sum(first.values()) - sum(last.values()) > 30 and not trade_left(last, 1024)
+    assert Counter(s for c, n in last.items() for s in c for _ in range(n)) == lengths
+
+
 def test_warc(spark):
     same = "<p>" + "é" * 700
     pages = [(1, "http://a", same), (2, "http://b", None), (3, None, same), (4, "u\r\nv", "small"), (5, "w", "small"), (None, "n", same), (-6, "m", "x" * 2000)]
