@@ -88,6 +88,28 @@ CATALOG: dict[str, tuple[str, str | None]] = {
     "vector_index_search": ("CALL db.index.vector.queryNodes('items', 5, [" + ", ".join(["1.0", "0.5"] * 32) + "]) YIELD node, score RETURN node.vec_id AS id, round(score, 5) AS s", "SELECT vec_id AS id, round((1 + list_cosine_similarity(embedding::DOUBLE[], [" + ", ".join(["1.0", "0.5"] * 32) + "]::DOUBLE[])) / 2, 5) AS s FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], [" + ", ".join(["1.0", "0.5"] * 32) + "]::DOUBLE[]) DESC, vec_id LIMIT 5"),
     "type_predicates": ("MATCH (c:Customer) RETURN c.acctbal IS :: FLOAT AS a, c.name IS :: STRING AS b, c.name IS NOT :: INTEGER AS c, count(*) AS n", "SELECT true AS a, true AS b, true AS c, count(*) AS n FROM customer"),
     "schema_procedures": ("CALL db.labels() YIELD label RETURN label", "SELECT unnest(['Region', 'Nation', 'Customer', 'Supplier', 'Part', 'Order', 'Event', 'Item']) AS label"),
+    # The whole tables, without a filter on ids.
+    "undirected_all": ("MATCH (e:Event)-[:NEXT_EVENT]-(f) RETURN e.event_id AS e, count(f) AS n", "WITH x AS (SELECT event_id, lag(event_id) OVER w AS p, lead(event_id) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id AS e, (p IS NOT NULL)::BIGINT + (f IS NOT NULL)::BIGINT AS n FROM x WHERE p IS NOT NULL OR f IS NOT NULL"),
+    "var_length_all": (
+        "MATCH (e:Event)-[:NEXT_EVENT*1..3]->(f:Event) RETURN e.event_id AS e, f.event_id AS f",
+        "WITH x AS (SELECT event_id, lead(event_id, 1) OVER w AS a, lead(event_id, 2) OVER w AS b, lead(event_id, 3) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT * FROM (SELECT event_id AS e, unnest([a, b, c]) AS f FROM x) WHERE f IS NOT NULL",
+    ),
+    "quantified_group_all": (
+        "MATCH (e:Event)((a)-[:NEXT_EVENT]->(b)){2}(f) RETURN e.event_id AS e, f.event_id AS f, size(a) AS k",
+        "WITH x AS (SELECT event_id, lead(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f FROM events) SELECT event_id AS e, f, 2 AS k FROM x WHERE f IS NOT NULL",
+    ),
+    "shortest_path_all": (
+        "MATCH p = shortestPath((c:Customer)-[*..3]->(r:Region)) RETURN c.custkey AS c, r.name AS r, length(p) AS l",
+        "SELECT c_custkey AS c, r_name AS r, 2 AS l FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    ),
+    "all_shortest_paths_all": (
+        "MATCH p = allShortestPaths((a:Nation)-[:IN_REGION|IN_NATION*..4]-(b:Nation)) RETURN a.nationkey AS a, b.nationkey AS b, count(p) AS n, min(length(p)) AS l",
+        "SELECT a.n_nationkey AS a, b.n_nationkey AS b, 1 AS n, 2 AS l FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey",
+    ),
+    "vector_similarity_all": (
+        "MATCH (a:Item), (b:Item) WHERE a.vec_id % 100 = 0 RETURN a.vec_id AS a, b.vec_id AS id, round(vector.similarity.cosine(a.embedding, b.embedding), 5) AS s",
+        "SELECT a.vec_id AS a, b.vec_id AS id, round((1 + list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) / 2, 5) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0",
+    ),
 }
 
 

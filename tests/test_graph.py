@@ -136,3 +136,10 @@ def test_registered_queries(spark, name):
 
     ours = sorted(repr([plain(r[n]) for n in names]) for r in df.collect())
     assert ours == sorted(repr([plain(r[k]) for k in place]) for r in found.fetchall())
+
+
+@pytest.mark.parametrize("name", ["undirected", "var_length", "quantified_group", "shortest_path", "all_shortest_paths", "vector_similarity"])
+def test_path_and_vector_queries_also_run_over_whole_tables(name):
+    graph, sql = CATALOG[f"{name}_all"]
+    for bound in ("_id <", "key <", "key: ", "key =", "_id: "):
+        assert bound not in graph and (bound not in sql or "JOIN" in sql)
