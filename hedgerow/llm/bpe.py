@@ -3,11 +3,12 @@
 Texts are cut into pieces without a regular expression. Each character gets a class (letter, number, space, other) from a table
 over all code points and, from it, a transition function of a four-state machine; functions compose, and composition is
 associative, so a blocked prefix scan over the function codes gives the state before every character at once. States and
-classes mark where pieces begin. The pieces then go through a cache to pair merging by rank. Ids keep the byte offset of each token,
-and decoding joins the vocabulary's bytes.
+classes mark where pieces begin. The pieces then go through a cache to pair merging by rank. Ids keep the byte offset of each token;
+decoding writes the vocabulary's bytes to these offsets, and a stretch of the text is decoded from the tokens whose offsets it covers.
 
 Defined cases: a null text counts as empty and gives no ids; repeated rows are encoded row by row; an empty table gives an empty
-result; other columns are ignored; a text longer than a chunk is scanned alone and whole.
+result; other columns are ignored; a text longer than ``CHUNK`` is taken in parts, cut before a blank behind a solid character, where a piece
+always ends.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, open_fs, ship
+from .common import lean, open_fs, ship
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Code points with the White_Space property.
 WHITE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-#: Bounds the memory of a worker's piece cache; when full it starts afresh.
-CACHE = 1_000_000
+#: Bounds the memory of a worker: pieces in its cache, which starts afresh when full, and characters worked on at once.
+CACHE, CHUNK = 1_000_000, 1 << 19
 
 # States after a character: FREE; OPEN: a run of others, or a blank that the next run takes in; ONE, TWO: letters left of a contraction.
 FREE, OPEN, ONE, TWO = range(4)
@@ -131,22 +132,62 @@ def boundaries(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    up = lambda b: np.concatenate([[np.uint64(1)], np.cumprod(np.full((1 << bits) - 1, b, np.uint64))])
-    return up(base), up(pow(base, -1, 1 << 64))
+def _power_tables(base: int) -> tuple[np.ndarray, np.ndarray]:
+    up = lambda b: np.concatenate([[np.uint64(1)], np.cumprod(np.full((1 << 16) - 1, b, np.uint64))])
+    return up(base), up(pow(base, 1 << 16, 1 << 64))
+
+
+def power_at(base: int, at: np.ndarray) -> np.ndarray:
+    """``base`` to the power of each number (below 2^32), modulo 2^64, from two tables of 2^16 entries."""
+    low, high = _power_tables(base)
+    return low[at & 0xFFFF] * high[at >> 16]
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """``base`` to the power of 0..n-1; made for the call, so that nothing as long as a text is kept."""
+    low, high = _power_tables(base)
+    return (high[: -(-n >> 16), None] * low).reshape(-1)[:n]
+
+
+def inverse(base: int) -> int:
+    return pow(base, -1, 1 << 64)
 
 
 def piece_hashes(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit polynomial hashes of each piece from ``begin`` to ``end``."""
-    bits, hashes = max(22, int(len(points)).bit_length()), []
+    hashes = []
     for base in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95):
-        up, down = _powers(base, bits)
         total = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(0x632BE5AB)) * up[: len(points)], out=total[1:])
-        hashes.append((total[end] - total[begin]) * down[begin])
+        np.cumsum((points.astype(np.uint64) + np.uint64(0x632BE5AB)) * powers(base, len(points)), out=total[1:])
+        hashes.append((total[end] - total[begin]) * power_at(inverse(base), begin))
     return hashes[0], hashes[1]
 
 
+def portions(texts: list[str], most: int = CHUNK):
+    """Lists of (text number, part) of about ``most`` characters; a longer text is cut before a blank behind a solid character."""
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        at = 0
+        while True:
+            end = min(at + most, len(t))
+            while end < len(t):
+                end = t.find(" ", end)
+                if end < 0 or not t[end - 1].isspace():
+                    break
+                end += 1
+            end = len(t) if end < 0 else end
+            if size and size + end - at > most:
+                yield held
+                held, size = [], 0
+            held.append((i, t[at:end]))
+            size += end - at
+            at = end
+            if at >= len(t):
+                break
+    if held:
+        yield held
+
+
 def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The indices begin, begin + 1, ... of each span, end to end."""
     end = np.cumsum(size)
@@ -320,32 +361,34 @@ class PieceCache:
             begin[new] = len(self.ids) + np.cumsum(size[new]) - size[new]
             self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
             fresh = new[self.key[at[new]] != key[new]] if len(self.key) else new
-            every = np.concatenate([self.key, key[fresh]])
-            order = np.argsort(every, kind="stable")
-            self.key = every[order]
-            self.guard = np.concatenate([self.guard, guard[fresh]])[order]
-            self.begin, self.size = np.concatenate([self.begin, begin[fresh]])[order], np.concatenate([self.size, size[fresh]])[order]
+            to = np.searchsorted(self.key, key[fresh])  # both ascend, so the cache stays in order without a sort
+            self.key, self.guard = np.insert(self.key, to, key[fresh]), np.insert(self.guard, to, guard[fresh])
+            self.begin, self.size = np.insert(self.begin, to, begin[fresh]), np.insert(self.size, to, size[fresh])
         return begin[same], size[same]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for a, b in chunks(texts):
-            part = texts[a:b]
-            lengths = np.array([len(t) for t in part], np.int64)
+    def coded(self, texts: list[str]):
+        """For each portion: the text numbers of its parts, all ids end to end, and where each part's ids begin and end."""
+        for part in portions(texts):
+            numbers, lengths = [i for i, _ in part], np.array([len(t) for _, t in part], np.int64)
             if not lengths.sum():
-                out += [b""] * len(part)
+                yield numbers, np.zeros(0, np.uint32), np.zeros((len(part), 2), np.int64)
                 continue
-            text = "".join(part)
+            text = "".join(t for _, t in part)
             points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             begins = np.cumsum(lengths) - lengths
             cuts, ends = self.pieces(points, begins[lengths > 0])
             begin, size = self.look_up(text, points, cuts, ends)
-            flat = self.ids[spans(begin, size)].astype("<u4")
             to = np.concatenate([[0], np.cumsum(size)])
-            edge = zip(to[np.searchsorted(cuts, begins)].tolist(), to[np.searchsorted(cuts, begins + lengths)].tolist(), strict=True)
-            out += [flat[i:j].tobytes() for i, j in edge]
-        return out
+            yield numbers, self.ids[spans(begin, size)], np.stack([to[np.searchsorted(cuts, begins)], to[np.searchsorted(cuts, begins + lengths)]], 1)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        for numbers, ids, edges in self.coded(texts):
+            flat = ids.astype("<u4")
+            for i, (a, b) in zip(numbers, edges.tolist(), strict=True):
+                out[i].append(flat[a:b].tobytes())
+        return [b"".join(x) for x in out]
 
 
 class Codec(PieceCache):
@@ -356,10 +399,11 @@ class Codec(PieceCache):
         with files.open_input_stream(at) as f:
             lines = f.read().split(b"\n")
         ranks = {base64.b64decode(x[0]): int(x[1]) for x in map(bytes.split, lines) if x}
-        self.tokens = [b""] * (max(ranks.values()) + 1)
+        tokens = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
-            self.tokens[i] = token
-        self.widths = np.array([len(x) for x in self.tokens], np.int64)
+            tokens[i] = token
+        self.widths = np.array([len(x) for x in tokens], np.int64)
+        self.letters, self.places = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(self.widths) - self.widths
         pairs = [(a, b, i) for token, i in ranks.items() for k in range(1, len(token)) if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None]
         left, right, merged = np.array(pairs, np.int64).reshape(-1, 3).T
         super().__init__(PairMerger(left, right, merged, merged), np.array([ranks[bytes([b])] for b in range(256)]), ranks)
@@ -368,8 +412,22 @@ class Codec(PieceCache):
         """The byte at which each token begins."""
         return np.cumsum(self.widths[ids]) - self.widths[ids]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+    def decode(self, ids: np.ndarray, offsets: np.ndarray | None = None) -> bytes:
+        """Each token's bytes at its offset; the first token's offset is the start. Without offsets tokens follow each other."""
+        if not len(ids):
+            return b""
+        offsets = self.offsets(ids) if offsets is None else offsets
+        size = self.widths[ids]
+        out = np.empty(int(offsets[-1] - offsets[0] + size[-1]), np.uint8)
+        out[spans(offsets - offsets[0], size)] = self.letters[spans(self.places[ids], size)]
+        return out.tobytes()
+
+    def decode_bytes(self, ids: np.ndarray, offsets: np.ndarray, first: int, end: int) -> bytes:
+        """Bytes ``first`` to ``end`` of the text, from the tokens that cover them alone."""
+        if first >= end or not len(ids):
+            return b""
+        a, b = max(int(np.searchsorted(offsets, first, "right")) - 1, 0), int(np.searchsorted(offsets, end))
+        return self.decode(ids[a:b], offsets[a:b])[first - int(offsets[a]) :][: end - first]
 
 
 @functools.cache
@@ -377,6 +435,10 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int), offsets (array of long: the byte of the text at which each token begins)."""
     ship(docs.sparkSession)
@@ -387,34 +449,41 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             ids = [np.frombuffer(x, "<u4") for x in c.encode([t or "" for t in batch["text"].to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([c.offsets(x) for x in ids], pa.list_(pa.int64()))], ["doc_id", "ids", "offsets"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, offsets array<long>")
+    return _rows(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, ids array<int>, offsets array<long>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids -> doc_id, bytes."""
+    """doc_id, ids, offsets -> doc_id, bytes. Null ids count as none."""
     ship(encoded.sparkSession)
 
     def run(batches):
         c = codec(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([c.decode(np.array(x or [], np.int64)) for x in batch["ids"].to_pylist()], pa.binary())], ["doc_id", "bytes"])
+            both = zip(batch["ids"].to_pylist(), batch["offsets"].to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([c.decode(np.array(x or [], np.int64), np.array(at or [], np.int64)) for x, at in both], pa.binary())], ["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return encoded.select("doc_id", "ids", "offsets").mapInArrow(lean(run), "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode each text in the same task: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes."""
+    """Encode each text, and decode its ids by their offsets, in the same task: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes."""
     ship(docs.sparkSession)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"]
 
     def run(batches):
         c = codec(path)
-        sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
-            rows = []
-            for raw in c.encode([t or "" for t in batch["text"].to_pylist()]):
-                text = c.decode(np.frombuffer(raw, "<u4"))
-                rows.append((len(raw) // 4, sha(raw), sha(text), len(text)))
-            n, ids, back, size = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string()), pa.array(size, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+            n, size = np.zeros((2, batch.num_rows), np.int64)
+            sums = [(hashlib.sha256(), hashlib.sha256()) for _ in range(batch.num_rows)]
+            for numbers, ids, edges in c.coded([t or "" for t in batch["text"].to_pylist()]):
+                at = c.offsets(ids)
+                raw, flat, ends = c.decode(ids, at), ids.astype("<u4"), np.append(at, at[-1] + c.widths[ids[-1]] if len(at) else 0)
+                for i, (a, b) in zip(numbers, edges.tolist(), strict=True):
+                    sums[i][0].update(flat[a:b].tobytes())
+                    sums[i][1].update(raw[ends[a] : ends[b]])
+                    n[i] += b - a
+                    size[i] += ends[b] - ends[a]
+            columns = [pa.array([x[k].hexdigest() for x in sums], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), *columns, pa.array(size)], names)
+
+    return _rows(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, SPACES, ship
+from .common import SPACE_RUN, SPACES, lean, ship
 from .quality_rules import STOP_WORDS, SYMBOLS
 
 #: Bound on the texts that the scorer is trained on; hashed features; passes over the training texts; the score from which a text is kept.
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, text_col: str = "text", train_texts: int = TRAIN_TEXTS)
             labels = list(zip(*[batch[k].to_pylist() for k in names], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array([_features(t.encode()) for t in batch["text"].to_pylist()], pa.binary()), pa.array([posterior[x] for x in labels], pa.float64()), batch["h"]], ["x", "y", "h"]) if n else pa.RecordBatch.from_pydict({"x": pa.array([], pa.binary()), "y": pa.array([], pa.float64()), "h": pa.array([], pa.int64())})
 
-    sample = _measured(chosen).select("text", "h", *[v.alias(k) for k, v in votes.items()]).mapInArrow(pack, "x binary, y double, h long").collect()  # train_texts rows
+    sample = _measured(chosen).select("text", "h", *[v.alias(k) for k, v in votes.items()]).mapInArrow(lean(pack), "x binary, y double, h long").collect()  # train_texts rows
     sample.sort(key=lambda r: r["h"])
     return train([(r["x"], r["y"]) for r in sample]), {k: law[:, i].round(3).tolist() for i, k in enumerate(names)}
 
@@ -167,7 +167,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
             p = 1 / (1 + np.exp(-np.clip(np.concatenate(z) if z else np.zeros(0), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(p), pa.array(p >= cut)], ["doc_id", "score", "kept"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, kept boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double, kept boolean")
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import lean, ship
 
 #: Short notices by SPDX identifier. A name may have several wordings.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -145,4 +145,4 @@ def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     text = F.col(text_col).cast("string")
     rows = docs.where(text.rlike(CUE)).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, license string, start long, end long, differences long, saved long")
+    return rows.mapInArrow(lean(run), "doc_id long, license string, start long, end long, differences long, saved long")

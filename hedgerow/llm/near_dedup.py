@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import chunks, ship, staged
+from .common import chunks, lean, ship, staged
 from .shingles import digest, lowered, mixed, shingles
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 4
@@ -59,7 +59,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         total = sum(np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64) for x in group["slots"].to_pylist())
         return pa.table({"block": group["block"][:1], "slots": [total.astype("<i8").tobytes()], "n": [sum(group["n"].to_pylist())]})
 
-    made = docs.select("text").mapInArrow(count, "block long, slots binary, n long").groupBy("block").applyInArrow(add, "block long, slots binary, n long")
+    made = docs.select("text").mapInArrow(lean(count), "block long, slots binary, n long").groupBy("block").applyInArrow(add, "block long, slots binary, n long")
     rows = sorted(made.collect())
     if not rows:
         return np.zeros(SLOTS, np.int64), 0
@@ -143,7 +143,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             row += len(texts)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], numbers, pa.array(map(digest, texts), pa.binary()), pa.array(total, pa.float64()), lists], ["doc_id", "row", "same", "weight", "buckets"])
 
-    return staged(docs.mapInArrow(run, "doc_id long, row long, same binary, weight double, buckets array<long>"), "signatures")
+    return staged(docs.mapInArrow(lean(run), "doc_id long, row long, same binary, weight double, buckets array<long>"), "signatures")
 
 
 def similarity(a, b) -> float:
@@ -174,7 +174,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
     left = texts.select(F.col("same").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("same").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(lean(run), "a binary, b binary")
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def _keyed(docs: DataFrame, text: str, name: str) -> DataFrame:
         for batch in batches:
             yield batch.append_column(name, pa.array(map(digest, lowered(batch[text].to_pylist())), pa.binary()))
 
-    return docs.mapInArrow(run, StructType([*docs.schema, StructField(name, BinaryType())]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema, StructField(name, BinaryType())]))
 
 
 def _texts_of(rows: DataFrame, wanted: DataFrame, twice: bool) -> DataFrame:
@@ -252,7 +252,7 @@ def _texts_of(rows: DataFrame, wanted: DataFrame, twice: bool) -> DataFrame:
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     joined = rows.join(wanted.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).select("same", "text")
-    return staged(joined.mapInArrow(exact, "same binary, text string").dropDuplicates(["same"]), "texts")
+    return staged(joined.mapInArrow(lean(exact), "same binary, text string").dropDuplicates(["same"]), "texts")
 
 
 _FITS = f"least(weight, other) >= {THRESHOLD - 1e-9} * greatest(weight, other)"
@@ -300,7 +300,7 @@ def _prefixes(apart: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
                 at = np.flatnonzero(rest >= THRESHOLD * (1 - 1e-6) * total[doc])
                 yield pa.RecordBatch.from_arrays([same.take(pa.array(doc[at] + x)), pa.array(total[doc[at]]), pa.array(value[at].view(np.int64)), pa.array(rest[at])], ["same", "weight", "key", "rest"])
 
-    made = staged(texts.join(apart, "same", "left_semi").select("same", "text").mapInArrow(run, "same binary, weight double, key long, rest double"), "prefixes")
+    made = staged(texts.join(apart, "same", "left_semi").select("same", "text").mapInArrow(lean(run), "same binary, weight double, key long, rest double"), "prefixes")
     return staged(made.join(made.groupBy("key").count().where("count > 1").select("key"), "key"), "prefixes")
 
 

@@ -5,7 +5,7 @@ the corpus) and on groups of bins with the same contents. Best fit in decreasing
 capacity trade: an item moves, one is exchanged for one, or two for one, whenever the sum of squared fills rises, which empties
 the least filled bins. Bins are indexed by what they can give, so all trades of a bin are looked up at once, and the search ends only when no
 trade is left or fewer bins are impossible. The plan that results says, for each length, which ranks go to which bins; rows get their rank from
-prefix sums over task counts, so no task sees more than its own rows.
+prefix sums over task counts, which a merge join brings to them, so no task sees more than its own rows and nothing that grows with the tasks is broadcast.
 
 Defined cases: a null text counts as empty (one item with the end id alone); only documents longer than ``size`` are cut, the
 first piece being the shorter; repeated rows are packed each for itself; an empty table gives an empty result; other
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import PairMerger, PieceCache
-from .common import open_fs, ship, staged
+from .common import lean, open_fs, ship, staged
 
 
 class PieceEncoder(PieceCache):
@@ -237,7 +237,7 @@ def pack(items: DataFrame, size: int) -> DataFrame:
     table = plan(lengths, size)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = items.join(bases, ["task", "length"]).withColumn("rank", F.col("base") + F.col("local")).drop("base", "task", "local")
+    ranked = items.join(bases.hint("merge"), ["task", "length"]).withColumn("rank", F.col("base") + F.col("local")).drop("base", "task", "local")
     schema = ranked.drop("rank").schema.add("sequence_id", "long").add("offset", "long")
 
     def place(batches):
@@ -251,7 +251,7 @@ def pack(items: DataFrame, size: int) -> DataFrame:
             names = [f.name for f in schema[:-2]]
             yield pa.RecordBatch.from_arrays([*[batch[k] for k in names], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(lean(place, 1 << 14), schema)
 
 
 def pieces_of(docs: DataFrame, path: str, size: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,8 +279,8 @@ def pieces_of(docs: DataFrame, path: str, size: int, end_id: int, id_col: str =
             columns = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == "piece" else pa.int64()) for k, c in zip(names, columns, strict=True)], names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return staged(rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, task long, local long"), "pieces")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return staged(rows.mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long, task long, local long"), "pieces")
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 
-from .bpe import _powers
+from .bpe import inverse, power_at, powers
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -26,10 +26,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     solid = np.concatenate([[False], ~space, [False]])
     begin = np.flatnonzero(solid[1:-1] & ~solid[:-2])
     end = np.flatnonzero(solid[1:-1] & ~solid[2:]) + 1
-    up, down = _powers(0xD6E8FEB86659FD93, max(22, len(data).bit_length()))
+    base = 0xD6E8FEB86659FD93
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(0x1B873593)) * up[: len(data)], out=total[1:])
-    hashes = mixed((total[end] - total[begin]) * down[begin])
+    np.cumsum((data.astype(np.uint64) + np.uint64(0x1B873593)) * powers(base, len(data)), out=total[1:])
+    hashes = mixed((total[end] - total[begin]) * power_at(inverse(base), begin))
     edges = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(begin, edges), prepend=0)
     return hashes, counts

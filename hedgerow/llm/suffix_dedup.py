@@ -3,17 +3,19 @@
 Removes each byte covered by a ``LENGTH``-byte string that also starts in a document with a smaller id.
 
 1. Texts are bytes. Each window of ``LENGTH`` bytes has a minimizer, the least hash among its ``GRAM``-byte grams, so equal windows have equal
-   minimizers wherever they stand. One packed exchange (ten to twelve bytes for each minimizer, about one for every sixteen bytes of text)
-   finds those that occur in two different texts; a text whose minimizers are all its own takes no further part.
+   minimizers wherever they stand. One packed exchange (about ten bytes for each minimizer, about one for every sixteen bytes of text; texts are told
+   apart by all 128 bits of their digest) finds those that occur in two different texts; a text whose minimizers are all its own takes no further part.
+   Minimizers that are hot, by their count in a bounded sample of texts, are taken as shared without the exchange, where each would gather in one place.
 2. Runs of windows with one shared minimizer become strings of at most 80 bytes, dealt out by minimizer: equal windows meet in
    one bucket. A bucket's size is set by the corpus size, not by the number of executors.
 3. In a bucket, strings are cut into shards; each shard has its Burrows-Wheeler transform and last-to-first map. The transforms are merged by
    refining their interleaving: in step k every row steps back by its symbol, stably, after which rows are in order of
    their first k bytes and an interval boundary stands where the common prefix is shorter than k. Rows alone in their interval drop out. After
    ``LENGTH`` steps the intervals left are the repeated strings, without any sort of all suffixes; each knows its smallest document.
+   The windows of hot minimizers are not put into buckets: the smallest document of each is a partial aggregate, brought back by ``spread_join``.
 4. What is to go returns to its document as spans, and each text is cut once.
 
-Of equal texts only one takes part; the others, if long enough, go wholly.
+Of equal texts only one takes part; the others, if long enough, go wholly. The sample steers the work alone: whatever it holds, results are the same.
 
 Defined cases: a null text counts as empty; texts under ``LENGTH`` bytes stay whole; a null id counts as larger than any other; rows with
 the same id do not remove each other's bytes; an empty table gives an empty result; ``label`` ignores other columns, ``cut`` keeps them.
@@ -28,16 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _powers, spans
-from .common import free_shuffles, ship, staged
+from .bpe import inverse, powers, spans
+from .common import lean, ship, spread_join, staged
 from .shingles import mixed
 
 LENGTH, GRAM = 50, 20
 GRAMS = LENGTH - GRAM + 1
 #: Bytes of text for each bucket, of a segment worked on at once, and of a shard.
-BUCKET_BYTES, SEGMENT, SHARD = 8 << 20, 1 << 21, 1 << 16
+BUCKET_BYTES, SEGMENT, SHARD = 8 << 20, 1 << 20, 1 << 16
 NO_ID = np.iinfo(np.int64).max
-_ENTRY = np.dtype([("h", "<u4"), ("g", "<u2"), ("t", "<u4"), ("u", "<u2")])
+#: Texts looked at for hot minimizers; the least number of them, and of all texts as it scales, that makes a minimizer hot.
+SAMPLE_TEXTS, HOT_SAMPLED, HOT_TEXTS = 1 << 14, 8, 4096
+#: Stands for all hot minimizers of a text.
+_MARK = np.uint64((1 << 48) - 1)
 
 
 def segments(texts: list[bytes]):
@@ -61,10 +66,10 @@ def window_runs(parts: list[tuple[int, int, bytes]]):
     """Runs of windows with one minimizer: (part number, first and last window's place in the joined bytes, minimizer)."""
     raw = b"".join(p for _, _, p in parts)
     data = np.frombuffer(raw, np.uint8)
-    up, down = _powers(0xC2B2AE3D27D4EB4F, max(22, len(data).bit_length()))
+    base = 0xC2B2AE3D27D4EB4F
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(0x27D4EB2F)) * up[: len(data)], out=total[1:])
-    gram = mixed((total[GRAM:] - total[:-GRAM]) * down[: len(total) - GRAM])
+    np.cumsum((data.astype(np.uint64) + np.uint64(0x27D4EB2F)) * powers(base, len(data)), out=total[1:])
+    gram = mixed((total[GRAM:] - total[:-GRAM]) * powers(inverse(base), len(total) - GRAM))
     place = np.uint64(0xFFFFFF) - np.arange(len(gram), dtype=np.uint64)
     least = (gram & np.uint64(0xFFFFFFFFFF000000)) | place  # of equal grams, the last
     width = 1
@@ -93,57 +98,86 @@ def _dealt(bucket: np.ndarray, n: int):
 
 
 def _packed(keys: np.ndarray, values: np.ndarray, n: int):
-    """Values by key, packed by a hash of the key into rows (bucket, keys, vals)."""
-    q = (mixed(keys.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
-    rows = [(b, keys[i].astype("<i8").tobytes(), values[i].tobytes()) for b, i in _dealt(q, n)]
+    """Values by key (64-bit numbers or 16 bytes), packed by a hash of the key into rows (bucket, keys, vals)."""
+    spread = keys.view("<u8").reshape(len(keys), -1)[:, 0] if len(keys) else np.zeros(0, np.uint64)
+    q = (mixed(spread.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+    rows = [(b, keys[i].tobytes(), values[i].tobytes()) for b, i in _dealt(q, n)]
     b, k, v = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.table({"bucket": pa.array(b, pa.int64()), "keys": pa.array(k, pa.binary()), "vals": pa.array(v, pa.binary())})
 
 
-def _by_key(packed: DataFrame, width: int) -> DataFrame:
+def _by_key(packed: DataFrame, width: int, digests: bool) -> DataFrame:
     """Unpack rows of ``_packed``: one row for each key with all its values."""
 
     def gather(group):
-        keys = np.frombuffer(b"".join(group["keys"].to_pylist()), "<i8")
+        keys = np.frombuffer(b"".join(group["keys"].to_pylist()), "<u8").reshape(-1, 2 if digests else 1)
         vals = np.frombuffer(b"".join(group["vals"].to_pylist()), f"V{width}")
-        order = np.argsort(keys, kind="stable")
+        order = np.lexsort(keys.T[::-1])
         keys, raw = keys[order], vals[order].tobytes()
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
         edge = np.append(first, len(keys)).tolist()
-        return pa.table({"key": keys[first], "vals": pa.array([raw[width * a : width * b] for a, b in zip(edge, edge[1:], strict=False)], pa.binary())})
+        own = pa.array([k.tobytes() for k in keys[first]], pa.binary()) if digests else pa.array(keys[first, 0].astype(np.int64))
+        return pa.table({"key": own, "vals": pa.array([raw[width * a : width * b] for a, b in zip(edge, edge[1:], strict=False)], pa.binary())})
 
-    return packed.groupBy("bucket").applyInArrow(gather, "key long, vals binary")
+    return packed.groupBy("bucket").applyInArrow(gather, f"key {'binary' if digests else 'long'}, vals binary")
 
 
-def _shared_minimizers(rows: DataFrame, n: int) -> DataFrame:
-    """tag (of a text), vals: its minimizers that another text has too."""
+def _is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def _hot_minimizers(sample: DataFrame, least: float) -> np.ndarray:
+    """Minimizers, in order, that stand in ``least`` of the sample's texts or more."""
+
+    def count(batches):
+        for batch in batches:
+            for parts in segments([(t or "").encode() for t in batch["text"].to_pylist()]):
+                _, part, _, _, h = window_runs(parts)
+                text = np.array([i for i, _, _ in parts])[part].astype(np.uint64)
+                h, n = np.unique(np.unique(h << np.uint64(16) | text) >> np.uint64(16), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    found = sample.select("text").mapInArrow(lean(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r["h"] for r in found.collect()], np.uint64))  # the sample's minimizers over HOT_SAMPLED at most, whatever the corpus
+
+
+def _shared_minimizers(rows: DataFrame, n: int, hot) -> DataFrame:
+    """key (digest of a text), vals: its minimizers that another text has too; ``_MARK`` among them stands for hot ones."""
 
     def find(batches):
         for batch in batches:
             texts = [(t or "").encode() for t in batch["text"].to_pylist()]
-            tags = batch["tag"].to_numpy().view(np.uint64)
+            digests = np.frombuffer(b"".join(batch["digest"].to_pylist()), "<u8").reshape(-1, 2)
             for parts in segments(texts):
                 _, part, _, _, h = window_runs(parts)
-                tag = tags[np.array([i for i, _, _ in parts])][part]
-                entry = np.zeros(len(h), _ENTRY)
-                entry["h"], entry["g"] = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
-                entry["t"], entry["u"] = tag & np.uint64(0xFFFFFFFF), (tag >> np.uint64(32)) & np.uint64(0xFFFF)
-                for b, i in _dealt((h % np.uint64(n)).astype(np.int64), n):
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([np.unique(entry[i]).tobytes()], pa.binary())], ["bucket", "entries"])
+                text = np.array([i for i, _, _ in parts])[part]
+                is_hot = _is_in(h, hot.value)
+                marked = np.unique(text[is_hot])
+                h, text = np.append(h[~is_hot], np.full(len(marked), _MARK)), np.append(text[~is_hot], marked)
+                deal = np.where(h == _MARK, digests[text, 0], h) % np.uint64(n)
+                for b, i in _dealt(deal.astype(np.int64), n):
+                    own, at = np.unique(text[i], return_inverse=True)
+                    entries = np.unique(h[i] << np.uint64(16) | at.astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([entries.tobytes()], pa.binary()), pa.array([digests[own].tobytes()], pa.binary())], ["bucket", "entries", "texts"])
 
     def reply(group):
-        e = np.frombuffer(b"".join(group["entries"].to_pylist()), _ENTRY)
-        h = e["h"].astype(np.uint64) | e["g"].astype(np.uint64) << np.uint64(32)
-        t = e["t"].astype(np.uint64) | e["u"].astype(np.uint64) << np.uint64(32)
+        entries = [np.frombuffer(x, "<u8") for x in group["entries"].to_pylist()]
+        texts = [np.frombuffer(x, "V16") for x in group["texts"].to_pylist()]
+        base = np.cumsum([0, *map(len, texts)])
+        every, same = np.unique(np.concatenate(texts), return_inverse=True)
+        h = np.concatenate(entries) >> np.uint64(16)
+        t = same[np.concatenate([(e & np.uint64(0xFFFF)).astype(np.int64) + a for e, a in zip(entries, base, strict=False)])]
         order = np.lexsort((t, h))
         h, t = h[order], t[order]
         begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(begin, len(h)))
-        two = np.repeat(t[begin] != t[begin + size - 1], size)
-        return _packed(t[two].astype(np.int64), h[two], n)
+        two = np.repeat(t[begin] != t[begin + size - 1], size) | (h == _MARK)
+        return _packed(every[t[two]], h[two], n)
 
-    packed = rows.select("text", "tag").mapInArrow(_joined(find), "bucket long, entries binary").groupBy("bucket").applyInArrow(reply, "bucket long, keys binary, vals binary")
-    return _by_key(packed, 8)
+    packed = rows.select("text", "digest").mapInArrow(lean(_joined(find)), "bucket long, entries binary, texts binary").groupBy("bucket").applyInArrow(reply, "bucket long, keys binary, vals binary")
+    return _by_key(packed, 8, True)
 
 
 def _joined(make):
@@ -162,32 +196,70 @@ def _joined(make):
     return run
 
 
-def _strings(candidates: DataFrame, n: int) -> DataFrame:
-    """Runs of windows with a shared minimizer, packed by minimizer."""
+def _hits(batch, hot: np.ndarray, wants_hot: bool):
+    """For each segment of a batch of candidates, its runs of windows with a shared minimizer: bytes, first places, sizes, minimizers, rows, ids, offsets."""
+    texts = [(t or "").encode() for t in batch["text"].to_pylist()]
+    rows = batch["row"].to_numpy()
+    ids = batch["doc_id"].fill_null(int(NO_ID)).to_numpy()
+    lists = [np.frombuffer(x, "<u8") for x in batch["vals"].to_pylist()]
+    for parts in segments(texts):
+        raw, part, first, last, h = window_runs(parts)
+        doc, offset = (np.array([p[k] for p in parts]) for k in (0, 1))
+        begin = np.concatenate([[0], np.cumsum([len(p[2]) for p in parts])])
+        is_hot = _is_in(h, hot)
+        if wants_hot:
+            hit = np.flatnonzero(is_hot)
+        else:
+            wanted = np.concatenate([mixed(lists[i] ^ np.uint64(int(i) << 48)) for i in np.unique(doc)])
+            hit = np.flatnonzero(np.isin(mixed(h ^ (doc[part].astype(np.uint64) << np.uint64(48))), wanted) & ~is_hot)
+        part, first, last, h = part[hit], first[hit], last[hit], h[hit]
+        yield np.frombuffer(raw, np.uint8), first, last - first + LENGTH, h, rows[doc[part]], ids[doc[part]], offset[part] + first - begin[part]
+
+
+def _strings(candidates: DataFrame, n: int, hot) -> DataFrame:
+    """Runs of windows with a shared minimizer that is not hot, packed by minimizer."""
 
     def cut(batches):
         for batch in batches:
-            texts = [(t or "").encode() for t in batch["text"].to_pylist()]
-            rows = batch["row"].to_numpy()
-            ids = batch["doc_id"].fill_null(int(NO_ID)).to_numpy()
-            lists = [np.frombuffer(x, "<u8") for x in batch["vals"].to_pylist()]
-            for parts in segments(texts):
-                raw, part, first, last, h = window_runs(parts)
-                doc, offset = (np.array([p[k] for p in parts]) for k in (0, 1))
-                begin = np.concatenate([[0], np.cumsum([len(p[2]) for p in parts])])
-                own = np.unique(doc)
-                wanted = np.concatenate([mixed(lists[i] ^ np.uint64(i << 48)) for i in own])
-                hit = np.flatnonzero(np.isin(mixed(h ^ (doc[part].astype(np.uint64) << np.uint64(48))), wanted))
-                part, first, size, h = part[hit], first[hit], last[hit] - first[hit] + LENGTH, h[hit]
-                data = np.frombuffer(raw, np.uint8)
+            for data, first, size, h, rows, ids, starts in _hits(batch, hot.value, False):
                 for b, i in _dealt((h % np.uint64(n)).astype(np.int64), n):
-                    p = part[i]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([b], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (data[spans(first[i], size[i])], size[i].astype(np.uint8), rows[doc[p]].astype("<i8"), ids[doc[p]].astype("<i8"), (offset[p] + first[i] - begin[p]).astype("<i8"))]],
+                        [pa.array([b], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (data[spans(first[i], size[i])], size[i].astype(np.uint8), rows[i].astype("<i8"), ids[i].astype("<i8"), starts[i].astype("<i8"))]],
                         ["bucket", "data", "sizes", "rows", "ids", "starts"],
                     )
 
-    return candidates.mapInArrow(_joined(cut), "bucket long, data binary, sizes binary, rows binary, ids binary, starts binary")
+    return candidates.mapInArrow(lean(_joined(cut)), "bucket long, data binary, sizes binary, rows binary, ids binary, starts binary")
+
+
+def _hot_windows(candidates: DataFrame, hot) -> DataFrame:
+    """Each window with a hot minimizer: window (its bytes), row, id, start."""
+
+    def cut(batches):
+        for batch in batches:
+            for data, first, size, _, rows, ids, starts in _hits(batch, hot.value, True):
+                windows = size - LENGTH + 1
+                at = np.repeat(np.arange(len(size)), windows)
+                step = np.arange(len(at)) - np.repeat(np.cumsum(windows) - windows, windows)
+                flat = data[spans(first[at] + step, np.full(len(at), LENGTH))]
+                own = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(at), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([own, pa.array(rows[at]), pa.array(ids[at]), pa.array(starts[at] + step)], ["window", "row", "id", "start"])
+
+    return candidates.mapInArrow(lean(cut), "window binary, row long, id long, start long")
+
+
+def _hot_marked(windows: DataFrame, n: int) -> DataFrame:
+    """Packed spans of the windows that a document of a smaller id has too."""
+
+    def pack(batches):
+        for batch in batches:
+            start = batch["start"].to_numpy()
+            spans_ = np.ascontiguousarray(np.stack([start, start + LENGTH], 1).astype("<i8")).view("V16").ravel()
+            yield from _packed(batch["row"].to_numpy().astype("<i8"), spans_, n).to_batches()
+
+    least = staged(windows.groupBy("window").agg(F.min("id").alias("least"), F.count("*").alias("n")), "least")
+    again = least.where("n > 1")
+    gone = spread_join(windows.join(again.select("window"), "window", "left_semi"), again, "window", "n").where("least < id")
+    return gone.select("row", "start").mapInArrow(lean(pack, 1 << 14), "bucket long, keys binary, vals binary")
 
 
 def shard_transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -266,13 +338,15 @@ def _marked(data, sizes, rows, ids, starts):
     return rows[o], starts[o] + step[a], starts[o] + step[b] + LENGTH
 
 
-def _spans_of(strings: DataFrame, n: int) -> DataFrame:
+def _marked_strings(strings: DataFrame, n: int) -> DataFrame:
+    """Packed spans of the strings that go, bucket by bucket."""
+
     def mark(group):
         kinds = (("data", np.uint8), ("sizes", np.uint8), ("rows", "<i8"), ("ids", "<i8"), ("starts", "<i8"))
         rows, low, high = _marked(*[np.frombuffer(b"".join(group[k].to_pylist()), t) for k, t in kinds])
         return _packed(rows, np.ascontiguousarray(np.stack([low, high], 1).astype("<i8")).view("V16").ravel(), n)
 
-    return _by_key(strings.groupBy("bucket").applyInArrow(mark, "bucket long, keys binary, vals binary"), 16)
+    return strings.groupBy("bucket").applyInArrow(mark, "bucket long, keys binary, vals binary")
 
 
 def united(pairs: bytes) -> list[tuple[int, int]]:
@@ -286,28 +360,36 @@ def united(pairs: bytes) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_texts: int = HOT_TEXTS) -> DataFrame:
     """For each distinct (id, text): id, digest (MD5 of the text), vals: the spans to remove (null: none), packed; staged."""
     spark = docs.sparkSession
     ship(spark)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
     known = staged(rows.select("doc_id", "digest", F.octet_length("text").alias("n")).distinct().withColumn("row", F.monotonically_increasing_id()), "texts")
-    total = known.agg(F.sum("n")).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    tag = F.xxhash64("digest").bitwiseAND(F.lit((1 << 48) - 1))
-    order = F.struct(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("id"), "row")
-    lowest = known.groupBy("digest").agg(F.min(order).alias("lowest"))
-    known = staged(known.join(lowest, "digest").select("doc_id", "digest", "n", "row", F.col("lowest.id").alias("least"), (F.col("lowest.row") == F.col("row")).alias("first"), tag.alias("tag")), "texts")
-    shared = staged(_shared_minimizers(rows.where(F.octet_length("text") >= LENGTH).withColumn("tag", tag), n), "shared")
-    free_shuffles(spark)
-    wanted = known.where("first").join(shared, F.col("tag") == F.col("key")).select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), "row", "vals")
-    candidates = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d"))).dropDuplicates(["row"]) if _repeats(docs, id_col) else rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")))
-    found = staged(_spans_of(_strings(candidates.select("row", "doc_id", "text", "vals"), n), n), "spans")
-    free_shuffles(spark)
-    whole = F.when((F.coalesce("doc_id", F.lit(int(NO_ID))) > F.col("least")) & (F.col("n") >= LENGTH), True).otherwise(False)
-    source = found.join(known.where("first").select("row", "digest"), F.col("key") == F.col("row")).select(F.col("digest").alias("d"), "vals")
-    return staged(known.join(source, F.col("digest") == F.col("d"), "left").select("doc_id", "digest", whole.alias("whole"), F.when(~whole, F.col("vals")).alias("vals")), "removals")
+    order = F.struct(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("id"), "row", "doc_id", "n")
+    firsts = staged(known.groupBy("digest").agg(F.min(order).alias("x")).select("digest", "x.row", "x.doc_id", "x.n"), "firsts")  # the smallest document of each text
+    total, texts = firsts.agg(F.sum("n"), F.count("*")).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // BUCKET_BYTES))
+    own = lambda of: rows.join(of.select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), *of.columns[2:]), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d"))).drop("id", "d")
+    share = min(1.0, SAMPLE_TEXTS / max(texts, 1))
+    part = (F.octet_length("text") >= LENGTH) & (F.pmod(F.xxhash64("digest"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = own(firsts.where(F.pmod(F.xxhash64("digest"), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "digest")).where(part)
+    twice = _repeats(docs, id_col)
+    sample = sample.dropDuplicates(["digest"]) if twice else sample
+    hot = spark.sparkContext.broadcast(_hot_minimizers(sample, max(HOT_SAMPLED, hot_texts * share) if share < 1 else hot_texts))
+    shared = staged(_shared_minimizers(rows.where(F.octet_length("text") >= LENGTH), n, hot), "shared")
+    wanted = firsts.join(shared, F.col("digest") == F.col("key")).select("doc_id", "digest", "row", "vals")
+    candidates = own(wanted)
+    candidates = (candidates.dropDuplicates(["row"]) if twice else candidates).select("row", "doc_id", "text", "vals")
+    marked = _marked_strings(_strings(candidates, n, hot), n)
+    if len(hot.value):
+        windows = staged(_hot_windows(candidates, hot), "windows")
+        marked = marked.unionByName(_hot_marked(windows, n))
+    found = staged(_by_key(marked, 16, False), "spans")
+    others = known.join(firsts.select("row"), "row", "left_anti").select("doc_id", "digest", (F.col("n") >= LENGTH).alias("whole"), F.lit(None).cast("binary").alias("vals"))
+    first = firsts.join(found, F.col("row") == F.col("key"), "left").select("doc_id", "digest", F.lit(False).alias("whole"), "vals")
+    return staged(first.unionByName(others), "removals")
 
 
 def _repeats(docs: DataFrame, id_col: str) -> bool:
@@ -339,7 +421,7 @@ def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             columns = [pa.array([p[k] for p in parts], pa.int64()) for k in (1, 2, 3)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns, pa.array([hashlib.sha256(p[0]).hexdigest() for p in parts], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(only, "doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(only, "doc_id", "text").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
@@ -357,5 +439,5 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_
             names = [c for c in batch.schema.names if c not in ("__whole", "__spans")]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch[c] for c in names], names)
 
-    out = _with_spans(docs, id_col, text_col).mapInArrow(run, docs.schema)
+    out = _with_spans(docs, id_col, text_col).mapInArrow(lean(run), docs.schema)
     return out.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType)) if length_col else out
