@@ -2,10 +2,11 @@
 
 Every partition turns its rows into a run sorted by the SHA-256 digest of the normalised text. Partitions then exchange runs in
 rounds: numbered in base ``FAN``, partition ``p`` sends in round ``r`` the entries whose digest has the digit ``d`` in place
-``r`` to the partition whose number is ``p`` with its own digit in that place replaced by ``d`` (for a fan of 2, the binomial exchange of
-recursive halving). Each receiver merges the ``FAN`` runs that reach it and keeps, of the entries whose 32 bytes of digest agree,
+``r`` to the partition whose number is ``p`` with its own digit in that place replaced by ``d`` (a round for a fan of 4 is two of the binomial
+exchange by halves). Each receiver merges the sorted runs that reach it, without sorting again, and keeps, of the entries whose 32 bytes of digest agree,
 the smallest identifier and the number of rows. After log_FAN(partitions) rounds equal digests have met and no task has held
-more than about one partition's share: a group of any size is one entry in each run, so a hot text never gathers in one place.
+more than about one partition's share: a group of any size is one entry in each run, so a hot text never gathers in one place; its rows
+then meet their group by broadcast (``spread_join``).
 
 Defined cases: a null text counts as empty; among rows with equal text the smallest id stays, null ids last, and of rows that
 share that id exactly one stays; an empty table gives an empty result; other columns are ignored.
@@ -18,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, ship, staged
+from .common import SPACE_RUN, lean, ship, spread_join, staged
 
-BITS = 4
+BITS = 2
 FAN = 1 << BITS
 RUN_ROWS = 1 << 18
 _BLOCK = "slot long, digests binary, ids binary, rows binary, counts binary"
@@ -29,21 +30,50 @@ _NO_ID = np.iinfo(np.int64).max
 
 def text_digest(text_col: str = "text"):
     """SHA-256 (lower-case hex) of the text with each run of white space replaced by one space."""
-    return F.sha2(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE_RUN, " "), 256)
+    return F.sha2(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), SPACE_RUN, " "), 256)
 
 
-def _merged(words, ids, rows, counts):
-    """Sort entries by their whole digest, then id, then row; keep the first of each digest and the summed counts."""
+def _first_of_each(words, ids, rows, counts):
+    """Of entries in order of digest, id and row: the first of each digest, with the summed counts. All 32 bytes are compared."""
     if not len(ids):
         return words, ids, rows, counts
-    order = np.lexsort((rows, ids, words[:, 3], words[:, 2], words[:, 1], words[:, 0]))
-    words, ids, rows, counts = words[order], ids[order], rows[order], counts[order]
     first = np.ones(len(ids), bool)
     first[1:] = (words[1:] != words[:-1]).any(axis=1)
     at = np.flatnonzero(first)
     return words[at], ids[at], rows[at], np.add.reduceat(counts, at)
 
 
+def _sorted_run(words, ids, rows, counts):
+    order = np.lexsort((rows, ids, words[:, 3], words[:, 2], words[:, 1], words[:, 0]))
+    return _first_of_each(words[order], ids[order], rows[order], counts[order])
+
+
+def _two(a, b):
+    """Merge two runs, each in order with one entry for each digest: every entry's place is its own plus what goes before it of the other run."""
+    key = lambda run: np.ascontiguousarray(run[0].astype(">u8")).view("S32").ravel()
+    left, right = key(a), key(b)
+    low, high = np.searchsorted(left, right, "left"), np.searchsorted(left, right, "right")
+    at = np.minimum(low, max(len(left) - 1, 0))
+    smaller = (b[1] < a[1][at]) | ((b[1] == a[1][at]) & (b[2] < a[2][at])) if len(left) else np.zeros(len(right), bool)
+    place = np.where(smaller, low, high) + np.arange(len(right))
+    rest = np.ones(len(left) + len(right), bool)
+    rest[place] = False
+    out = []
+    for x, y in zip(a, b, strict=True):
+        both = np.empty((len(x) + len(y), *x.shape[1:]), x.dtype)
+        both[rest], both[place] = x, y
+        out.append(both)
+    return _first_of_each(*out)
+
+
+def merged(runs: list):
+    """Multiway merge of sorted runs in a tournament: of entries with one digest the smallest (id, row) wins each match, and counts add up."""
+    runs = runs or [(np.zeros((0, 4), np.uint64), *[np.zeros(0, np.int64)] * 3)]
+    while len(runs) > 1:
+        runs = [_two(*runs[k : k + 2]) if k + 1 < len(runs) else runs[k] for k in range(0, len(runs), 2)]
+    return runs[0]
+
+
 def _blocks(p: int, place: int, places: int, words, ids, rows, counts):
     """The run of partition ``p``, cut by the digest's digit in ``place`` into what goes to each partner."""
     shift = np.uint64(64 - BITS * (place + 1))
@@ -61,9 +91,11 @@ def _blocks(p: int, place: int, places: int, words, ids, rows, counts):
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
 
-def _unpack(columns: dict):
-    join = lambda k, t: np.frombuffer(b"".join(columns[k]), t)
-    return join("digests", ">u8").reshape(-1, 4).astype(np.uint64), join("ids", "<i8"), join("rows", "<i8"), join("counts", "<i8")
+def _runs(group) -> list:
+    """The runs of a group's rows, each in order as it was cut."""
+    kinds = (("digests", ">u8"), ("ids", "<i8"), ("rows", "<i8"), ("counts", "<i8"))
+    rows = zip(*[group[k].to_pylist() for k, _ in kinds], strict=True)
+    return [(np.frombuffer(w, ">u8").reshape(-1, 4).astype(np.uint64), *[np.frombuffer(x, "<i8") for x in rest]) for w, *rest in rows]
 
 
 def _leaf(places: int):
@@ -89,12 +121,12 @@ def _leaf_run(held, p, places):
     words = np.frombuffer(b"".join(t["digest"].to_pylist()), ">u8").reshape(-1, 4).astype(np.uint64)
     ids = t["doc_id"].fill_null(int(_NO_ID)).to_numpy().astype(np.int64)
     rows = t["row"].to_numpy().astype(np.int64)
-    return _blocks(p, 0, places, *_merged(words, ids, rows, np.ones(len(ids), np.int64)))
+    return _blocks(p, 0, places, *_sorted_run(words, ids, rows, np.ones(len(ids), np.int64)))
 
 
 def _round(place: int, places: int):
     def merge(key, group):
-        words, ids, rows, counts = _merged(*_unpack({k: group[k].to_pylist() for k in ("digests", "ids", "rows", "counts")}))
+        words, ids, rows, counts = merged(_runs(group))
         if place < places:
             return pa.Table.from_batches([_blocks(key[0].as_py(), place, places, words, ids, rows, counts)])
         raw = words.astype(">u8").tobytes()
@@ -111,29 +143,39 @@ def groups(digests: DataFrame) -> DataFrame:
     places = 1
     while FAN**places < n:
         places += 1
-    runs = digests.mapInArrow(_leaf(places), _BLOCK)
+    runs = digests.mapInArrow(lean(_leaf(places), RUN_ROWS), _BLOCK)
     for place in range(1, places + 1):
         last = place == places
         runs = runs.groupBy("slot").applyInArrow(_round(place, places), "digest binary, keep_id long, keep_row long, group_size long" if last else _BLOCK)
     return runs
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, digest, keep_id, group_size, kept."""
+    digests = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.unhex(text_digest(text_col)).alias("digest"))
+    digests = staged(digests, "digests")
+    found = spread_join(digests, staged(groups(digests), "groups"), "digest", "group_size")
+    return found.select("doc_id", "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"))
+
+
 def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    digests = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.unhex(text_digest(text_col)).alias("digest"))
-    digests = staged(digests, "digests")
-    return digests.join(groups(digests), "digest").select(
-        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    return _labelled(docs, id_col, text_col).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stay = staged(label(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__stay_id"), "text_sha256"), "stay")
-    out = docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__stay_id")) & (text_digest(text_col) == F.col("text_sha256")), "left_semi")
+    stay = staged(_labelled(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__stay_id"), F.col("digest").alias("__stay_digest")), "stay")
+    # rows without an id are dealt by their digest, not to one task
+    deal = lambda i, d: F.coalesce(i, F.xxhash64(d))
+    own = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__digest": F.unhex(text_digest(text_col))})
+    own = own.withColumn("__deal", deal(F.col("__id"), F.col("__digest")))
     # Only a table with repeated ids can hold two rows with one id and one text.
-    twice = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
-    return out.withColumn("__digest", text_digest(text_col)).dropDuplicates([id_col, "__digest"]).drop("__digest") if twice else out
+    if docs.groupBy(id_col).count().where("count > 1").limit(1).count():
+        own = own.dropDuplicates(["__deal", "__id", "__digest"])
+    stay = stay.withColumn("__stay_deal", deal(F.col("__stay_id"), F.col("__stay_digest")))
+    on = (F.col("__deal") == F.col("__stay_deal")) & F.col("__id").eqNullSafe(F.col("__stay_id")) & (F.col("__digest") == F.col("__stay_digest"))
+    return own.join(stay, on, "left_semi").drop("__id", "__digest", "__deal")
 
 
 SQL = r"""
