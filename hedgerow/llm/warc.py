@@ -1,11 +1,12 @@
 """WARC archives with one Zstandard dictionary a file.
 
 An archive begins with a skippable frame that holds a Zstandard dictionary; each record follows in a frame of its own,
-compressed with that dictionary, so that any record can be read by its offset. The dictionary is built from the
-archive's own records: those of one file are held (``ARCHIVE_BYTES`` at most) and every k-th of them is a sample.
+compressed with that dictionary, so that any record can be read by its offset; the offsets stand in an index file beside the archive. The
+dictionary is built from the archive's own records: those of one file are held (``ARCHIVE_BYTES`` at most, or one longer record) and every k-th of them is a sample.
 
 A payload of at least ``MIN_REVISIT`` bytes that several pages share is stored once, with the largest page id, as a response; the
-others become revisit records that name it and hold no payload, only its length and digest.
+others become revisit records that name it and hold no payload, only its length and digest. Who revisits whom is found from ids, lengths and digests
+alone; payloads are shuffled once, by page id, so a payload that many pages share is never gathered.
 
 Defined cases: a null payload counts as empty; a null page id is stored as a response and never referred to; of rows with equal
 id and payload each gets a record, all of them responses if theirs is the largest id; null urls are written as empty; an
@@ -20,10 +21,10 @@ import struct
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_fs, put_file, scratch, ship
+from .common import lean, open_fs, put_file, scratch, ship, spread_join, staged
 
 #: The skippable frame's magic number, and the revisit profile of WARC 1.1.
 SKIPPABLE = 0x184D2A5D
@@ -32,6 +33,8 @@ MIN_REVISIT = 1000
 ARCHIVE_BYTES = 32 << 20
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 4 << 20
+#: Bytes fed to the decompressor at a time where the end of a frame is not known.
+FRAME_BLOCK = 64 << 10
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -110,35 +113,50 @@ def archive(records: list[bytes]) -> tuple[list[bytes], list[int]]:
     return parts, offsets
 
 
-def records_of(raw: bytes):
-    """The records of an archive, in order."""
+def records_of(raw: bytes, offsets: list[int] | None = None):
+    """The records of an archive, in order; without an index the ends of frames are found by reading them, a block at a time."""
     import zstandard
 
     magic, n = struct.unpack_from("<II", raw)
     if magic != SKIPPABLE:
         raise ValueError("no dictionary frame at the start")
     engine = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + n]))
-    at, view = 8 + n, memoryview(raw)
+    view = memoryview(raw)
+    if offsets is not None:
+        for a, b in zip(offsets, [*offsets[1:], len(raw)], strict=True):
+            yield engine.decompressobj().decompress(view[a:b])
+        return
+    at = 8 + n
     while at < len(raw):
-        one = engine.decompressobj()
-        text = one.decompress(view[at:])
-        at = len(raw) - len(one.unused_data)
-        yield text
+        one, text = engine.decompressobj(), []
+        while not one.eof:
+            if at >= len(raw):
+                raise ValueError("an archive ends within a record")
+            block = view[at : at + FRAME_BLOCK]
+            text.append(one.decompress(block))
+            at += len(block)
+        at -= len(one.unused_data)
+        yield b"".join(text)
 
 
 def roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """page_id, url, payload, digest, refers_to (null: response)."""
-    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
-    large = F.octet_length("payload") >= MIN_REVISIT
-    # Only payloads seen twice take part in the join, and only their keys are shuffled to find them.
-    shared = rows.where(large & F.col("page_id").isNotNull()).groupBy(F.col("digest").alias("same"), F.octet_length("payload").alias("size")).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(shared, (F.col("digest") == F.col("same")) & (F.octet_length("payload") == F.col("size")), "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"))
+    ship(pages.sparkSession)
+    payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
+    same = F.concat_ws(":", "digest", F.octet_length("payload"))
+    keys = staged(rows.where((F.octet_length("payload") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", same.alias("same")), "keys")
+    shared = staged(keys.groupBy("same").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1"), "shared")
+    copies = keys.join(shared.select("same"), "same", "left_semi")
+    later = spread_join(copies, shared, "same", "n").where("page_id < last").select(F.col("page_id").alias("of"), "same", "last").distinct()
+    # pages without an id are dealt by their digest; none of them is a revisit
+    own = rows.withColumn("same", same).withColumn("of", F.coalesce("page_id", F.xxhash64("url", "digest")))
+    joined = own.join(later, ["of", "same"], "left")
+    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("page_id").isNotNull(), F.col("last")).alias("refers_to"))
 
 
 def write(rows: DataFrame, out: str) -> DataFrame:
-    """Write the archives of ``roles`` rows below ``out``; one row per archive: path, n_records."""
+    """Write the archives of ``roles`` rows below ``out``, each with an index of 64-bit offsets; one row per archive: path, n_records; staged."""
     ship(rows.sparkSession)
 
     def run(batches):
@@ -148,9 +166,10 @@ def write(rows: DataFrame, out: str) -> DataFrame:
 
         def flush():
             nonlocal part, held, size
-            parts, _ = archive(held)
+            parts, offsets = archive(held)
             path = f"{out}/archive-{p:06d}-{part:04d}.warc.zst"
             put_file(path, *parts)
+            put_file(f"{path}.idx", struct.pack(f"<{len(offsets)}q", *offsets))
             made = pa.RecordBatch.from_pydict({"path": [path], "n_records": [len(held)]})
             part, held, size = part + 1, [], 0
             return made
@@ -164,12 +183,30 @@ def write(rows: DataFrame, out: str) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, "path string, n_records long")
+    return staged(rows.mapInArrow(lean(run, 64), "path string, n_records long"), "archives")
 
 
-def read(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, archive."""
-    ship(spark)
+def read_record(path: str, offset: int) -> tuple[dict[str, str], bytes]:
+    """The record whose frame begins at ``offset`` of an archive; only the dictionary and this frame are read."""
+    import zstandard
+
+    files, at = open_fs(path)
+    with files.open_input_file(at) as f:
+        _, n = struct.unpack("<II", f.read(8))
+        one = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(f.read(n))).decompressobj()
+        f.seek(offset)
+        text = []
+        while not one.eof:
+            block = f.read(FRAME_BLOCK)
+            if not block:
+                raise ValueError("an archive ends within a record")
+            text.append(one.decompress(block))
+    return parse(b"".join(text))
+
+
+def read(archives: DataFrame) -> DataFrame:
+    """One row per record of the archives (path): page_id, url, payload_bytes, payload_digest, record_type, refers_to, archive."""
+    ship(archives.sparkSession)
     names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string"
 
@@ -191,17 +228,17 @@ def read(spark: SparkSession, paths: list[str]) -> DataFrame:
                 files, at = open_fs(path)
                 with files.open_input_file(at) as f:
                     raw = f.read()
-                rows = [one(x, path) for x in records_of(raw)]
+                with files.open_input_file(f"{at}.idx") as f:
+                    index = f.read()
+                rows = [one(x, path) for x in records_of(raw, list(struct.unpack(f"<{len(index) // 8}q", index)))]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema([(k, pa.string() if k in ("url", "payload_digest", "record_type", "archive") else pa.int64()) for k in names]))
 
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths))).mapInArrow(run, schema)
+    spark = archives.sparkSession
+    return archives.select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(lean(run, 1), schema)
 
 
 def write_and_read(pages: DataFrame) -> DataFrame:
-    spark = pages.sparkSession
-    out = scratch(spark, "warc")
-    made = write(roles(pages), out).collect()  # a row for each archive, not for records
-    return read(spark, [r["path"] for r in made])
+    return read(write(roles(pages), scratch(pages.sparkSession, "warc")))
 
 
 SQL = f"""
