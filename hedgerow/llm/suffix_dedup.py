@@ -329,6 +329,8 @@ def _marked(data, sizes, rows, ids, starts):
     occurrence = np.repeat(np.arange(len(sizes)), windows)
     step = np.arange(len(occurrence)) - np.repeat(np.cumsum(windows) - windows, windows)
     goes = np.flatnonzero(smallest[place[kind[occurrence]] + step] < ids[occurrence])
+    if not len(goes):
+        return rows[:0], starts[:0], starts[:0]
     occurrence, step = occurrence[goes], step[goes]
     new = np.ones(len(goes), bool)
     new[1:] = (occurrence[1:] != occurrence[:-1]) | (step[1:] != step[:-1] + 1)
