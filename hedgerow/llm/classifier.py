@@ -124,7 +124,7 @@ def _features(text: bytes) -> bytes:
 def fit(docs: DataFrame, text_col: str = "text", train_texts: int = TRAIN_TEXTS):
     """(weights with bias, labeller -> vote law by class)."""
     ship(docs.sparkSession)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     votes = _votes()
     names = list(votes)
     rows = docs.select(text.alias("text"))
@@ -167,7 +167,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
             p = 1 / (1 + np.exp(-np.clip(np.concatenate(z) if z else np.zeros(0), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(p), pa.array(p >= cut)], ["doc_id", "score", "kept"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double, kept boolean")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double, kept boolean")
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

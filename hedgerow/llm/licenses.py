@@ -143,6 +143,6 @@ def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == "license" else pa.int64()) for k, c in zip(("doc_id", *names), columns, strict=True)], ["doc_id", *names])
 
-    text = F.col(text_col).cast("string")
-    rows = docs.where(text.rlike(CUE)).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.where(text.rlike(CUE)).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
     return rows.mapInArrow(lean(run), "doc_id long, license string, start long, end long, differences long, saved long")

@@ -95,6 +95,23 @@ def test_exact_dedup(spark, docs):
     assert exact_dedup.kept(docs.union(docs)).count() == len(set(texts))
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 4), st.integers(0, 99)), max_size=12), max_size=7))
+def test_merge_of_runs_equals_a_sort_of_all(runs):
+    digest = lambda k: np.frombuffer(hashlib.sha256(bytes([k])).digest(), ">u8").astype(np.uint64)
+    entry = lambda run: (np.array([digest(k) for k, _, _ in run], np.uint64).reshape(-1, 4), np.array([i for _, i, _ in run], np.int64), np.array([r for _, _, r in run], np.int64), np.ones(len(run), np.int64))
+    words, ids, rows, counts = exact_dedup.merged([exact_dedup._sorted_run(*entry(r)) for r in runs])
+    every = [x for r in runs for x in r]
+    want = sorted((digest(k).tolist(), min((i, r) for q, i, r in every if q == k), sum(q == k for q, _, _ in every)) for k in {k for k, _, _ in every})
+    assert [(w, (i, r), n) for w, i, r, n in zip(words.tolist(), ids.tolist(), rows.tolist(), counts.tolist(), strict=True)] == want
+
+
+def test_exact_dedup_ignores_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a  b", "x"), (2, "a b", "y"), (None, "c", "z")], "doc_id long, text string, text_sha256 string").withColumns({"digest": F.lit(1), "row": F.lit(2), "keep_id": F.lit(3)})
+    out = exact_dedup.kept(docs)
+    assert out.columns == docs.columns and sorted(r.text_sha256 for r in out.collect()) == ["x", "z"]
+
+
 def test_exact_dedup_over_many_rounds(spark):
     rows = spark.range(0, 3000, 1, 40).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7).alias("text"))
     got = exact_dedup.label(rows).select("keep_id", "group_size").distinct().collect()
@@ -206,6 +223,52 @@ def test_local_search_of_many_lengths():
     assert Counter(s for c, n in last.items() for s in c for _ in range(n)) == lengths
 
 
+def test_token_shards_cut_by_bytes_with_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "b"), (None, "a " * 500), (3, "x"), (3, "w"), (1, None), (2, "long " * 3000), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    shards = token_files.write(docs, P.path("word_bpe_49k.json"), f"{tmp_path}/d", shard_bytes=64)
+    got = sorted(token_files.read(spark, f"{tmp_path}/d").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 1, 2, 3, 3, 9] and len(shards) >= 3
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
+    assert sum(s["n_docs"] for s in shards) == len(rows) and not [p for p in (tmp_path / "d").iterdir() if p.name.endswith(".tmp")]
+
+
+def test_decoding_by_offsets(spark):
+    c = bpe.codec(P.path("byte_bpe_multi_50k.tiktoken"))
+    text = "Grüße, the cat's toy – 東京 123\n\n" * 20
+    ids = np.frombuffer(c.encode([text])[0], "<u4")
+    at = c.offsets(ids)
+    assert c.decode(ids, at) == text.encode() and len(at) == len(ids)
+    for first, end in ((0, 5), (7, 7), (13, 200), (100, 10_000)):
+        assert c.decode_bytes(ids, at, first, end) == text.encode()[first:end]
+
+
+def test_long_texts_are_cut_where_pieces_end(tik):
+    rng = np.random.default_rng(12)
+    text = "".join(rng.choice(["word", " ", "  ", "\n", "it's", " 12", "\u3000", "\x1c", "é", "!"], 4000))
+    for most in (1, 7, 100):
+        parts = [p for portion in bpe.portions([text, "", text[:50]], most) for p in portion]
+        assert "".join(t for i, t in parts if i == 0) == text and max(map(len, (t for _, t in parts))) < 400 + most
+        assert [x for i, t in parts if i == 0 for x in tik.encode_ordinary(t)] == tik.encode_ordinary(text)
+
+
+def test_warc_offsets_repeats_and_streams(spark, tmp_path):
+    big = "<p>" + "x" * 3000
+    pages = [(1, "a", big), (1, "a", big), (2, "b", big), (2, "c", big), (None, "d", big), (None, "e", big), (3, "f", "é" * 200_000), (4, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    archives = warc.write(warc.roles(df), f"{tmp_path}/w")
+    got = warc.read(archives).collect()
+    assert sorted((r.page_id or 0, r.url, r.record_type, r.refers_to or 0) for r in got) == [(0, "d", "response", 0), (0, "e", "response", 0), (1, "a", "revisit", 2), (1, "a", "revisit", 2), (2, "b", "response", 0), (2, "c", "response", 0), (3, "f", "response", 0), (4, "", "response", 0)]
+    import struct
+
+    for r in archives.collect():
+        raw, index = open(r.path, "rb").read(), open(f"{r.path}.idx", "rb").read()
+        offsets = list(struct.unpack(f"<{len(index) // 8}q", index))
+        whole = list(warc.records_of(raw, offsets))
+        assert list(warc.records_of(raw)) == whole and len(whole) == r.n_records
+        assert [warc.read_record(r.path, at) for at in offsets] == list(map(warc.parse, whole))
+
+
 def test_warc(spark):
     same = "<p>" + "é" * 700
     pages = [(1, "http://a", same), (2, "http://b", None), (3, None, same), (4, "u\r\nv", "small"), (5, "w", "small"), (None, "n", same), (-6, "m", "x" * 2000)]
@@ -248,6 +311,21 @@ def test_suffix_dedup(spark):
     assert cut.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") and cut.count() == len(texts)
 
 
+def test_suffix_dedup_with_hot_minimizers(spark):
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    phrase, passage = word(46), word(90)
+    texts = [word(60) + (phrase if k % 2 else passage) + word(60) for k in range(60)] + [None, "", passage, word(300)]
+    df = table(spark, texts).select("doc_id", "text")
+    packed = {r.doc_id: r.vals for r in suffix_dedup.removals(df, hot_texts=20).collect()}
+    for i, gone in enumerate(brute_suffix(texts)):
+        cut = np.zeros(len(gone), bool)
+        for a, b in suffix_dedup.united(packed[i]) if packed[i] else ():
+            cut[a:b] = True
+        assert (cut == gone).all() or texts[i] == passage, i
+    assert len(suffix_dedup._hot_minimizers(df.where("text IS NOT NULL"), 20)) > 0
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(alphabet="ab", min_size=50, max_size=75), min_size=1, max_size=12))
 def test_merged_transforms_find_every_repeat(strings):
@@ -330,6 +408,61 @@ def test_samples_estimate_weighted_similarity():
     assert all(abs(x - y) < 0.2 for x, y in hits)
 
 
+def test_samples_agree_as_often_as_weighted_similarity_says():
+    rng = np.random.default_rng(8)
+    off = []
+    for _ in range(30):
+        value = np.sort(rng.integers(1, 1 << 63, 400, np.uint64))
+        weight = rng.gamma(0.5, 3.0, 400) + 0.05
+        scaled = weight * rng.choice([0.5, 1.0, 2.0], 400)
+        both = near_dedup.samples(np.repeat([0, 1], 400), np.concatenate([value, value]), np.concatenate([weight, scaled]), 2)
+        off.append((both[0] == both[1]).mean() - np.minimum(weight, scaled).sum() / np.maximum(weight, scaled).sum())
+    assert abs(np.mean(off)) < 0.04 and np.std(off) < 0.12
+
+
+def weighted_links(texts):
+    """All pairs at the threshold, by brute force over all pairs and without hashing."""
+    from collections import Counter
+    from math import log1p
+
+    bags = []
+    for t in texts:
+        w = (t or "").lower().split()
+        bags.append(Counter([tuple(w[k : k + 5]) for k in range(len(w) - 4)] or ([tuple(w)] if w else [])))
+    df, n = Counter(s for b in bags for s in b), len(texts)
+    weight = {s: 1 - near_dedup.DAMP + near_dedup.DAMP * log1p(n / k) / log1p(n) for s, k in df.items()}
+    out = set()
+    for i, a in enumerate(bags):
+        for j in range(i):
+            low = sum(min(a[s], bags[j][s]) * weight[s] for s in a.keys() & bags[j].keys())
+            high = sum(max(a[s], bags[j][s]) * weight[s] for s in a.keys() | bags[j].keys())
+            if not high or low / high >= near_dedup.THRESHOLD:
+                out.add((j, i))
+    return out
+
+
+def test_near_dedup_equals_brute_force_over_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [None, "", "one two", "one  TWO"]
+    for _ in range(12):  # families of copies with one to ten words changed, from clear copies to clear strangers, and repeated stretches
+        base = list(rng.choice(words, 90)) + ["the same five words again"] * int(rng.integers(0, 4))
+        for _ in range(8):
+            own = list(base)
+            for k in rng.choice(len(own), int(rng.integers(0, 6)), replace=False):
+                own[k] = str(rng.choice(words))
+            texts.append(" ".join(own))
+    links = weighted_links(texts)
+    label = list(range(len(texts)))
+    for j, i in sorted(links):
+        a, b = label[j], label[i]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    got = {r.doc_id: r.class_id for r in near_dedup.label(table(spark, texts)).collect()}
+    assert 40 < len(links) < 400
+    assert np.mean([got[j] == got[i] for j, i in links]) >= 0.98  # recall of links
+    assert all(label[i] == label[c] for i, c in got.items())  # no class joins what no chain of links joins
+
+
 def test_licenses(spark):
     notice = dict(licenses.TEMPLATES[::-1])
     texts = ["Some words. Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0.", "Licensed under CC BY-NC 3.0.", "we licensed the photograph under no terms at all", None, "", "x " * 5000 + "Released under the MIT License. And Licensed under CC BY-SA 4.0.", notice["BSD-3-Clause"]]
