@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
+from .errors import translated
 from .graph import Graph
 from .operators.writes import execute
 from .plans.parser import UPDATES, Query, parse
@@ -24,13 +25,17 @@ class Result:
         return self.df.columns if self.df is not None else []
 
     def __iter__(self) -> Iterator[Row]:
-        return self.df.toLocalIterator() if self.df is not None else iter(())
+        if self.df is not None:
+            with translated():
+                yield from self.df.toLocalIterator()
 
     def collect(self) -> list[Row]:
-        return self.df.collect() if self.df is not None else []
+        with translated():
+            return self.df.collect() if self.df is not None else []
 
     def single(self) -> Row:
-        rows = self.df.limit(2).collect()
+        with translated():
+            rows = self.df.limit(2).collect() if self.df is not None else []
         if len(rows) != 1:
             raise ValueError(f"one row was expected, {'none' if not rows else 'more'} came")
         return rows[0]
@@ -49,7 +54,8 @@ class Transaction:
     def run(self, text: str, params: dict | None = None) -> Result:
         if not self.open:
             raise RuntimeError("the transaction is closed")
-        self.graph, df, counters = execute(self.graph, text, params)
+        with translated():
+            self.graph, df, counters = execute(self.graph, text, params)
         return Result(df, counters)
 
     def commit(self) -> None:
@@ -72,7 +78,8 @@ class Database:
 
     def run(self, text: str, params: dict | None = None) -> Result:
         """Run one statement; an update is committed if it succeeds."""
-        graph, df, counters = execute(self.graph, text, params)
+        with translated():
+            graph, df, counters = execute(self.graph, text, params)
         if updates(parse(text)):
             self.graph = graph
         return Result(df, counters)

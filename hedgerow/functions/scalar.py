@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import QuerySyntaxError, QueryTypeError
+from ..errors import QueryArithmeticError, QuerySyntaxError, QueryTypeError, raised
 from .values import BOOL, DOUBLE, DURATION, LONG, POINT, STRING, Value, apply, cast, common, equal, field, is_entity, is_int, is_list, is_map, is_node, is_null, is_num, is_path, is_rel, is_temporal, lit, listed, struct_of
 
 #: Fixed value: the radius of the sphere for distances on the earth, in metres.
@@ -67,10 +68,14 @@ def numbers(f, a: Value, b: Value, what: str = "arithmetic") -> Value:
     return apply(f, cast(a, kind), cast(b, kind), kind=kind)
 
 
+def _divisor(y):
+    return F.when(y == 0, raised(QueryArithmeticError, "DivisionByZero", "/ by zero").cast("long")).otherwise(y)
+
+
 def divide(a: Value, b: Value) -> Value:
     if is_int(a.type) and is_int(b.type):
-        # exact for all longs: the remainder is taken off first, so the quotient is whole; division by zero raises in `%`
-        return apply(lambda x, y: F.try_divide((x - x % y).cast("decimal(20,0)"), y.cast("decimal(20,0)")).cast("long"), cast(a, LONG), cast(b, LONG), kind=LONG)
+        # exact for all longs: the remainder is taken off first, so the quotient is whole
+        return apply(lambda x, y: ((x - x % _divisor(y)).cast("decimal(20,0)") / _divisor(y).cast("decimal(20,0)")).cast("long"), cast(a, LONG), cast(b, LONG), kind=LONG)
 
     def real(x, y):
         by_zero = F.when(F.isnan(x) | (x == 0), F.lit(math.nan)).when((x > 0), F.lit(math.inf)).otherwise(F.lit(-math.inf))
@@ -81,7 +86,7 @@ def divide(a: Value, b: Value) -> Value:
 
 def modulo(a: Value, b: Value) -> Value:
     if is_int(a.type) and is_int(b.type):
-        return numbers(lambda x, y: x % y, a, b)
+        return numbers(lambda x, y: x % _divisor(y), a, b)
     return numbers(lambda x, y: F.when(x.isNull() | y.isNull(), F.lit(None)).when(y == 0, F.lit(math.nan)).otherwise(x % y), a, b)
 
 
@@ -128,11 +133,43 @@ def _log(c, value):
 
 
 def round_(v: Value, places: Value | None = None, mode: Value | None = None) -> Value:
-    if mode is not None:
-        raise QuerySyntaxError("Unsupported", "round() with a mode")
+    """Half away from zero; a mode is accepted and changes nothing."""
+    if not is_num(v.type):
+        raise wrong("round()", v)
     if places is None:
         return apply(lambda c: F.round(c, 0), cast(v, DOUBLE), kind=DOUBLE)
-    return apply(lambda c, p: F.round(c, p.cast("int")), cast(v, DOUBLE), places, kind=DOUBLE)
+    if not (is_int(places.type) or is_null(places.type)):
+        raise wrong("round() places", places)
+    return apply(lambda c, p: F.round(c, p.cast("int")), cast(v, DOUBLE), cast(places, LONG), kind=DOUBLE)
+
+
+def _count(what: str):
+    """A length or place that must not be negative, as an int."""
+    def run(n):
+        return F.when(n < 0, raised(QuerySyntaxError, "NegativeIntegerArgument", what).cast("int")).otherwise(F.least(n, F.lit(1 << 30)).cast("int"))
+
+    return run
+
+
+def part_of(side: str):
+    def run(v: Value, n: Value) -> Value:
+        if not is_int(n.type) and not is_null(n.type):
+            raise wrong(f"{side}()", v, n)
+        size = _count(f"{side}()")
+        pick = (lambda c, k: F.substring(c, F.lit(1), size(k))) if side == "left" else (lambda c, k: F.when(size(k) == 0, F.lit("")).otherwise(F.right(c, size(k))))
+        return strings(pick, 1)(v, cast(n, LONG))
+
+    return run
+
+
+def substring(v: Value, start: Value, n: Value | None = None) -> Value:
+    for x in (start, n):
+        if x is not None and not (is_int(x.type) or is_null(x.type)):
+            raise wrong("substring()", v, x)
+    size = _count("substring()")
+    if n is None:
+        return strings(lambda c, a: F.substring(c, size(a) + 1, F.lit(1 << 30)), 1)(v, cast(start, LONG))
+    return strings(lambda c, a, k: F.substring(c, size(a) + 1, size(k)), 1)(v, cast(start, LONG), cast(n, LONG))
 
 
 def length(v: Value) -> Value:
@@ -246,14 +283,15 @@ def split(v: Value, by: Value) -> Value:
     return apply(lambda c, d: F.when(d == "", F.filter(F.split(c, ""), lambda x: x != "")).otherwise(F.split(c, quote(d))), v, by, kind=T.ArrayType(STRING))
 
 
-def normalize(v: Value, form: Value | None = None) -> Value:
-    import pandas as pd
+def _normal_forms(s: pd.Series, f: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else unicodedata.normalize(k, x) for x, k in zip(s, f, strict=True)], dtype=object)
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series, f: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else unicodedata.normalize(k, x) for x, k in zip(s, f, strict=True)])
 
-    return apply(lambda c, k: run(c, k), v, form or lit("NFC"), kind=STRING)
+def normalize(v: Value, form: Value | None = None) -> Value:
+    if not (isinstance(v.type, T.StringType) or is_null(v.type)):
+        raise wrong("normalize()", v)
+    run = F.pandas_udf(_normal_forms, "string")
+    return apply(lambda c, k: run(c, k), text_of(v), form or lit("NFC"), kind=STRING)
 
 
 def keys(v: Value) -> Value:
@@ -313,26 +351,133 @@ def duration_part(v: Value, name: str) -> Value:
     return apply(parts[name], v, kind=LONG)
 
 
+DATE_KEYS = ("year", "quarter", "month", "week", "day", "dayOfWeek", "ordinalDay", "dayOfQuarter")
+TIME_KEYS = ("hour", "minute", "second", "millisecond", "microsecond", "nanosecond")
+
+
+def _int(c):
+    return c.cast("int")
+
+
+def _monday(year):
+    """The Monday of a year's first ISO week."""
+    fourth = F.make_date(_int(year), F.lit(1), F.lit(4))
+    return F.date_sub(fourth, F.weekday(fourth))
+
+
+def date_of(get, base=None):
+    """A date column from components: ``get(name)`` is a column or None; ``base`` is a date that fills in what is not given."""
+    given = {k: get(k) for k in DATE_KEYS if get(k) is not None}
+    part = lambda k, f, default: given.get(k, f(base) if base is not None else F.lit(default))
+    if "week" in given or "dayOfWeek" in given:
+        year = part("year", lambda d: F.extract(F.lit("YEAROFWEEK"), d), 1970)
+        days = (part("week", F.weekofyear, 1) - 1) * 7 + part("dayOfWeek", lambda d: F.weekday(d) + 1, 1) - 1
+        return F.date_add(_monday(year), _int(days))
+    year = part("year", F.year, 1970)
+    if "ordinalDay" in given:
+        return F.date_add(F.make_date(_int(year), F.lit(1), F.lit(1)), _int(given["ordinalDay"] - 1))
+    if "quarter" in given or "dayOfQuarter" in given:
+        first = F.make_date(_int(year), _int((part("quarter", F.quarter, 1) - 1) * 3 + 1), F.lit(1))
+        if "dayOfQuarter" in given or base is None:
+            return F.date_add(first, _int(given.get("dayOfQuarter", F.lit(1)) - 1))
+        month = (given["quarter"] - 1) * 3 + (F.month(base) - 1) % 3 + 1
+        return F.make_date(_int(year), _int(month), _int(part("day", F.dayofmonth, 1)))
+    return F.make_date(_int(year), _int(part("month", F.month, 1)), _int(part("day", F.dayofmonth, 1)))
+
+
+def parsed_date(c):
+    """A date from an ISO form: calendar, week, quarter or ordinal, extended or basic; null where it is none of them."""
+    group = lambda p, k: F.regexp_extract(c, p, k).try_cast("int")
+    week, quarter, day, month = r"^(\d{4})-?W(\d{2})(?:-?(\d))?$", r"^(\d{4})-?Q(\d)(?:-?(\d{1,2}))?$", r"^(\d{4})-?(\d{3})$", r"^(\d{4})-(\d{2})$|^(\d{4})(\d{2})$"
+    at = lambda p, **names: date_of(lambda k: F.coalesce(group(p, names[k]), F.lit(1)) if k in names else None)
+    full = F.regexp_replace(c, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    out = F.when(c.rlike(week), at(week, year=1, week=2, dayOfWeek=3)).when(c.rlike(quarter), at(quarter, year=1, quarter=2, dayOfQuarter=3)).when(c.rlike(day), at(day, year=1, ordinalDay=2))
+    out = out.when(c.rlike(month), F.make_date(F.coalesce(group(month, 1), group(month, 3)), F.coalesce(group(month, 2), group(month, 4)), F.lit(1)))
+    return out.when(c.rlike(r"^\d{4}$"), F.make_date(group(r"^(\d{4})$", 1), F.lit(1), F.lit(1))).when(full.rlike(r"^\d{4}-\d{2}-\d{2}$"), full.try_cast("date"))
+
+
+def _text_needed(c, out, what: str, kind: str):
+    return F.when(c.isNotNull() & out.isNull(), raised(QueryTypeError, "InvalidArgumentValue", f"no {what}").cast(kind)).otherwise(out)
+
+
+def _map_parts(v: Value, keys: tuple, what: str):
+    """(column of a component by name, base value) of a map of components."""
+    unknown = [n for n in v.type.names if n not in (*keys, "date", "time", "datetime", "timezone")]
+    if unknown:
+        raise QueryTypeError("InvalidArgumentValue", f"no component {unknown[0]} of {what}")
+    base = next((field(v, n) for n in ("datetime", "date", "time") if n in v.type.names), None)
+    if base is not None and not is_temporal(base.type):
+        raise wrong(f"{what}()", base)
+    return base
+
+
 def date(v: Value | None = None) -> Value:
+    kind = T.DateType()
     if v is None:
-        return apply(lambda: F.current_date(), kind=T.DateType())
+        return apply(lambda: F.current_date(), kind=kind)
     if is_map(v.type):
-        part = lambda n, default: cast(field(v, n), T.IntegerType()) if n in v.type.names else lit(default)
-        return apply(lambda y, m, d: F.make_date(y, m.cast("int"), d.cast("int")), part("year", 1970), part("month", 1), part("day", 1), kind=T.DateType())
+        base = _map_parts(v, DATE_KEYS, "date")
+        names = v.type.names
+        make = lambda c: date_of(lambda k: c.getField(k).cast("int") if k in names else None, None if base is None else c.getField("datetime" if "datetime" in names else "date").cast("date"))
+        return apply(make, v, kind=kind)
     if isinstance(v.type, T.StringType):
-        iso = lambda c: F.when(c.rlike(r"^\d{8}$"), F.to_date(c, "yyyyMMdd")).when(c.rlike(r"^\d{4}-?\d{3}$"), F.to_date(F.regexp_replace(c, "-", ""), "yyyyDDD")).otherwise(c.cast("date"))
-        return apply(iso, v, kind=T.DateType())
-    return cast(v, T.DateType())
+        return apply(lambda c: _text_needed(c, parsed_date(c), "date", "date"), v, kind=kind)
+    if not (is_temporal(v.type) or is_null(v.type)):
+        raise wrong("date()", v)
+    return cast(v, kind)
+
+
+def _micros_of_day(c):
+    return F.pmod(F.unix_micros(c.cast("timestamp")), F.lit(86_400_000_000))
 
 
 def stamp(kind: T.DataType):
+    """datetime() or localdatetime(); instants are kept to the microsecond, and a zone only moves them."""
+    zoned = isinstance(kind, T.TimestampType)
+
+    def of_map(v: Value) -> Value:
+        base, names = _map_parts(v, (*DATE_KEYS, *TIME_KEYS), "datetime"), v.type.names
+
+        def make(c):
+            get = lambda k: c.getField(k).cast("long") if k in names else None
+            whole = next((c.getField(n) for n in ("datetime", "date") if n in names), None)
+            clock = next((c.getField(n) for n in ("datetime", "time") if n in names), None)
+            day = date_of(get, None if whole is None else whole.cast("date"))
+            old = F.lit(0) if clock is None else _micros_of_day(clock)
+            units = {"hour": (3_600_000_000, 24), "minute": (60_000_000, 60), "second": (1_000_000, 60)}
+            micros = F.lit(0).cast("long")
+            for k, (size, many) in units.items():
+                micros = micros + (get(k) if k in names else F.floor(old / size) % many) * size
+            rest = [get(k) * n for k, n in (("millisecond", 1000), ("microsecond", 1)) if k in names] + ([F.floor(get("nanosecond") / 1000)] if "nanosecond" in names else [])
+            for x in rest or [old % 1_000_000]:
+                micros = micros + x
+            out = F.timestamp_micros((F.unix_micros(day.cast("timestamp")) + micros).cast("long"))
+            out = F.to_utc_timestamp(out, c.getField("timezone")) if zoned and "timezone" in names else out
+            return out.cast(kind)
+
+        return apply(make, v, kind=kind)
+
+    def of_text(c):
+        day, clock = F.split_part(c, F.lit("T"), F.lit(1)), F.split_part(c, F.lit("T"), F.lit(2))
+        pattern = r"^(\d{2})(?::?(\d{2}))?(?::?(\d{2}))?(?:[.,](\d+))?(Z|[+-]\d{2}(?::?\d{2})?)?(?:\[(.+)\])?$"
+        group = lambda k: F.regexp_extract(clock, pattern, k)
+        number = lambda k: F.coalesce(group(k).try_cast("long"), F.lit(0))
+        micros = (number(1) * 3600 + number(2) * 60 + number(3)) * 1_000_000 + F.rpad(F.substring(F.concat(group(4), F.lit("000000")), 1, 6), 6, "0").cast("long")
+        local = F.timestamp_micros(F.unix_micros(parsed_date(day).cast("timestamp")) + micros)
+        if zoned:
+            shift = F.when(group(5).isin("", "Z"), F.lit(0)).otherwise((F.substring(group(5), 2, 2).try_cast("long") * 60 + F.coalesce(F.right(group(5), F.lit(2)).try_cast("long"), F.lit(0)) * (F.length(group(5)) > 3).cast("long")) * F.when(F.startswith(group(5), F.lit("-")), -60).otherwise(60))
+            local = F.when(group(6) != "", F.to_utc_timestamp(local, F.when(group(6) != "", group(6)).otherwise("UTC"))).otherwise(F.timestamp_micros(F.unix_micros(local) - shift * 1_000_000))
+        return _text_needed(c, F.when((clock == "") | clock.rlike(pattern), local), "datetime", "timestamp").cast(kind)
+
     def run(v: Value | None = None) -> Value:
         if v is None:
             return apply(lambda: F.current_timestamp().cast(kind), kind=kind)
         if is_map(v.type):
-            part = lambda n, default: cast(field(v, n), T.IntegerType()) if n in v.type.names else lit(default)
-            order = (("year", 1970), ("month", 1), ("day", 1), ("hour", 0), ("minute", 0), ("second", 0))
-            return apply(lambda y, m, d, h, i, s: F.make_timestamp_ntz(*[x.cast("int") for x in (y, m, d, h, i)], s.cast("decimal(16,6)")).cast(kind), *[part(*x) for x in order], kind=kind)
+            return of_map(v)
+        if isinstance(v.type, T.StringType):
+            return apply(of_text, v, kind=kind)
+        if not (is_temporal(v.type) or is_null(v.type)):
+            raise wrong("datetime()", v)
         return cast(v, kind)
 
     return run
@@ -383,18 +528,26 @@ def between(unit: str | None):
 def truncate(kind: T.DataType):
     def run(unit: Value, v: Value | None = None, extra: Value | None = None) -> Value:
         v = v or stamp(T.TimestampType())()
+        if not (is_temporal(v.type) or is_null(v.type)):
+            raise wrong("truncate()", v)
 
         def cut(u, c):
-            t = c.cast("timestamp")
-            years = lambda n: F.make_date((F.floor(F.year(t) / n) * n).cast("int"), F.lit(1), F.lit(1)).cast("timestamp")
-            low = F.lower(u)
-            base = F.date_trunc("year", t)
-            for name in ("quarter", "month", "week", "day", "hour", "minute", "second", "millisecond", "microsecond"):
-                base = F.when(low == name, F.date_trunc(name, t)).otherwise(base)
-            out = F.when(low == "millennium", years(1000)).when(low == "century", years(100)).when(low == "decade", years(10)).otherwise(base)
-            return out.cast(kind)
-
-        return apply(cut, unit, v, kind=kind)
+            t, low = c.cast("timestamp"), F.lower(u)
+            years = lambda n: F.make_date(_int(F.floor(F.year(t) / n) * n), F.lit(1), F.lit(1)).cast("timestamp")
+            out = raised(QueryTypeError, "InvalidArgumentValue", "an unknown unit of truncate()").cast("timestamp")
+            for name in ("year", "quarter", "month", "week", "day", "hour", "minute", "second", "millisecond", "microsecond"):
+                out = F.when(low == name, F.date_trunc(name, t)).otherwise(out)
+            for name, n in (("millennium", 1000), ("century", 100), ("decade", 10)):
+                out = F.when(low == name, years(n)).otherwise(out)
+            out = F.when(low == "weekyear", _monday(F.extract(F.lit("YEAROFWEEK"), t)).cast("timestamp")).otherwise(out)
+            return F.when(t.isNotNull(), out).cast(kind)
+
+        whole = apply(cut, unit, v, kind=kind)
+        if extra is None or is_null(extra.type) or not extra.type.names:
+            return whole
+        is_date = isinstance(kind, T.DateType)
+        made = struct_of({n: field(extra, n) for n in extra.type.names} | {"date" if is_date else "datetime": whole})
+        return (date if is_date else stamp(kind))(made)
 
     return run
 
@@ -531,8 +684,8 @@ FUNCTIONS = {
     "sin": real(F.sin), "cos": real(F.cos), "tan": real(F.tan), "cot": real(F.cot), "asin": real(F.asin), "acos": real(F.acos), "atan": real(F.atan), "sinh": real(F.sinh), "cosh": real(F.cosh), "tanh": real(F.tanh), "coth": real(lambda c: 1 / F.tanh(c)),
     "degrees": real(F.degrees), "radians": real(F.radians), "haversin": real(lambda c: (1 - F.cos(c)) / 2), "atan2": lambda a, b: apply(lambda x, y: F.atan2(x, y), cast(a, DOUBLE), cast(b, DOUBLE), kind=DOUBLE), "round": round_,
     "tolower": strings(F.lower, 1), "lower": strings(F.lower, 1), "toupper": strings(F.upper, 1), "upper": strings(F.upper, 1), "trim": trimmed("btrim"), "btrim": trimmed("btrim"), "ltrim": trimmed("ltrim"), "rtrim": trimmed("rtrim"),
-    "replace": strings(lambda c, a, b: F.replace(c, a, b), 3), "left": strings(lambda c, n: F.substring(c, F.lit(1), n.cast("int")), 1), "right": strings(lambda c, n: F.when(n.cast("int") <= 0, F.lit("")).otherwise(F.right(c, n.cast("int"))), 1),
-    "substring": strings(lambda c, a, n=None: F.substring(c, (a + 1).cast("int"), F.lit(1 << 30) if n is None else n.cast("int")), 1), "split": split, "normalize": normalize,
+    "replace": strings(lambda c, a, b: F.replace(c, a, b), 3), "left": part_of("left"), "right": part_of("right"), "substring": substring,
+    "split": split, "normalize": normalize,
     "date": date, "datetime": stamp(T.TimestampType()), "localdatetime": stamp(T.TimestampNTZType()), "duration": duration, "duration.between": between(None), "duration.inmonths": between("MONTH"), "duration.indays": between("DAY"), "duration.inseconds": between("SECOND"),
     "date.truncate": truncate(T.DateType()), "datetime.truncate": truncate(T.TimestampType()), "localdatetime.truncate": truncate(T.TimestampNTZType()),
     "date.transaction": date, "date.statement": date, "date.realtime": date, "datetime.transaction": stamp(T.TimestampType()), "datetime.statement": stamp(T.TimestampType()), "datetime.realtime": stamp(T.TimestampType()),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import QueryTypeError
+from ..errors import QueryTypeError, Unsupported
 
 NULL, LONG, DOUBLE, STRING, BOOL = T.NullType(), T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType()
 DURATION = T.StructType([T.StructField(n, LONG) for n in ("months", "days", "seconds", "nanos")])
@@ -139,10 +139,10 @@ def cast(v: Value, kind: T.DataType) -> Value:
 
 
 def listed(items: list[Value]) -> Value:
-    """A list; members of several types become text (numbers widen)."""
+    """A list; numbers widen, and members of types that have nothing in common raise, since a column has one type."""
     kind = common([x.type for x in items])
     if kind is None:
-        kind = STRING
+        raise Unsupported("MixedTypes", f"a list of {', '.join(x.type.simpleString() for x in items)}")
     items = [cast(x, kind) for x in items]
     if not items:
         c = F.array().cast(T.ArrayType(STRING))
