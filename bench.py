@@ -12,7 +12,7 @@ from hedgerow.queries import QUERIES
 
 HEADLINE = (
     "all_nodes_count", "property_lookup", "label_expression", "relationship_scan", "expand_aggregate", "two_hops", "optional_match", "exists_subquery", "count_subquery",
-    "var_length", "quantified_group", "order_skip_limit", "aggregates", "string_functions", "vector_similarity", "vector_index_search",
+    "var_length_all", "quantified_group_all", "order_skip_limit", "aggregates", "string_functions", "vector_similarity_all", "vector_index_search",
 )
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 from .errors import translated
 from .graph import Graph
-from .operators.writes import execute
-from .plans.parser import UPDATES, Query, parse
+from .operators.writes import changes, execute
+from .plans.parser import parse
 
 
 @dataclass
@@ -41,10 +41,6 @@ class Result:
         return rows[0]
 
 
-def updates(q: Query) -> bool:
-    return any(c.kind in UPDATES or c.kind == "ddl" or (c.kind == "subquery" and updates(c.data["query"])) for b in q.branches for c in b)
-
-
 class Transaction:
     """Statements on a graph of their own, which commit puts in place."""
 
@@ -80,7 +76,7 @@ class Database:
         """Run one statement; an update is committed if it succeeds."""
         with translated():
             graph, df, counters = execute(self.graph, text, params)
-        if updates(parse(text)):
+        if changes(parse(text)):
             self.graph = graph
         return Result(df, counters)
 

@@ -52,14 +52,17 @@ def group_steps(low, group: Group) -> tuple[DataFrame, set, T.DataType, dict]:
         n = replace(inner.items[k], var=inner.items[k].var or f" end{k}")
         inner.items[k] = n
         ends.append(n.var)
-    frame = low.match(Frame(None), [replace(inner, var=" path")], group.where)
+    for k, x in enumerate(inner.items):
+        if isinstance(x, RelPattern) and not x.var:
+            inner.items[k] = replace(x, var=f" rel{k}")
+    frame = low.match(Frame(None), [inner], group.where)
     names = [x.var for x in group.part.items if getattr(x, "var", None)]
-    path = frame.env[" path"]
     values = {n: frame.env[n].value() for n in names}
-    ids = F.transform(F.col(path.col).getField("relationships"), lambda r: r.getField("id"))
-    df = frame.df.select(F.col(frame.env[ends[0]].id).alias("near"), F.col(frame.env[ends[1]].id).alias("far"), ids.alias("ids"), F.col(path.col).getField("relationships").alias("rels"), *[F.array(v.col).alias(f"v_{n}") for n, v in values.items()])
+    rels = low.chain([frame.env[x.var].value() for x in inner.items if isinstance(x, RelPattern)])
+    ids = F.transform(rels.col, lambda r: r.getField("id"))
+    df = frame.df.select(F.col(frame.env[ends[0]].id).alias("near"), F.col(frame.env[ends[1]].id).alias("far"), ids.alias("ids"), rels.col.alias("rels"), *[F.array(v.col).alias(f"v_{n}") for n, v in values.items()])
     types = {t.type for t in low.graph.rels}
-    return df, types, path.type["relationships"].dataType, {n: T.ArrayType(v.type) for n, v in values.items()}
+    return df, types, rels.type, {n: T.ArrayType(v.type) for n, v in values.items()}
 
 
 def walk(sources: DataFrame, edges: DataFrame, least: int, most: int | None, lists: dict[str, T.DataType]) -> DataFrame:
@@ -108,6 +111,37 @@ def shortest(pairs: DataFrame, edges: DataFrame, most: int | None, lists: dict,
     return cut(out)
 
 
+def shortest_to(sources: DataFrame, targets: DataFrame, edges: DataFrame, most: int | None, lists: dict, every: bool) -> DataFrame:
+    """src, far and the lists of one shortest trail (or all) from each source to each other target (far) that it reaches.
+
+    Ends are never crossed: a source is searched on until it has met as many targets as there are.
+    """
+    targets = cut(targets.select("far").distinct())
+    many = targets.count()
+    level = cut(sources.select("src").distinct().select("src", F.col("src").alias("far"), *[F.array().cast(t).alias(n) for n, t in lists.items()]))
+    own = targets.select(F.col("far").alias("src"), F.lit(1).alias("own"))
+    left = level.select("src").join(own, "src", "left").select("src", (F.lit(many) - F.coalesce("own", F.lit(0))).alias("left"))
+    visited = level.select("src", "far")
+    step = edges.select(F.col("near"), F.col("far").alias("to"), *[F.col(n).alias(f"n_{n}") for n in lists])
+    out, k = None, 0
+    while k < (most if most is not None else 1 << 30):
+        k += 1
+        level = level.join(step, F.col("far") == F.col("near")).select("src", F.col("to").alias("far"), *[F.concat(n, f"n_{n}").alias(n) for n in lists])
+        level = level.join(visited, ["src", "far"], "left_anti")
+        if not every:
+            level = level.groupBy("src", "far").agg(*[F.min_by(n, "ids").alias(n) for n in lists])
+        level = cut(level)
+        found = level.join(targets, "far", "left_semi")
+        out = found if out is None else out.unionAll(found)
+        met = found.select("src", "far").distinct().groupBy("src").count()
+        left = cut(left.join(met, "src", "left").select("src", (F.col("left") - F.coalesce("count", F.lit(0))).alias("left")).where("left > 0"))
+        level = level.join(left.select("src"), "src", "left_semi")
+        if k == most or level.limit(1).count() == 0:
+            break
+        visited = cut(visited.unionAll(level.select("src", "far").distinct()))
+    return cut(out)
+
+
 def expand(low, frame, at: str, rel: RelPattern, seen: list, path: bool):
     """A variable-length relationship from the node at column ``at``: (frame, column of the far end, list of relationships)."""
     from ..plans.lower import Val, fresh
@@ -125,16 +159,17 @@ def expand(low, frame, at: str, rel: RelPattern, seen: list, path: bool):
     return frame, names["far"], bound
 
 
-def select_paths(low, frame, part: Part, seen: list):
-    """A part with a selector or with quantified groups."""
+def select_paths(low, frame, part: Part, seen: list, waiting: list):
+    """A part with a selector or with quantified groups. Conditions on the ends alone hold before a selector, which chooses for each pair of ends."""
     from ..plans.lower import Val, fresh
 
     items = _spaced(part.items)
-    frame, at = low.match_node(frame, items[0], None)
+    frame, at = low.match_node(frame, items[0], None, low.near_labels(items))
+    frame = low.settle(frame, waiting)
     first, trail = at, [at]
     if part.selector and len(items) == 3:
-        return _selected(low, frame, part, items, at)
-    for x, node in zip(items[1::2], items[2::2], strict=True):
+        return _selected(low, frame, part, items, at, waiting)
+    for near, x, node in zip(items[::2], items[1::2], items[2::2], strict=False):
         if isinstance(x, Group):
             edges, types, kind, values = group_steps(low, x)
             lists = {"ids": T.ArrayType(LONG), "rels": kind} | {f"v_{n}": t for n, t in values.items()}
@@ -150,13 +185,15 @@ def select_paths(low, frame, part: Part, seen: list):
             frame, at, rels = expand(low, frame, at, x, seen, True)
             trail.append(("many", rels))
         else:
-            frame, at, b, _ = low.hop(frame, at, x, seen, node)
+            frame, _, at, b, _ = low.hop(frame, at, x, seen, near, node)
             trail.append(b)
-        frame, at = low.match_node(frame, node, at)
+        frame, at = low.match_node(frame, node, at, low.path_labels([x]))
+        if not part.selector:
+            frame = low.settle(frame, waiting)
         trail.append(at)
     var = part.var or " path"
     if part.var or part.selector:
-        frame = low.bind_path(frame, var, trail)
+        frame = low.bind_path(frame, var, trail, low.path_labels(part.items))
     if part.selector:
         frame = _ranked(frame, part.selector, F.size(F.col(frame.env[var].col).getField("relationships")), [first, at])
     return frame
@@ -191,9 +228,9 @@ def _ranked(frame, selector, size, ends):
     return replace(frame, df=frame.df.withColumn(rank, f.over(w)).where(F.col(rank) <= max(1, k)).drop(rank))
 
 
-def _selected(low, frame, part: Part, items: list, at: str):
+def _selected(low, frame, part: Part, items: list, at: str, waiting: list):
     """A selector over one relationship or group between two nodes."""
-    from ..plans.lower import Val, fresh
+    from ..plans.lower import Frame, Val, fresh, uses
 
     x, node = items[1], items[2]
     values: dict = {}
@@ -206,7 +243,16 @@ def _selected(low, frame, part: Part, items: list, at: str):
     lists = {"ids": T.ArrayType(LONG), "rels": kind} | {f"v_{n}": t for n, t in values.items()}
     names = {n: fresh() for n in ("src", "far", *lists)}
     kind_of, k = part.selector
-    if kind_of in ("any", "all shortest") and least == 1:
+    alone = lambda e: set(uses(e, {})) <= {node.var}
+    if kind_of in ("any", "all shortest") and least == 1 and node.var not in frame.env and alone(node.props) and alone(node.where) and not low.holds_subquery(node.where):
+        ends, end = low.match_node(Frame(None), node, None)
+        for c in waiting:
+            if node.var and set(uses(c, {})) == {node.var}:
+                ends = low.filter(ends, c)
+        found = shortest_to(frame.df.select(F.col(at).alias("src")), ends.df.select(F.col(end).alias("far")), edges, most, lists, kind_of != "any").select(*[F.col(n).alias(c) for n, c in names.items()])
+        frame = replace(frame, df=frame.df.join(found, F.col(at) == F.col(names["src"])))
+        frame, to = low.match_node(frame, node, names["far"], low.path_labels([x]))
+    elif kind_of in ("any", "all shortest") and least == 1:
         frame, to = low.match_node(frame, node, None)  # the ends are matched first: their labels and properties steer the search
         pairs = frame.df.select(F.col(at).alias("src"), F.col(to).alias("dst")).where("src <> dst").distinct()
         found = shortest(pairs, edges, most, lists, kind_of != "any").select(*[F.col(n).alias(c) for n, c in names.items()])
@@ -214,14 +260,16 @@ def _selected(low, frame, part: Part, items: list, at: str):
     else:
         found = walk(frame.df.select(F.col(at).alias("src")).distinct(), edges, least, most, lists).select(*[F.col(n).alias(c) for n, c in names.items()])
         frame = replace(frame, df=frame.df.join(found, F.col(at) == F.col(names["src"])))
-        frame, to = low.match_node(frame, node, names["far"])
+        frame, to = low.match_node(frame, node, names["far"], low.path_labels([x]))
+        frame = low.settle(frame, waiting)
         frame = _ranked(frame, ("row", 1) if kind_of == "any" else part.selector, F.size(names["ids"]), [at, to])
     rels = Val(names["rels"], kind)
     if getattr(x, "var", None):
         frame = low.bind(frame, x.var, rels)
     for n, t in values.items():
         frame = low.bind(frame, n, Val(names[f"v_{n}"], t))
-    return low.bind_path(frame, part.var, [at, ("many", rels), to]) if part.var else frame
+    frame = low.settle(frame, waiting)
+    return low.bind_path(frame, part.var, [at, ("many", rels), to], low.path_labels(part.items)) if part.var else frame
 
 
-__all__ = ["expand", "select_paths", "shortest", "typed", "walk"]
+__all__ = ["expand", "select_paths", "shortest", "shortest_to", "typed", "walk"]

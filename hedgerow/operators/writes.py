@@ -29,6 +29,7 @@ class Writer(Lowering):
     def __init__(self, graph: Graph, params: dict | None = None):
         super().__init__(graph.copy(), params)
         self.counters = dict.fromkeys(COUNTERS, 0)
+        self.gone: list[DataFrame] = []  # ids of nodes deleted without DETACH; the statement's end must leave them unconnected
 
     def count(self, what: str, df: DataFrame) -> None:
         self.counters[what] += df.count()
@@ -73,11 +74,21 @@ class Writer(Lowering):
 
     # -- CREATE and MERGE
     def do_create(self, frame: Frame, parts: list[Part]) -> Frame:
+        if any(isinstance(x, RelPattern) and x.direction == "-" for part in parts for x in part.items):
+            raise QuerySyntaxError("RequiresDirectedRelationship", "a relationship to create has a direction")
         frame = self.fixed(frame)
         for part in parts:
             frame = self.create_part(frame, part)
         return frame
 
+    def do_subquery(self, frame: Frame, query, scope, optional) -> Frame:
+        """A body that updates runs for every outer row, equal ones too: rows are numbered, and the number is read by the body."""
+        if not any(c.kind in UPDATES or c.kind == "subquery" for b in query.branches for c in b):
+            return super().do_subquery(frame, query, scope, optional)
+        frame, number = self.fixed(frame), fresh()
+        numbered = replace(frame, df=cut(frame.df.withColumn(number, F.monotonically_increasing_id())), carry=[*frame.carry, number])
+        return replace(super().do_subquery(numbered, query, scope, optional), carry=frame.carry)
+
     def create_part(self, frame: Frame, part: Part) -> Frame:
         ids = []
         for n in part.items[::2]:
@@ -142,12 +153,13 @@ class Writer(Lowering):
         return self.bind(replace(frame, df=df), r.var, ent)
 
     def do_merge(self, frame: Frame, part: Part, on: dict) -> Frame:
-        frame = self.fixed(frame)
+        frame, shown = self.fixed(frame), frame.env
+        frame, part = self.with_values(frame, part)
         for x in part.items:
             for k, e in x.props[1] if x.props else ():
                 if frame.df.where(self.compile(e, frame.env).col.isNull()).limit(1).count():
                     raise QueryError("MergeReadOwnWrites", f"a null value for {k}")
-        sub, cols = self.keyed(frame, part)
+        sub, cols = self.keyed(replace(frame, carry=[]), part)  # rows with equal values share what is created
         keys = sub.df if sub.df is not None else None
         if cols:
             keys = cut(keys)
@@ -166,7 +178,24 @@ class Writer(Lowering):
         again = self.match(replace(sub, df=keys) if cols else Frame(None), [part])
         new = {n: b for n, b in again.env.items() if n not in frame.env}
         keep = list(dict.fromkeys(c for b in new.values() for c in b.columns()))
-        return replace(frame, df=cut(self.join_back(frame.df, again.df.select(*cols, *keep), cols, "inner")), env=frame.env | new)
+        return replace(frame, df=cut(self.join_back(frame.df, again.df.select(*cols, *keep), cols, "inner")), env=shown | new)
+
+    def with_values(self, frame: Frame, part: Part) -> tuple[Frame, Part]:
+        """The pattern with the values of its properties in columns, so that rows are told apart by these and not by what they were read from."""
+        items = []
+        for x in part.items:
+            if x.props and x.props[0] == "map":
+                pairs = []
+                for k, e in x.props[1]:
+                    if e[0] not in ("lit", "param"):
+                        frame, (e,) = self.hoist(frame, [e])
+                        v, name, col = self.compile(e, frame.env), f" {fresh()}", fresh()
+                        frame = replace(frame, df=frame.df.withColumn(col, v.col), env=frame.env | {name: Val(col, v.type)})
+                        e = ("var", name)
+                    pairs.append((k, e))
+                x = replace(x, props=("map", tuple(pairs)))
+            items.append(x)
+        return frame, replace(part, items=items)
 
     # -- SET, REMOVE, DELETE
     def do_set(self, frame: Frame, items: list) -> Frame:
@@ -235,6 +264,9 @@ class Writer(Lowering):
     def relabel(self, frame: Frame, e, labels: list[str], add: bool) -> None:
         _, key = self.target(frame, e)
         ids = cut(frame.df.where(key.isNotNull()).select(key.alias("__id")).distinct())
+        if not add:  # a relationship's ends may now lack the label that its table implied
+            known = lambda x: None if x in labels else x
+            self.graph.rels = [replace(t, start_label=known(t.start_label), end_label=known(t.end_label)) for t in self.graph.rels]
         for t in list(self.graph.nodes):
             to = t.labels | set(labels) if add else t.labels - set(labels)
             if to == t.labels:
@@ -277,8 +309,8 @@ class Writer(Lowering):
             for side in ("start", "end"):
                 if detach:
                     self.drop_rels(gone_nodes, side)
-                elif any(t.df.join(gone_nodes, F.col(side) == F.col("__id"), "left_semi").limit(1).count() for t in self.graph.rels):
-                    raise ConstraintError("DeleteConnectedNode", "a node to delete still has relationships")
+            if not detach:
+                self.gone.append(gone_nodes)
             for k, t in enumerate(self.graph.nodes):
                 n = t.df.join(gone_nodes, F.col("id") == F.col("__id"), "left_semi").count()
                 if n:
@@ -328,7 +360,10 @@ class Writer(Lowering):
         return Frame(None)
 
     def check(self) -> None:
-        """Hold the candidate graph against its constraints."""
+        """Hold the candidate graph against its constraints, and deleted nodes against the relationships that are left."""
+        for ids in self.gone:
+            if any(t.df.join(ids, F.col(side) == F.col("__id"), "left_semi").limit(1).count() for t in self.graph.rels for side in ("start", "end")):
+                raise ConstraintError("DeleteConnectedNode", "a node to delete still has relationships")
         for name, c in self.graph.catalog.items():
             if c["what"] != "CONSTRAINT":
                 continue
@@ -352,12 +387,32 @@ class Writer(Lowering):
                         raise ConstraintError(name, "a property has another type")
 
 
+def changes(q) -> bool:
+    """Whether a query holds an update or changes the schema."""
+    return any(c.kind in UPDATES or c.kind == "ddl" or (c.kind == "subquery" and changes(c.data["query"])) or (c.kind == "when" and any(changes(x) for _, x in c.data["arms"])) for b in q.branches for c in b)
+
+
+def explained(writer: Writer, q) -> DataFrame | None:
+    """What the query would return, without rows; an update is not planned, since planning one carries it out."""
+    last = q.branches[-1][-1]
+    if last.kind not in ("return", "show", "procedure"):
+        return None
+    if changes(q):
+        names = [n for _, n in last.data.get("items", [])]
+        return writer.spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    frame = Lowering.query(writer, q, Frame(None))
+    return frame.df.select(*[b.value().col.alias(n) for n, b in frame.env.items() if not n.startswith(" ")]).limit(0)
+
+
 def execute(graph: Graph, text: str, params: dict | None = None) -> tuple[Graph, DataFrame | None, dict[str, int]]:
     """(graph after the statement, result if it returns one, counters); an error leaves ``graph`` as it was."""
     q = parse(text)
     writer = Writer(graph, params)
-    frame = writer.query(q, Frame(None))
-    writer.check()
     last = q.branches[-1][-1].kind
+    if q.explain == "EXPLAIN":
+        return graph, explained(writer, q), dict.fromkeys(COUNTERS, 0)
+    frame = writer.query(q, Frame(None))
+    if changes(q):
+        writer.check()
     result = frame.df.select(*[b.value().col.alias(n) for n, b in frame.env.items() if not n.startswith(" ")]) if last in ("return", "show", "procedure") and frame.env else None
     return writer.graph, result, writer.counters

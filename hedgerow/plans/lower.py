@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import ParameterMissing, ProcedureError, QuerySyntaxError, QueryTypeError, Unsupported
+from ..errors import ParameterMissing, ProcedureError, QueryArithmeticError, QuerySyntaxError, QueryTypeError, Unsupported
 from ..functions import scalar as S
 from ..functions.values import BOOL, DOUBLE, LONG, STRING, Value, apply, cast, common, equal, is_entity, is_int, is_list, is_map, is_node, is_null, is_num, is_path, is_rel, lit, listed, never, ordered, struct_of, typed
 from ..functions.values import field as get
@@ -63,6 +63,7 @@ class Frame:
     df: DataFrame | None
     env: dict[str, Val | Ent] = field(default_factory=dict)
     carry: list[str] = field(default_factory=list)
+    order: str | None = None  # a column that ascends in the order that the last WITH gave the rows
 
     def columns(self):
         return list(dict.fromkeys([*self.carry, *[c for b in self.env.values() for c in b.columns()]]))
@@ -342,10 +343,11 @@ class Lowering:
             raise QuerySyntaxError("InvalidNumberOfArguments", name) from x
 
     def endpoint(self, arg, side: str, env) -> Value:
-        """The node at one end of a relationship: its id alone, which is what can be said without a join."""
+        """The node at one end of a relationship, as ``hoist`` has joined it."""
         v = self.compile(arg, env)
-        i = get(v, side)
-        return struct_of({"id": i, "labels": typed(F.lit(None).cast("array<string>"), T.ArrayType(STRING)), "properties": struct_of({})})
+        if is_null(v.type):
+            return lit(None)
+        raise Unsupported("NestedEndpoint", f"{side}Node() inside a list expression") if is_rel(v.type) else QueryTypeError("InvalidArgumentType", f"{side}Node() takes a relationship")
 
     def is_type(self, v: Value, kinds) -> Value:
         def one(name, inner):
@@ -407,6 +409,16 @@ class Lowering:
             if is_subquery(e):
                 frame, v = self.subquery_value(frame, e)
                 return ("value", v)
+            if isinstance(e, tuple) and e[:1] == ("call",) and e[1] in ("startnode", "endnode") and e[2] and frame.df is not None:
+                (arg,) = (walk(x) for x in e[2])
+                try:
+                    r = self.compile(arg, frame.env)
+                except QuerySyntaxError:  # a variable of a list expression, not of the row
+                    return e
+                if is_rel(r.type):
+                    frame, v = self.joined_node(frame, get(r, "start" if e[1] == "startnode" else "end"))
+                    return ("value", v)
+                return e
             if isinstance(e, tuple):
                 return tuple(walk(x) if isinstance(x, tuple) else x for x in e)
             return e
@@ -414,6 +426,13 @@ class Lowering:
         out = [e if e is None else walk(e) for e in asts]
         return frame, out
 
+    def joined_node(self, frame: Frame, i: Value) -> tuple[Frame, Value]:
+        """The node of an id, by a join."""
+        rows, b = self.scan_nodes(None)
+        key, name, node = fresh(), fresh(), b.value()
+        found = rows.select(F.col(b.id).alias(key), node.col.alias(name))
+        return replace(frame, df=frame.df.join(found, i.col == F.col(key), "left").drop(key)), typed(F.col(name), node.type)
+
     def outer(self, frame: Frame, ast) -> tuple[list[str], dict]:
         """(columns of the outer row that the subquery reads, their scope)."""
         found = uses(ast, {})
@@ -515,8 +534,9 @@ class Lowering:
         return self.spark.range(1).select(F.lit(1).alias(fresh()))
 
     # -- patterns
-    def scan_nodes(self, labels, name: str | None = None) -> tuple[DataFrame, Ent]:
-        tables = [t for t in self.graph.nodes if holds(t.labels, self.static(labels))]
+    def scan_nodes(self, labels, only: set | None = None) -> tuple[DataFrame, Ent]:
+        """All nodes that the label expression admits; ``only``: labels of which such a node has one, as the relationships at hand imply."""
+        tables = [t for t in self.graph.nodes if holds(t.labels, self.static(labels)) and (only is None or t.labels & only)]
         types = _common([t.df.schema for t in tables], {"id"})
         ent = Ent("node", fresh(), {"labels": fresh()}, {n: (fresh(), t) for n, t in types.items()})
         if not tables:
@@ -526,8 +546,21 @@ class Lowering:
             df = union(frames, types, ["id", "__labels"]).withColumnRenamed("__labels", "labels")
         return df.select(F.col("id").alias(ent.id), F.col("labels").alias(ent.fixed["labels"]), *[F.col(f"`{n}`").alias(c) for n, (c, _) in ent.props.items()]), ent
 
-    def scan_rels(self, types) -> tuple[DataFrame, Ent, list]:
-        tables = [t for t in self.graph.rels if holds({t.type}, self.static(types))]
+    def rel_tables(self, types) -> list:
+        return [t for t in self.graph.rels if holds({t.type}, self.static(types))]
+
+    def end_fits(self, label: str | None, node: NodePattern | None) -> bool:
+        """Whether a relationship's end with this label (None: unknown) can be the node of a pattern."""
+        if label is None or node is None or node.labels is None or self.depends(node.labels):
+            return True
+        return any(label in t.labels and holds(t.labels, self.static(node.labels)) for t in self.graph.nodes)
+
+    def depends(self, expr) -> bool:
+        """Whether a label expression holds names that only rows tell."""
+        return isinstance(expr, tuple) and (expr[:1] == ("dynamic",) and expr[1][0] not in ("param", "lit") or any(self.depends(x) for x in expr))
+
+    def scan_rels(self, types, keep=None) -> tuple[DataFrame, Ent, list]:
+        tables = [t for t in self.rel_tables(types) if keep is None or keep(t)]
         kinds = _common([t.df.schema for t in tables], {"id", "start", "end"})
         ent = Ent("rel", fresh(), {k: fresh() for k in ("type", "start", "end")}, {n: (fresh(), t) for n, t in kinds.items()})
         if not tables:
@@ -557,9 +590,25 @@ class Lowering:
             raise Unsupported("RepeatableElements", "REPEATABLE ELEMENTS")
         seen: list[tuple[str, set, bool]] = []  # (column of a relationship id or of a list of them, types, is a list)
         names: set[str] = set()
+        every = conjuncts(where)
+        waiting = [c for c in every if not self.holds_subquery(c)]
         for part in parts:
-            frame = self.match_part(frame, part, seen, names)
-        return self.filter(frame, where)
+            frame = self.match_part(frame, part, seen, names, waiting)
+        for c in [*waiting, *[c for c in every if self.holds_subquery(c)]]:
+            frame = self.filter(frame, c)
+        return frame
+
+    def holds_subquery(self, e) -> bool:
+        return is_subquery(e) or isinstance(e, tuple) and any(self.holds_subquery(x) for x in e)
+
+    def settle(self, frame: Frame, waiting: list) -> Frame:
+        """Apply the conjuncts of WHERE whose variables are all bound by now, before the pattern grows on."""
+        for c in list(waiting):
+            names = set(uses(c, {}))
+            if names and names <= set(frame.env):
+                waiting.remove(c)
+                frame = self.filter(frame, c)
+        return frame
 
     def bind(self, frame: Frame, var: str | None, b) -> Frame:
         return replace(frame, env=frame.env | {var or f" {fresh()}": b})
@@ -598,12 +647,12 @@ class Lowering:
             return self.props_filter(frame, b, n.props, n.where), b.id
         if at and n.var is None and n.props is None and n.where is None and (n.labels is None or (implied and all(holds({x}, self.static(n.labels)) for x in implied) and n.labels[0] != "not")):
             return frame, at  # nothing is asked of the node that its id doesn't tell
-        df, b = self.scan_nodes(n.labels)
+        df, b = self.scan_nodes(n.labels, implied)
         df = self.cross(frame, df) if not at else frame.df.join(df, F.col(at) == F.col(b.id))
         frame = self.bind(replace(frame, df=df), n.var, b)
         return self.props_filter(frame, b, n.props, n.where), b.id
 
-    def match_part(self, frame: Frame, part: Part, seen: list, names: set) -> Frame:
+    def match_part(self, frame: Frame, part: Part, seen: list, names: set, waiting: list) -> Frame:
         for x in part.items:
             if isinstance(x, RelPattern) and x.var:
                 if x.var in names:
@@ -612,26 +661,31 @@ class Lowering:
         if part.selector or any(isinstance(x, Group) and x.low is not None for x in part.items):
             from ..operators.paths import select_paths
 
-            return select_paths(self, frame, part, seen)
+            return select_paths(self, frame, part, seen, waiting)
         items = self.flatten(part.items)
         where = [w for x in part.items if isinstance(x, Group) for w in [x.where] if w]
-        frame, at = self.match_node(frame, items[0], None)
+        at = None
+        if len(items) == 1 or items[0] != NodePattern() or items[1].many or items[1].var in frame.env:
+            frame, at = self.match_node(frame, items[0], None, self.near_labels(items))
+            frame = self.settle(frame, waiting)
         trail: list = [at]
         implied: set | None = None
-        for rel, node in zip(items[1::2], items[2::2], strict=True):
+        for near, rel, node in zip(items[::2], items[1::2], items[2::2], strict=False):
             if rel.many:
                 from ..operators.paths import expand
 
                 frame, at, rels = expand(self, frame, at, rel, seen, part.var is not None)
                 trail += [("many", rels)]
-                implied = None
+                implied = self.path_labels([rel])
             else:
-                frame, at, b, implied = self.hop(frame, at, rel, seen, node)
+                frame, begin, at, b, implied = self.hop(frame, at, rel, seen, near, node)
+                trail[0] = trail[0] or begin
                 trail += [b]
-            frame, at = self.match_node(frame, node, at, implied)
+            frame, at = self.match_node(self.settle(frame, waiting), node, at, implied)
+            frame = self.settle(frame, waiting)
             trail.append(at)
         if part.var:
-            frame = self.bind_path(frame, part.var, trail)
+            frame = self.bind_path(frame, part.var, trail, self.path_labels(part.items))
         for w in where:
             frame = self.filter(frame, w)
         return frame
@@ -652,27 +706,57 @@ class Lowering:
             raise Unsupported("AdjacentNodes", "two named nodes side by side")
         return NodePattern(a.var or b.var, both(a.labels, b.labels, lambda x, y: ("and", x, y)), both(a.props, b.props, lambda x, y: ("map", x[1] + y[1])), both(a.where, b.where, lambda x, y: ("and", x, y)))
 
-    def hop(self, frame: Frame, at: str, rel: RelPattern, seen: list, node: NodePattern):
-        """One relationship from the node at column ``at``: (frame, column of the other end, binding, labels of the other end)."""
-        df, b, tables = self.scan_rels(rel.types)
+    def hop(self, frame: Frame, at: str | None, rel: RelPattern, seen: list, first: NodePattern, node: NodePattern):
+        """One relationship from the node at column ``at`` (None: any node): (frame, columns of both ends, binding, labels of the other end).
+
+        Types whose ends can't have the labels of the nodes at either side are not read.
+        """
+        forth = lambda t: self.end_fits(t.start_label, first) and self.end_fits(t.end_label, node)
+        back = lambda t: self.end_fits(t.end_label, first) and self.end_fits(t.start_label, node)
+        df, b, tables = self.scan_rels(rel.types, {">": forth, "<": back}.get(rel.direction, lambda t: forth(t) or back(t)))
         near, far = (b.fixed["start"], b.fixed["end"]) if rel.direction != "<" else (b.fixed["end"], b.fixed["start"])
         implied = {(t.end_label if rel.direction == ">" else t.start_label) for t in tables}
         if rel.direction == "-":
-            implied = {None}
+            implied = {x for t in tables for x in (t.start_label, t.end_label)}
             near, far = fresh(), fresh()
             s, e = b.fixed["start"], b.fixed["end"]
             df = df.select("*", F.col(s).alias(near), F.col(e).alias(far)).unionAll(df.where(F.col(s) != F.col(e)).select("*", F.col(e).alias(near), F.col(s).alias(far)))
-        if rel.var in frame.env:
+        if at is None:
+            frame = replace(frame, df=self.cross(frame, df))
+        elif rel.var in frame.env:
             old = frame.env[rel.var]
             on = (F.col(b.id) == (F.col(old.id) if isinstance(old, Ent) else F.col(old.col).getField("id"))) & (F.col(near) == F.col(at))
         else:
             on = F.col(near) == F.col(at)
-        frame = replace(frame, df=frame.df.join(df, on))
+        if at is not None:
+            frame = replace(frame, df=frame.df.join(df, on))
         frame = self.unique(frame, b.id, {t.type for t in tables}, False, seen)
         if rel.var not in frame.env:
             frame = self.bind(frame, rel.var, b)
         frame = self.props_filter(frame, b, rel.props, rel.where)
-        return frame, far, b, None if None in implied else implied
+        return frame, near, far, b, None if None in implied else implied
+
+    def near_labels(self, items: list) -> set | None:
+        """Labels of which a pattern's first node has one, as its first relationship implies; None if that says nothing."""
+        if len(items) < 2 or not isinstance(items[1], RelPattern) or items[1].low == 0:
+            return None
+        rel, first, node = items[1], items[0], None if items[1].many or len(items) < 3 else items[2]
+        forth = {t.start_label for t in self.rel_tables(rel.types) if rel.direction != "<" and self.end_fits(t.start_label, first) and self.end_fits(t.end_label, node)}
+        back = {t.end_label for t in self.rel_tables(rel.types) if rel.direction != ">" and self.end_fits(t.end_label, first) and self.end_fits(t.start_label, node)}
+        return None if None in forth | back else forth | back
+
+    def path_labels(self, items: list) -> set | None:
+        """Labels of which each node of a path has one; None if any node may be on it."""
+        out: set = set()
+        rels = [x for x in items if not isinstance(x, NodePattern)]
+        for x in rels:
+            if x.low == 0:
+                return None
+            found = self.path_labels(x.part.items) if isinstance(x, Group) else {y for t in self.rel_tables(x.types) for y in (t.start_label, t.end_label)}
+            if found is None or None in found:
+                return None
+            out |= found
+        return out if rels else None
 
     def unique(self, frame: Frame, col: str, types: set, many: bool, seen: list) -> Frame:
         """A relationship is used once in a MATCH; pairs whose types can't overlap need no test."""
@@ -689,9 +773,8 @@ class Lowering:
         seen.append((col, types, many))
         return frame
 
-    def bind_path(self, frame: Frame, var: str, trail: list) -> Frame:
-        """A path value: node ids and relationships, hydrated with what is bound of them."""
-        rels = [x.value() if isinstance(x, Ent) else typed(F.col(x[1].col), x[1].type) for x in trail[1::2]]
+    def chain(self, rels: list[Value]) -> Value:
+        """One list of relationships and lists of them, in one type."""
         kinds = [r.type if is_rel(r.type) else r.type.elementType for r in rels]
         props = _common([k["properties"].dataType for k in kinds], set())
         base = [T.StructField(n, LONG if n != "type" else STRING) for n in ("id", "type", "start", "end")]
@@ -706,19 +789,23 @@ class Lowering:
             return F.array(same(r.col, r.type)) if is_rel(r.type) else F.transform(r.col, lambda x: same(x, r.type.elementType))
 
         lists = [chained(r) for r in rels]
-        chain = F.concat(*lists) if lists else F.array().cast(T.ArrayType(kind))
-        start = trail[0]
+        return typed(F.concat(*lists) if lists else F.array().cast(T.ArrayType(kind)), T.ArrayType(kind))
+
+    def bind_path(self, frame: Frame, var: str, trail: list, labels: set | None = None) -> Frame:
+        """A path value: node ids and relationships, and the nodes by a join with those of the labels that the path can hold."""
+        whole = self.chain([x.value() if isinstance(x, Ent) else typed(F.col(x[1].col), x[1].type) for x in trail[1::2]])
+        chain, kind, start = whole.col, whole.type.elementType, trail[0]
         follow = F.aggregate(chain, F.array(F.col(start)), lambda acc, r: F.array_append(acc, F.when(r.getField("start") == F.element_at(acc, -1), r.getField("end")).otherwise(r.getField("start"))))
         ids, name = fresh(), fresh()
         df = frame.df.select("*", follow.alias(ids), chain.alias(name + "r"))
-        df, nodes = self.hydrate(df, ids, frame)
+        df, nodes = self.hydrate(df, ids, labels)
         whole = T.StructType([T.StructField("nodes", nodes.type), T.StructField("relationships", T.ArrayType(kind))])
         df = df.select("*", F.when(F.col(start).isNotNull(), F.struct(nodes.col.alias("nodes"), F.col(name + "r").alias("relationships"))).alias(name))
         return self.bind(replace(frame, df=df), var, Val(name, whole))
 
-    def hydrate(self, df: DataFrame, ids: str, frame: Frame) -> tuple[DataFrame, Value]:
+    def hydrate(self, df: DataFrame, ids: str, labels: set | None) -> tuple[DataFrame, Value]:
         """Nodes of a list of ids, in order, by one join over the distinct lists."""
-        rows, b = self.scan_nodes(None)
+        rows, b = self.scan_nodes(None, labels)
         node = b.value()
         each = df.select(F.col(ids).alias("__ids")).distinct().select("__ids", F.posexplode("__ids").alias("__at", "__id"))
         found = each.join(rows.select(F.col(b.id).alias("__key"), node.col.alias("__node")), F.col("__id") == F.col("__key"))
@@ -794,7 +881,7 @@ class Lowering:
             kind, df = STRING, df.select("*", F.lit(None).cast("string").alias(name)).where(F.lit(False))
         else:
             kind, df = v.type, df.select("*", v.col.alias(name)).where(F.col(name).isNotNull())
-        return Frame(df, frame.env | {var: Val(name, kind)}, frame.carry)
+        return replace(frame, df=df, env=frame.env | {var: Val(name, kind)})
 
     def do_filter(self, frame: Frame, where) -> Frame:
         return self.filter(frame, where)
@@ -804,14 +891,18 @@ class Lowering:
             frame, (e,) = self.hoist(frame, [e])
             v, c = self.compile(e, frame.env), fresh()
             df = (frame.df if frame.df is not None else self.unit()).withColumn(c, v.col)
-            frame = Frame(df, frame.env | {name: Val(c, v.type)}, frame.carry)
+            frame = replace(frame, df=df, env=frame.env | {name: Val(c, v.type)})
         return frame
 
     def do_finish(self, frame: Frame) -> Frame:
         return Frame((frame.df if frame.df is not None else self.unit()).limit(0), {}, frame.carry)
 
     def do_with(self, frame: Frame, **d) -> Frame:
-        return self.project(frame, **d)
+        out = self.project(frame, **d)
+        if not d["order"] or frame.carry or out.df is None:
+            return out
+        place = fresh()  # ascends over the sorted rows, whichever partitions they lie in
+        return replace(out, df=out.df.withColumn(place, F.monotonically_increasing_id()), order=place)
 
     def do_return(self, frame: Frame, **d) -> Frame:
         return self.project(frame, **d)
@@ -919,6 +1010,8 @@ class Lowering:
                 cols.append((v.col.cast("string") if is_null(v.type) else v.col).alias(bound[n].col))
                 group.append(bound[n].col)
         aggs: dict[tuple, tuple[str, T.DataType, object]] = {}
+        self.order = frame.order if frame.df is not None and frame.order in frame.df.columns else None
+        self.before: list = []  # columns that an aggregate names in SQL
 
         def lift(e):
             if isinstance(e, tuple) and e[:1] == ("call",) and e[1] in S.AGGREGATES:
@@ -936,7 +1029,7 @@ class Lowering:
             return e
 
         lifted = [(lift(e), n) for e, n in zip(exprs, names, strict=True) if self.has_aggregate(e)]
-        source = frame.df.select("*", *cols) if cols else frame.df
+        source = frame.df.select("*", *cols, *self.before) if cols or self.before else frame.df
         group = list(dict.fromkeys([*frame.carry, *group]))
         df = source.groupBy(*group).agg(*[c.alias(n) for n, _, c in aggs.values()])
 
@@ -973,6 +1066,9 @@ class Lowering:
             return (F.count_distinct(c) if distinct else F.count(c)), LONG
         if name == "collect":
             t = T.ArrayType(STRING if is_null(v.type) else v.type)
+            if self.order and not distinct and not is_null(v.type):
+                pairs = F.collect_list(F.when(c.isNotNull(), F.struct(F.col(self.order).alias("at"), c.alias("v"))))
+                return F.transform(F.array_sort(pairs, lambda a, b: (a.getField("at") > b.getField("at")).cast("int") - (a.getField("at") < b.getField("at")).cast("int")), lambda x: x.getField("v")), t
             return (F.array_distinct(F.collect_list(c)) if distinct and is_entity(v.type) else F.collect_set(c) if distinct else F.collect_list(c.cast("string") if is_null(v.type) else c)), t
         if name in ("min", "max"):
             return (F.min if name == "min" else F.max)(c), v.type
@@ -982,21 +1078,30 @@ class Lowering:
         c = c.cast("long" if whole else "double")
         if name == "sum":
             return F.coalesce(F.sum_distinct(c) if distinct else F.sum(c), F.lit(0).cast("long" if whole else "double")), LONG if whole else DOUBLE
-        if distinct:
-            bag = F.collect_set(c.cast("double"))
-            if name == "avg":
-                return F.when(F.size(bag) > 0, F.aggregate(bag, F.lit(0.0), lambda a, x: a + x) / F.size(bag)), DOUBLE
-            raise Unsupported("DistinctAggregate", name)
         if name == "avg":
-            return F.avg(c), DOUBLE
+            return (F.try_divide(F.sum_distinct(c.cast("double")), F.count_distinct(c)) if distinct else F.avg(c)), DOUBLE
+        own, once = fresh(), "DISTINCT " if distinct else ""
+        self.before.append(c.cast("double").alias(own))
         if name in ("stdev", "stdevp"):
-            return F.coalesce((F.stddev_samp if name == "stdev" else F.stddev_pop)(c.cast("double")), F.lit(0.0)), DOUBLE
-        p = self.compile(args[1], env).col
+            return F.coalesce(F.expr(f"{'stddev_samp' if name == 'stdev' else 'stddev_pop'}({once}`{own}`)"), F.lit(0.0)), DOUBLE
+        p = self.share(args[1])
         if name == "percentilecont":
-            return F.percentile(c, p), DOUBLE
-        ranked = F.array_sort(F.collect_list(c))
-        at = F.greatest(F.lit(1), F.ceil(p * F.size(ranked))).cast("int")
-        return F.try_element_at(ranked, at), v.type
+            return F.expr(f"percentile({once}`{own}`, {p!r}D)"), DOUBLE
+        if not distinct:  # whole numbers beyond 2^53 are ranked as floats
+            return F.expr(f"percentile_disc({p!r}D) WITHIN GROUP (ORDER BY `{own}`)").cast(v.type if not is_null(v.type) else DOUBLE), v.type
+        ranked = F.array_sort(F.collect_set(c))
+        return F.try_element_at(ranked, F.greatest(F.lit(1), F.ceil(F.lit(p) * F.size(ranked))).cast("int")), v.type
+
+    def share(self, e) -> float:
+        """The constant share of a percentile."""
+        if uses(e, {}):
+            raise QuerySyntaxError("NonConstantExpression", "a percentile takes a constant share")
+        x = self.params.get(e[1]) if e[0] == "param" else e[1] if e[0] == "lit" else self.spark.range(1).select(self.compile(e, {}).col.alias("x")).first()[0]
+        if isinstance(x, bool) or not isinstance(x, (int, float)):
+            raise QueryTypeError("InvalidArgumentType", "a percentile takes a number")
+        if not 0 <= x <= 1:
+            raise QueryArithmeticError("NumberOutOfRange", str(x))
+        return float(x)
 
     def do_subquery(self, frame: Frame, query, scope, optional) -> Frame:
         if frame.df is None:
@@ -1010,8 +1115,7 @@ class Lowering:
             visible = frame.env
         sub, cols = self.keyed(replace(frame, env=visible), query)
         found = self.query(query, sub)
-        returns = any(c.kind == "return" for c in query.branches[0])
-        if not returns:
+        if not self.gives(query):
             return frame
         clash = set(found.env) & set(frame.env)
         if clash:
@@ -1022,6 +1126,10 @@ class Lowering:
         env = {n: Val(names.get(b.col, b.col), b.type) if isinstance(b, Val) else Ent(b.kind, names.get(b.id, b.id), {k: names.get(c, c) for k, c in b.fixed.items()}, {k: (names.get(c, c), t) for k, (c, t) in b.props.items()}) for n, b in found.env.items()}
         return replace(frame, df=df, env=frame.env | env)
 
+    def gives(self, query: Query) -> bool:
+        """Whether a query returns rows."""
+        return any(c.kind == "return" or c.kind == "when" and any(self.gives(q) for _, q in c.data["arms"]) for c in query.branches[0])
+
     def do_when(self, frame: Frame, arms, **d) -> Frame:
         other = d["else"]
         outs, left = [], frame
