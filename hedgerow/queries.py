@@ -126,7 +126,7 @@ CATALOG: dict[str, tuple[str, str | None]] = {
         "SELECT p_partkey AS k, [lower(x) for x in t if length(x) > 4] AS l, list_bool_or([x LIKE 'S%' for x in t]) AS a, list_bool_and([length(x) > 3 for x in t]) AS b, NOT list_contains(t, 'TIN') AS c, t[1:2] AS s, list_reverse(t) AS r, t[1] AS h, t[-1] AS z, len(t) - 1 AS n FROM (SELECT p_partkey, string_split(p_type, ' ') AS t FROM part)",
     ),
     "map_projection": ("MATCH (c:Customer) WITH c {.name, key: c.custkey} AS m RETURN m.name AS name, m.key AS k", "SELECT c_name AS name, c_custkey AS k FROM customer"),
-    "regex_match": ("MATCH (p:Part) WHERE p.name =~ '.*[1-3]0' RETURN p.partkey AS k", "SELECT p_partkey AS k FROM part WHERE regexp_full_match(p_name, '.*[1-3]0')"),
+    "regex_match": ("MATCH (p:Part) WHERE p.brand =~ 'Brand#[1-3].*' RETURN p.partkey AS k", "SELECT p_partkey AS k FROM part WHERE regexp_full_match(p_brand, 'Brand#[1-3].*')"),
     "numeric_functions": (
         "MATCH (p:Part) RETURN p.partkey AS k, ceil(p.retailprice) AS c, floor(p.retailprice) AS f, round(sqrt(p.retailprice), 6) AS s, round(log(p.retailprice), 6) AS l, round(exp(p.size / 50.0), 6) AS e, round(sin(p.size), 6) AS n, p.size % 7 AS m, p.size / 7 AS d, toFloat(p.size) ^ 2 AS w",
         "SELECT p_partkey AS k, ceil(p_retailprice) AS c, floor(p_retailprice) AS f, round(sqrt(p_retailprice), 6) AS s, round(ln(p_retailprice), 6) AS l, round(exp(p_size / 50.0::DOUBLE), 6) AS e, round(sin(p_size), 6) AS n, (p_size % 7)::BIGINT AS m, (p_size // 7)::BIGINT AS d, pow(p_size::DOUBLE, 2) AS w FROM part",
