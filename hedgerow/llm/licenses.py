@@ -2,8 +2,9 @@
 
 Blocks of words around a cue (license, copyright, ...) are compressed alone and once with each template as a raw Zstandard dictionary.
 Templates are ranked by the bytes they save and, in that order, aligned with the block word by word; a match stands only if the wording
-differs in at most ``TOLERANCE`` of the template's words and never in a word with a digit. The words of the first that stands are then taken out
-of the block, which is scanned again until no template stands.
+differs in at most ``TOLERANCE`` of the template's words and never in a word with a digit. The first that stands wins, unless one ranked lower fits the
+same place with fewer differences. Its words are then taken out of the block, which is scanned again until no template stands. A notice of the GNU family that
+goes on "or any later version" is reported as ``-or-later``.
 
 Defined cases: null and empty texts have no match; repeated rows are scanned row by row; an empty table gives an empty
 result; other columns are ignored; a text of any length is scanned whole, in blocks.
@@ -41,11 +42,20 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related rights to this work to the public domain under CC0 1.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("GPL-2.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("GPL-3.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-2.1", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("LGPL-3.0", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("AGPL-3.0", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 CUE = r"(?i)licen[cs]|copyright|spdx|warrant|redistribut|public[\W_]+domain|permission|mozilla|\bCC0?\b"
 #: Words on either side of a cue, and differing words as a share of the template.
 AROUND, TOLERANCE = 24, 0.1
+_LATER = re.compile(r"(?i)[\s,(]+or[\s,(]+(?:at\s+your\s+option[\s,)]+)?(?:any\s+)?later(?:\s+versions?)?\b")
 _WORD = re.compile(r"[^\W_]+(?:[.\-'/][^\W_]+)*")
 
 
@@ -123,12 +133,17 @@ def scan(text: str) -> list[tuple[str, int, int, int, int]]:
         size = len(plain.compress(raw))
         saved = [size - len(e.compress(raw)) for e in engines]
         block = [m[0].lower() for m in words[a:b]]
+        best = None
         for k in sorted(range(len(saved)), key=lambda k: -saved[k]):
             at = wording(templates[k], block)
-            if at:
-                found.append((TEMPLATES[k][0], words[a + at[0]].start(), words[a + at[1] - 1].end(), at[2], saved[k]))
-                todo += [[a + at[1], b], [a, a + at[0]]]
-                break
+            if at and (best is None or (at[2] < best[1][2] and at[0] < best[1][1] and best[1][0] < at[1])):
+                best = k, at
+        if best:
+            k, (begin, end, differences) = best
+            name, last = TEMPLATES[k][0], words[a + end - 1].end()
+            later = _LATER.match(text, last) if "GPL" in name else None
+            found.append((name + "-or-later" * bool(later), words[a + begin].start(), later.end() if later else last, differences, saved[k]))
+            todo += [[a + end, b], [a, a + begin]]
     return sorted(found, key=lambda x: x[1])
 
 

@@ -487,6 +487,18 @@ def test_no_license_is_lost_beside_an_unlisted_version():
             assert [x[0] for x in licenses.scan(notice + " " + other)] == [name]
 
 
+def test_license_family_and_later_versions():
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License{} and so on"
+    for kind, version, name in (("", 2, "GPL-2.0"), ("", 3, "GPL-3.0"), ("Lesser ", 2.1, "LGPL-2.1"), ("Lesser ", 3, "LGPL-3.0"), ("Affero ", 3, "AGPL-3.0")):
+        for tail, end in ((".", ""), (", or (at your option) any later version.", "-or-later"), (" or later.", "-or-later"), (". Or later versions of it", "")):
+            text = gnu.format(kind, version, tail)
+            found = licenses.scan(text)
+            assert [(x[0], x[3]) for x in found] == [(name + end, 0)]
+            assert not end or text[: found[0][2]].endswith(("later version", "or later"))
+    assert [x[0] for x in licenses.scan("This work is licensed under the GNU Lesser General Public License, version 3 or any later version.")] == ["LGPL-3.0-or-later"]
+    assert [x[0] for x in licenses.scan("Released under the MIT License, or later under terms to be named.")] == ["MIT"]
+
+
 def brute_wording(template, block):
     """The least differences over all spans and all alignments of the template's words with the span's."""
     from functools import cache
