@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 from .errors import translated
 from .graph import Graph
+from .operators.procedures import Procedure
 from .operators.writes import changes, execute
 from .plans.parser import parse
 
@@ -69,8 +70,12 @@ class Transaction:
 
 
 class Database:
-    def __init__(self, spark: SparkSession, graph: Graph | None = None):
+    """``selector_limit``: the matches that a path selector other than the shortest-path searches may list before it raises; None sets no limit."""
+
+    def __init__(self, spark: SparkSession, graph: Graph | None = None, selector_limit: int | None = None):
         self.spark, self.graph = spark, graph or Graph(spark)
+        if selector_limit is not None:
+            self.graph.selector_limit = selector_limit
 
     def run(self, text: str, params: dict | None = None) -> Result:
         """Run one statement; an update is committed if it succeeds."""
@@ -83,9 +88,9 @@ class Database:
     def begin(self) -> Transaction:
         return Transaction(self)
 
-    def register_procedure(self, name: str, f) -> None:
-        """Make ``f(spark, *arguments) -> DataFrame`` callable as ``CALL name(...)``."""
-        self.graph.procedures[name] = f
+    def register_procedure(self, name: str, f, inputs: list[tuple[str, str]] | None = None) -> None:
+        """Make ``f(spark, *arguments) -> DataFrame`` callable as ``CALL name(...)``; see ``Procedure`` for the inputs."""
+        self.graph.procedures[name] = Procedure(f, None if inputs is None else tuple(inputs))
 
     def vector_search(self, index: str, k: int, vector: list[float]) -> DataFrame:
         return self.run("CALL db.index.vector.queryNodes($index, $k, $vector) YIELD node, score RETURN node, score", {"index": index, "k": k, "vector": vector}).df

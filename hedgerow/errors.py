@@ -42,6 +42,10 @@ class QueryArithmeticError(QueryError):
     kind = "ArithmeticError"
 
 
+class EntityNotFound(QueryError):
+    kind = "EntityNotFound"
+
+
 def raised(kind: type[QueryError], code: str, what: str):
     """A column that raises this error where it is evaluated; ``of_spark`` recognises it."""
     from pyspark.sql import functions as F
@@ -51,7 +55,7 @@ def raised(kind: type[QueryError], code: str, what: str):
 
 def of_spark(x: Exception) -> QueryError | None:
     """The query's error behind an exception of Spark."""
-    kinds = {k.kind: k for k in (QuerySyntaxError, QueryTypeError, QueryArithmeticError)}
+    kinds = {k.kind: k for k in (QuerySyntaxError, QueryTypeError, QueryArithmeticError, EntityNotFound)}
     found = re.search(r"<<(\w+):(\w+):([^>]*)>>", str(x))
     if found and found[1] in kinds:
         return kinds[found[1]](found[2], found[3])

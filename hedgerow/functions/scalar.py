@@ -133,14 +133,19 @@ def _log(c, value):
 
 
 def round_(v: Value, places: Value | None = None, mode: Value | None = None) -> Value:
-    """Half away from zero; a mode is accepted and changes nothing."""
+    """Half away from zero, of the number times a power of ten; a mode is accepted and changes nothing."""
     if not is_num(v.type):
         raise wrong("round()", v)
     if places is None:
         return apply(lambda c: F.round(c, 0), cast(v, DOUBLE), kind=DOUBLE)
     if not (is_int(places.type) or is_null(places.type)):
         raise wrong("round() places", places)
-    return apply(lambda c, p: F.round(c, p.cast("int")), cast(v, DOUBLE), cast(places, LONG), kind=DOUBLE)
+
+    def shifted_(c, p):
+        scale = F.pow(F.lit(10.0), p)
+        return F.when(p.isNotNull(), F.when(F.isnan(c) | (F.abs(c) == math.inf), c).otherwise(F.round(c * scale, 0) / scale))
+
+    return apply(shifted_, cast(v, DOUBLE), cast(places, LONG), kind=DOUBLE)
 
 
 def _count(what: str):
@@ -483,21 +488,47 @@ def stamp(kind: T.DataType):
     return run
 
 
+#: Units of a duration's months, days, seconds and nanoseconds.
+_UNITS = (
+    {"years": 12, "quarters": 3, "months": 1}, {"weeks": 7, "days": 1}, {"hours": 3600, "minutes": 60, "seconds": 1}, {"milliseconds": 1000000, "microseconds": 1000, "nanoseconds": 1},
+)
+_MONTH_DAYS = 30.436875  # of the average Gregorian month
+_DURATION_TEXT = r"^P(?=.)(-?\d+(\.\d+)?[YMWD])*(T(-?\d+(\.\d+)?[HMS])+)?$"
+
+
+def _cascaded(months, days, seconds, nanos):
+    """A duration of amounts with fractions: of a month they become days, of a day seconds; less than a nanosecond is cut off."""
+    cut_off = lambda x: F.signum(x) * F.floor(F.abs(x) + 1e-9)
+    whole_months = cut_off(months)
+    days = days + (months - whole_months) * _MONTH_DAYS
+    whole_days = cut_off(days)
+    more = F.round((days - whole_days) * 86400, 9)
+    whole_seconds = F.floor(seconds) + F.floor(more)
+    rest = F.round((seconds - F.floor(seconds) + more - F.floor(more)) * 1e9) + nanos
+    parts = (whole_months, whole_days, whole_seconds + F.floor(rest / 1e9), F.pmod(rest, F.lit(1e9)))
+    return F.struct(*[x.cast("long").alias(n) for x, n in zip(parts, DURATION.names, strict=True)])
+
+
 def duration(v: Value) -> Value:
     if is_map(v.type):
         names = v.type.names
-        total = lambda units: struct_sum([(cast(field(v, n), DOUBLE), k) for n, k in units.items() if n in names])
-        return struct_of({
-            "months": total({"years": 12, "quarters": 3, "months": 1}), "days": total({"weeks": 7, "days": 1}),
-            "seconds": total({"hours": 3600, "minutes": 60, "seconds": 1}), "nanos": total({"milliseconds": 1000000, "microseconds": 1000, "nanoseconds": 1}),
-        })
+        unknown = [n for n in names if not any(n in units for units in _UNITS)]
+        if unknown:
+            raise QueryTypeError("InvalidArgumentValue", f"no component {unknown[0]} of duration")
+
+        def make(c):
+            total = lambda units: sum((c.getField(n).cast("double") * k for n, k in units.items() if n in names), F.lit(0.0))
+            return _cascaded(*[total(units) for units in _UNITS])
+
+        return apply(make, v, kind=DURATION)
 
     def parse(c):
         date_part, time_part = F.split_part(F.substring(c, 2, 1 << 20), F.lit("T"), F.lit(1)), F.split_part(c, F.lit("T"), F.lit(2))
         get = lambda s, unit: F.coalesce(F.regexp_extract(s, rf"(-?\d+(?:\.\d+)?){unit}", 1).try_cast("double"), F.lit(0.0))
         seconds = get(time_part, "H") * 3600 + get(time_part, "M") * 60 + get(time_part, "S")
-        parts = (get(date_part, "Y") * 12 + get(date_part, "M"), get(date_part, "W") * 7 + get(date_part, "D"), F.floor(seconds), F.round((seconds - F.floor(seconds)) * 1e9))
-        return F.when(c.isNotNull(), F.struct(*[x.cast("long").alias(n) for x, n in zip(parts, DURATION.names, strict=True)]))
+        out = _cascaded(get(date_part, "Y") * 12 + get(date_part, "M"), get(date_part, "W") * 7 + get(date_part, "D"), seconds, F.lit(0.0))
+        bad = raised(QueryTypeError, "InvalidArgumentValue", "no duration").cast(DURATION)
+        return F.when(c.isNull(), F.lit(None)).when(c.rlike(_DURATION_TEXT), out).otherwise(bad)
 
     return apply(parse, v, kind=DURATION)
 

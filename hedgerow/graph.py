@@ -36,6 +36,7 @@ class Graph:
     codes: dict[str, int] = field(default_factory=dict)
     catalog: dict[str, dict] = field(default_factory=dict)
     procedures: dict[str, object] = field(default_factory=dict)
+    selector_limit: int | None = None
 
     def code(self, name: str) -> int:
         return self.codes.setdefault(name, len(self.codes) + 1)
@@ -55,7 +56,7 @@ class Graph:
         return self
 
     def copy(self) -> Graph:
-        return Graph(self.spark, list(self.nodes), list(self.rels), dict(self.codes), dict(self.catalog), self.procedures)
+        return Graph(self.spark, list(self.nodes), list(self.rels), dict(self.codes), dict(self.catalog), self.procedures, self.selector_limit)
 
     def node_props(self) -> dict[str, T.DataType]:
         return _common([t.df.schema for t in self.nodes], {"id"})

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import Unsupported
+from ..errors import QueryError, Unsupported
 from ..functions.values import LONG, typed
 from ..plans.parser import Group, NodePattern, Part, RelPattern
 from .checkpoints import cut
@@ -195,7 +195,7 @@ def select_paths(low, frame, part: Part, seen: list, waiting: list):
     if part.var or part.selector:
         frame = low.bind_path(frame, var, trail, low.path_labels(part.items))
     if part.selector:
-        frame = _ranked(frame, part.selector, F.size(F.col(frame.env[var].col).getField("relationships")), [first, at])
+        frame = _ranked(low, frame, part.selector, F.size(F.col(frame.env[var].col).getField("relationships")), [first, at])
     return frame
 
 
@@ -215,10 +215,15 @@ def _spaced(items: list) -> list:
     return out
 
 
-def _ranked(frame, selector, size, ends):
-    """Keep, for each pair of ends, the paths that the selector asks for."""
+def _ranked(low, frame, selector, size, ends):
+    """Keep, for each pair of ends, the paths that the selector asks for; more paths than the graph's limit, if it has one, are an error."""
     from ..plans.lower import fresh
 
+    if low.graph.selector_limit is not None:
+        frame = replace(frame, df=cut(frame.df))
+        if frame.df.count() > low.graph.selector_limit:
+            raise QueryError("SelectorLimit", f"a path selector has more than {low.graph.selector_limit} matches to choose from")
+
     kind, k = selector
     if kind == "all":
         return frame
@@ -262,7 +267,7 @@ def _selected(low, frame, part: Part, items: list, at: str, waiting: list):
         frame = replace(frame, df=frame.df.join(found, F.col(at) == F.col(names["src"])))
         frame, to = low.match_node(frame, node, names["far"], low.path_labels([x]))
         frame = low.settle(frame, waiting)
-        frame = _ranked(frame, ("row", 1) if kind_of == "any" else part.selector, F.size(names["ids"]), [at, to])
+        frame = _ranked(low, frame, ("row", 1) if kind_of == "any" else part.selector, F.size(names["ids"]), [at, to])
     rels = Val(names["rels"], kind)
     if getattr(x, "var", None):
         frame = low.bind(frame, x.var, rels)

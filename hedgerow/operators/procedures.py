@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,17 +13,54 @@ from ..errors import ProcedureError, Unsupported
 from ..functions import scalar as S
 from ..functions.values import DOUBLE, typed
 
-NAMES = ("db.labels", "db.relationshipTypes", "db.propertyKeys", "db.ping", "db.schema.visualization", "db.index.vector.queryNodes", "db.index.vector.queryRelationships")
+_SEARCH = (("indexName", "STRING"), ("numberOfNearestNeighbours", "INTEGER"), ("query", "ANY"))
+#: Built-in procedures with the names and types of their inputs.
+NAMES = {
+    "db.labels": (), "db.relationshipTypes": (), "db.propertyKeys": (), "db.ping": (), "db.schema.visualization": (),
+    "db.index.vector.queryNodes": _SEARCH, "db.index.vector.queryRelationships": _SEARCH,
+}
+_PYTHON = {"INTEGER": int, "FLOAT": (int, float), "NUMBER": (int, float), "STRING": str, "BOOLEAN": bool, "MAP": (dict, Row), "LIST": (list, tuple)}
+
+
+@dataclass
+class Procedure:
+    """A user's function ``run(spark, *arguments) -> DataFrame``; ``inputs`` are pairs of a name and a type (``?`` behind it admits null), None leaves them open."""
+
+    run: Callable
+    inputs: tuple[tuple[str, str], ...] | None = None
+
+
+def inputs_of(graph, name: str) -> tuple | None:
+    """(name, type) of a procedure's inputs; None if they are open."""
+    found = graph.procedures.get(name)
+    if found is None and name not in NAMES:
+        raise ProcedureError("ProcedureNotFound", name)
+    return found.inputs if found else NAMES[name]
+
+
+def coerced(name: str, kind: str, value):
+    """A value as the input's type asks for it: whole numbers become floats, nothing else is converted."""
+    kind, may_be_null = kind.rstrip("?"), kind.endswith("?") or kind == "ANY"
+    if value is None:
+        if not may_be_null:
+            raise ProcedureError("InvalidArgumentType", f"{name} of type {kind} is null")
+        return None
+    want = _PYTHON.get(kind, object)
+    if not isinstance(value, want) or (isinstance(value, bool) and kind in ("INTEGER", "FLOAT", "NUMBER")):
+        raise ProcedureError("InvalidArgumentType", f"{name} must be of type {kind}")
+    return float(value) if kind == "FLOAT" else value
 
 
 def call(low, name: str, args: list, asts: list):
     """(rows, output name -> type) of a procedure."""
     graph, spark = low.graph, low.spark
     if name in graph.procedures:
-        df = graph.procedures[name](spark, *[low.spark.range(1).select(a.col.alias("x")).first()[0] for a in args])
+        own = graph.procedures[name]
+        values = list(spark.range(1).select(*[a.col.alias(f"x{k}") for k, a in enumerate(args)]).first()) if args else []
+        if own.inputs is not None:
+            values = [coerced(n, kind, v) for (n, kind), v in zip(own.inputs, values, strict=True)]
+        df = own.run(spark, *values)
         return df, {f.name: f.dataType for f in df.schema}
-    if name not in NAMES:
-        raise ProcedureError("ProcedureNotFound", name)
     if name == "db.labels":
         found = sorted({x for t in graph.nodes for x in t.labels})
         return spark.createDataFrame([(x,) for x in found], "label string"), {"label": T.StringType()}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ConstraintError, QueryError, QuerySyntaxError, QueryTypeError, Unsupported
-from ..functions.values import is_entity, is_list, is_map, is_null, lit, typed
+from ..functions.values import is_entity, is_list, is_map, is_node, is_null, lit, typed
 from ..graph import Graph, NodeTable, RelTable
 from ..plans.lower import Ent, Frame, Lowering, Val, fresh
 from ..plans.parser import UPDATES, NodePattern, Part, RelPattern, parse
@@ -89,7 +89,23 @@ class Writer(Lowering):
         numbered = replace(frame, df=cut(frame.df.withColumn(number, F.monotonically_increasing_id())), carry=[*frame.carry, number])
         return replace(super().do_subquery(numbered, query, scope, optional), carry=frame.carry)
 
+    def declared(self, frame: Frame, part: Part) -> None:
+        """A bound variable may only stand in a pattern to create as a bare node at the end of a relationship."""
+        if part.var and part.var in frame.env:
+            raise QuerySyntaxError("VariableAlreadyBound", part.var)
+        for n in part.items[::2]:
+            if n.var in frame.env:
+                b = frame.env[n.var]
+                if b.kind != "node" if isinstance(b, Ent) else not (is_null(b.type) or is_node(b.type)):
+                    raise QuerySyntaxError("VariableTypeConflict", n.var)
+                if n.labels or n.props or len(part.items) == 1:
+                    raise QuerySyntaxError("VariableAlreadyBound", n.var)
+        for r in part.items[1::2]:
+            if r.var in frame.env:
+                raise QuerySyntaxError("VariableAlreadyBound", r.var)
+
     def create_part(self, frame: Frame, part: Part) -> Frame:
+        self.declared(frame, part)
         ids = []
         for n in part.items[::2]:
             if n.var in frame.env:
@@ -153,6 +169,7 @@ class Writer(Lowering):
         return self.bind(replace(frame, df=df), r.var, ent)
 
     def do_merge(self, frame: Frame, part: Part, on: dict) -> Frame:
+        self.declared(frame, part)
         frame, shown = self.fixed(frame), frame.env
         frame, part = self.with_values(frame, part)
         for x in part.items:
@@ -316,7 +333,8 @@ class Writer(Lowering):
                 if n:
                     self.counters["nodes_deleted"] += n
                     self.graph.nodes[k] = replace(t, df=cut(t.df.join(gone_nodes, F.col("id") == F.col("__id"), "left_anti")))
-        return frame
+        gone = {e[1] for e in items if e[0] == "var" and isinstance(frame.env.get(e[1]), Ent)}
+        return replace(frame, env={n: replace(b, deleted=True) if n in gone else b for n, b in frame.env.items()})
 
     def all_of(self, frames: list[DataFrame]) -> DataFrame | None:
         out = None
@@ -414,5 +432,7 @@ def execute(graph: Graph, text: str, params: dict | None = None) -> tuple[Graph,
     frame = writer.query(q, Frame(None))
     if changes(q):
         writer.check()
+    if writer.strict and frame.env:
+        frame = replace(frame, df=cut(frame.df))
     result = frame.df.select(*[b.value().col.alias(n) for n, b in frame.env.items() if not n.startswith(" ")]) if last in ("return", "show", "procedure") and frame.env else None
     return writer.graph, result, writer.counters

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import ParameterMissing, ProcedureError, QueryArithmeticError, QuerySyntaxError, QueryTypeError, Unsupported
+from ..errors import EntityNotFound, ParameterMissing, ProcedureError, QueryArithmeticError, QuerySyntaxError, QueryTypeError, Unsupported, raised
 from ..functions import scalar as S
 from ..functions.values import BOOL, DOUBLE, LONG, STRING, Value, apply, cast, common, equal, is_entity, is_int, is_list, is_map, is_node, is_null, is_num, is_path, is_rel, lit, listed, never, ordered, struct_of, typed
 from ..functions.values import field as get
@@ -46,6 +46,7 @@ class Ent:
     id: str
     fixed: dict[str, str]  # labels; or type, start, end
     props: dict[str, tuple[str, T.DataType]]
+    deleted: bool = False  # by this statement
 
     def columns(self):
         return [self.id, *self.fixed.values(), *[c for c, _ in self.props.values()]]
@@ -126,6 +127,7 @@ class Lowering:
     def __init__(self, graph: Graph, params: dict | None = None):
         self.graph, self.params, self.spark = graph, params or {}, graph.spark
         self.counters: dict[str, int] = {}
+        self.strict = False  # the result has to be computed before the statement is known to succeed
 
     # -- expressions
     def compile(self, e: tuple, env: dict, local: dict | None = None) -> Value:
@@ -148,6 +150,8 @@ class Lowering:
                 return env[n].value()
             case ("prop", ("var", n), p) if n not in local and isinstance(env.get(n), Ent):
                 ent = env[n]
+                if ent.deleted:
+                    return self.lost(ent, ent.props[p][1] if p in ent.props else STRING)
                 return typed(F.col(ent.props[p][0]), ent.props[p][1]) if p in ent.props else lit(None)
             case ("prop", x, p):
                 return S.property_of(go(x), p)
@@ -314,6 +318,8 @@ class Lowering:
 
     def function(self, name: str, args, env, local) -> Value:
         values = [self.compile(a, env, local) for a in args]
+        if name in ("labels", "keys", "properties") and args[0][0] == "var" and args[0][1] not in local and getattr(env.get(args[0][1]), "deleted", False):
+            return self.lost(env[args[0][1]], T.ArrayType(STRING))
         if name == "exists":
             return apply(lambda c: c.isNotNull(), values[0], kind=BOOL)
         if name in ("startnode", "endnode"):
@@ -342,6 +348,12 @@ class Lowering:
         except TypeError as x:
             raise QuerySyntaxError("InvalidNumberOfArguments", name) from x
 
+    def lost(self, ent: Ent, kind: T.DataType) -> Value:
+        """What is asked of an entity that this statement has deleted: an error for every row that has one."""
+        self.strict = True
+        error = raised(EntityNotFound, "DeletedEntityAccess", "the entity has been deleted in this statement").cast(kind)
+        return typed(F.when(F.col(ent.id).isNotNull(), error), kind)
+
     def endpoint(self, arg, side: str, env) -> Value:
         """The node at one end of a relationship, as ``hoist`` has joined it."""
         v = self.compile(arg, env)
@@ -653,11 +665,15 @@ class Lowering:
         return self.props_filter(frame, b, n.props, n.where), b.id
 
     def match_part(self, frame: Frame, part: Part, seen: list, names: set, waiting: list) -> Frame:
+        if part.var and (part.var in frame.env or part.var in uses(part, {})):
+            raise QuerySyntaxError("VariableAlreadyBound", part.var)
         for x in part.items:
             if isinstance(x, RelPattern) and x.var:
                 if x.var in names:
                     raise QuerySyntaxError("RelationshipUniquenessViolation", x.var)
                 names.add(x.var)
+                if any(isinstance(n, NodePattern) and n.var == x.var for n in part.items) or not self.can_be_rel(frame.env.get(x.var)):
+                    raise QuerySyntaxError("VariableTypeConflict", x.var)
         if part.selector or any(isinstance(x, Group) and x.low is not None for x in part.items):
             from ..operators.paths import select_paths
 
@@ -690,6 +706,15 @@ class Lowering:
             frame = self.filter(frame, w)
         return frame
 
+    def can_be_rel(self, b) -> bool:
+        """Whether a variable's binding (None: not bound) is a relationship or a list of them, as far as its type tells."""
+        if b is None:
+            return True
+        if isinstance(b, Ent):
+            return b.kind == "rel"
+        kind = b.type.elementType if is_list(b.type) else b.type
+        return is_null(kind) or is_rel(kind)
+
     def flatten(self, items: list) -> list:
         out: list = []
         for x in items:
@@ -1163,7 +1188,8 @@ class Lowering:
     def do_procedure(self, frame: Frame, name, args, optional, **d) -> Frame:
         from ..operators.procedures import call
 
-        df, types = call(self, name, [self.compile(a, frame.env) for a in args or []], args or [])
+        args = self.arguments(name, args, frame.env)
+        df, types = call(self, name, [self.compile(a, {}) for a in args], args)
         wanted = d["yield"] if d["yield"] not in (None, "*") else [(n, n) for n in types]
         cols, env = [], {}
         for n, alias in wanted:
@@ -1177,6 +1203,21 @@ class Lowering:
         out = Frame(made if frame.df is None else frame.df.join(made, F.lit(True), "left" if optional else "inner"), frame.env | env, frame.carry)
         return self.filter(out, d["where"])
 
+    def arguments(self, name: str, args: list | None, env: dict) -> list:
+        """A call's arguments, held against the procedure's inputs; left out altogether, they are the parameters of the inputs' names."""
+        from ..operators.procedures import inputs_of
+
+        inputs = inputs_of(self.graph, name)
+        if args is None:
+            if inputs and env:
+                raise QuerySyntaxError("InvalidArgumentPassingMode", f"{name} takes arguments; parameters stand for them in a call of its own only")
+            args = [("param", n) for n, _ in inputs or []]
+        if inputs is not None and len(args) != len(inputs):
+            raise QuerySyntaxError("InvalidNumberOfArguments", f"{name} takes {len(inputs)} arguments, not {len(args)}")
+        if any(uses(a, {}) for a in args):
+            raise Unsupported("ProcedureArguments", "arguments that depend on rows")
+        return args
+
     def do_show(self, frame: Frame, what, **d) -> Frame:
         rows = self.spark.createDataFrame([(n, x["type"], x["entity"], x["label"], list(x["props"])) for n, x in self.graph.catalog.items() if x["what"] == ("INDEX" if what.startswith("INDEX") else "CONSTRAINT")], "name string, type string, entityType string, label string, properties array<string>")
         if what.startswith("PROCEDURE"):

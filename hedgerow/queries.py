@@ -39,6 +39,15 @@ CATALOG: dict[str, tuple[str, str | None]] = {
     "union_all": ("MATCH (r:Region) RETURN r.name AS v UNION ALL MATCH (n:Nation) RETURN n.name AS v", "SELECT r_name AS v FROM region UNION ALL SELECT n_name FROM nation"),
     "let_filter": ("MATCH (p:Part) LET big = p.size > 40, price = p.retailprice FILTER big AND price > 1000 RETURN p.brand AS brand, count(*) AS n", "SELECT p_brand AS brand, count(*) AS n FROM part WHERE p_size > 40 AND p_retailprice > 1000 GROUP BY 1"),
     "exists_subquery": ("MATCH (c:Customer) WHERE EXISTS { (c)-[:PLACED]->(o:Order) WHERE o.totalprice > 350000 } RETURN c.custkey AS c", "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000)"),
+    "exists_function": (
+        "MATCH (c:Customer) RETURN exists((c)-[:PLACED]->(:Order {orderstatus: 'P'})) AS b, count(*) AS n",
+        "SELECT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS b, count(*) AS n FROM customer GROUP BY 1",
+    ),
+    "durations": (
+        "MATCH (p:Part) WITH p.partkey AS k, duration({months: p.size / 4.0, days: p.size / 8.0, minutes: p.size}) AS d RETURN k, d.months AS m, d.days AS t, d.minutes AS n",
+        "SELECT k, trunc(m)::BIGINT AS m, trunc(t)::BIGINT AS t, (x + floor(round((t - trunc(t)) * 1440, 6)))::BIGINT AS n FROM (SELECT p_partkey AS k, p_size AS x, p_size / 4.0::DOUBLE AS m, p_size / 8.0::DOUBLE + (p_size / 4.0::DOUBLE - trunc(p_size / 4.0::DOUBLE)) * 30.436875 AS t FROM part)",
+    ),
+    "round_places": ("MATCH (p:Part) RETURN p.partkey AS k, round(p.retailprice, p.size % 3) AS r, round(p.retailprice / 7, 2) AS s", "SELECT p_partkey AS k, round(p_retailprice * pow(10, p_size % 3)) / pow(10, p_size % 3) AS r, round(p_retailprice / 7 * 100) / 100 AS s FROM part"),
     "anti_pattern": ("MATCH (n:Nation) WHERE NOT (n)<-[:IN_NATION]-(:Supplier) RETURN n.name AS name", "SELECT n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)"),
     "count_subquery": ("MATCH (n:Nation) RETURN n.name AS name, COUNT { (n)<-[:IN_NATION]-(:Customer) } AS k", "SELECT n_name AS name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS k FROM nation"),
     "collect_subquery": ("MATCH (r:Region) RETURN r.name AS r, size(COLLECT { MATCH (r)<-[:IN_REGION]-(n) RETURN n.name }) AS k", "SELECT r_name AS r, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS k FROM region"),

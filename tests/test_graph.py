@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from hedgerow.database import Database
-from hedgerow.errors import ConstraintError, ParameterMissing, QueryError, QuerySyntaxError, QueryTypeError
+from hedgerow.errors import ConstraintError, EntityNotFound, ParameterMissing, ProcedureError, QueryError, QuerySyntaxError, QueryTypeError, Unsupported
 from hedgerow.plans.parser import parse
 from hedgerow.queries import CATALOG, ORACLE_SQL, QUERIES
 
@@ -154,6 +154,9 @@ def test_path_and_vector_queries_also_run_over_whole_tables(name):
         ("RETURN normalize('e\u0301') = '\u00e9', 'abc' IS NORMALIZED, 'e\u0301' IS NOT NORMALIZED, round(2.55, 1, 'UP'), normalize(null)", [(True, True, True, 2.6, None)]),
         ("UNWIND [1, 2, 2, 3] AS x RETURN stDev(DISTINCT x), avg(DISTINCT x), percentileCont(DISTINCT x, 0.5), percentileDisc(x, 0.5), percentileDisc(DISTINCT x, 0.7)", [(1.0, 2.0, 2.0, 2, 3)]),
         ("MATCH ()-[r:KNOWS]->() WITH r ORDER BY endNode(r).name DESC RETURN collect(startNode(r).name)", [(["Bob", "Alice"],)]),
+        ("MATCH (a:P) RETURN a.name, exists((a)-->()) ORDER BY a.name", [("Alice", True), ("Bob", True), ("Carol", False)]),
+        ("RETURN duration({years: 1.5}).months, duration('P0.5M').days, duration({days: 1.5}).seconds, duration({hours: 1.5}).minutes", [(18, 15, 43200, 90)]),
+        ("UNWIND [0, 1, 2] AS p RETURN round(1.005, p), round(-2.5, 0, 'CEILING')", [(1.0, -3.0), (1.0, -3.0), (1.0, -3.0)]),
         ("EXPLAIN MATCH (a:P) RETURN a.name AS name", []),
         ("EXPLAIN CREATE (:X)", []),
         ("MATCH (x:X) RETURN count(*)", [(0,)]),
@@ -176,6 +179,23 @@ def test_more_expressions(people, text, want):
         ("RETURN date.truncate('fortnight', date('2024-05-05'))", QueryTypeError, "InvalidArgumentValue"),
         ("RETURN [1, 'a']", QueryError, "MixedTypes"),
         ("CREATE (a)-[:R]-(b)", QuerySyntaxError, "RequiresDirectedRelationship"),
+        ("MATCH (a) RETURN size((a)-->())", QuerySyntaxError, "UnexpectedSyntax"),
+        ("MATCH (a) WITH (a)-->() AS x RETURN x", QuerySyntaxError, "UnexpectedSyntax"),
+        ("CALL db.labels() YIELD * RETURN 1 AS x", QuerySyntaxError, "UnexpectedSyntax"),
+        ("CALL db.labels() YIELD label AS l, label AS l RETURN l", QuerySyntaxError, "VariableAlreadyBound"),
+        ("CALL db.labels(1)", QuerySyntaxError, "InvalidNumberOfArguments"),
+        ("MATCH (n) CALL db.index.vector.queryNodes YIELD node RETURN node", QuerySyntaxError, "InvalidArgumentPassingMode"),
+        ("MATCH (a) MERGE (a)", QuerySyntaxError, "VariableAlreadyBound"),
+        ("MATCH (a)-[r]->(b) CREATE (a)-[r:K]->(b)", QuerySyntaxError, "VariableAlreadyBound"),
+        ("MATCH (a)-[r]->(b) MERGE (a)-[r:K]->(b)", QuerySyntaxError, "VariableAlreadyBound"),
+        ("MATCH p = (a)-->(p) RETURN 1", QuerySyntaxError, "VariableAlreadyBound"),
+        ("MATCH (a) MATCH ()-[a]->() RETURN 1", QuerySyntaxError, "VariableTypeConflict"),
+        ("MATCH (a)-[a]->() RETURN 1", QuerySyntaxError, "VariableTypeConflict"),
+        ("MATCH (a) WITH a.name AS a CREATE (a)-[:X]->()", QuerySyntaxError, "VariableTypeConflict"),
+        ("USE other MATCH (n) RETURN n", Unsupported, "Administration"),
+        ("CREATE OR REPLACE DATABASE other", Unsupported, "Administration"),
+        ("RETURN duration({fish: 1})", QueryTypeError, "InvalidArgumentValue"),
+        ("UNWIND ['nope'] AS x RETURN duration(x)", QueryTypeError, "InvalidArgumentValue"),
         ("UNWIND [1] AS x RETURN percentileDisc(x, 2)", QueryError, "NumberOutOfRange"),
     ],
 )
@@ -198,6 +218,38 @@ def test_updates_in_subqueries_run_for_every_row_and_deletes_hold_at_the_end(spa
     assert rows(db, "MATCH (a:A) RETURN count(*)") == [(0,)]
 
 
+def test_deleted_entities_can_not_be_read(spark):
+    db = Database(spark)
+    db.run("CREATE (:A {k: 1})-[:R {w: 2}]->(:B)")
+    for text in ("MATCH (a:A) DETACH DELETE a RETURN a.k", "MATCH (a:A) DETACH DELETE a RETURN labels(a)", "MATCH ()-[r]->() DELETE r RETURN r.w"):
+        with pytest.raises(EntityNotFound):
+            db.run(text).collect()
+    assert rows(db, "MATCH (a:A)-[r]->() RETURN a.k, r.w") == [(1, 2)]  # a statement that fails changes nothing
+    assert rows(db, "MATCH (b:Nothing) DELETE b RETURN labels(b)") == []
+    assert rows(db, "MATCH (a:A)-[r]->() DELETE r CREATE (:C) RETURN type(r), a.k") == [("R", 1)]
+
+
+def test_registered_procedures_hold_their_inputs(people, spark):
+    def scaled(session, by, k):
+        return session.createDataFrame([(by * x, k) for x in (1, 2)], "x double, k long")
+
+    people.register_procedure("own.scaled", scaled, [("by", "FLOAT"), ("k", "INTEGER?")])
+    assert rows(people, "CALL own.scaled(3, null) YIELD x RETURN x ORDER BY x") == [(3.0,), (6.0,)]
+    assert sorted(rows(people, "CALL own.scaled", by=0.5, k=7)) == [(0.5, 7), (1.0, 7)]
+    for text, kind in (("CALL own.scaled('a', 1)", ProcedureError), ("CALL own.scaled(null, 1)", ProcedureError), ("CALL own.scaled(1)", QuerySyntaxError), ("CALL own.scaled", ParameterMissing)):
+        with pytest.raises(kind):
+            rows(people, text)
+
+
+def test_a_selector_may_be_limited(spark):
+    db = Database(spark, selector_limit=2)
+    db.run("UNWIND range(1, 3) AS x CREATE (:A)-[:R]->(:B)")
+    assert rows(db, "MATCH p = shortestPath((a:A)-[:R*]->(b:B)) RETURN count(p)") == [(3,)]
+    with pytest.raises(QueryError) as x:
+        rows(db, "MATCH p = SHORTEST 2 (a:A)-[:R]->{1,2}(b:B) RETURN count(p)")
+    assert x.value.code == "SelectorLimit"
+
+
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
