@@ -9,9 +9,9 @@ Removes each byte covered by a ``LENGTH``-byte string that also starts in a docu
 2. Runs of windows with one shared minimizer become strings of at most 80 bytes, dealt out by minimizer: equal windows meet in
    one bucket. A bucket's size is set by the corpus size, not by the number of executors.
 3. In a bucket, strings are cut into shards; each shard has its Burrows-Wheeler transform and last-to-first map. The transforms are merged by
-   refining their interleaving: in step k every row steps back by its symbol, stably, after which rows are in order of
-   their first k bytes and an interval boundary stands where the common prefix is shorter than k. Rows alone in their interval drop out. After
-   ``LENGTH`` steps the intervals left are the repeated strings, without any sort of all suffixes; each knows its smallest document.
+   refining their interleaving: in step k every row steps back by two symbols, stably, after which rows are in order of
+   their first 2k bytes and an interval boundary stands where the common prefix is shorter than 2k. Rows alone in their interval drop out. After
+   ``LENGTH`` / 2 steps the intervals left are the repeated strings, without any sort of all suffixes; each knows its smallest document.
    The windows of hot minimizers are not put into buckets: the smallest document of each is a partial aggregate, brought back by ``spread_join``.
 4. What is to go returns to its document as spans, and each text is cut once.
 
@@ -285,18 +285,21 @@ def repeated(shards: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         place.append(p + base)
         base += len(s)
     symbols, back, place = np.concatenate(symbols), np.concatenate(back), np.concatenate(place)
+    # A step goes back by two symbols, the farther one first in order: LENGTH is even. Both stand beside the row that they lead to, for one lookup a step.
+    farther = np.where(symbols > 0, symbols[back], 0).astype(np.int64)
+    steps = back[back].astype(np.int64) << 16 | farther << 8 | symbols
     row = np.arange(base, dtype=np.int32)
     interval = np.zeros(base, np.int32)
-    for _ in range(LENGTH):
-        symbol = symbols[row]
+    for _ in range(LENGTH // 2):
+        step = steps[row]
+        symbol = step.astype(np.uint16)  # the low sixteen bits
         order = np.argsort(symbol, kind="stable")
-        order = order[np.searchsorted(symbol[order], 1) :]  # the start of a string has nothing before it
+        order = order[np.searchsorted(symbol[order], 1 << 8) :]  # less than two symbols stand before the place
         symbol, was = symbol[order], interval[order]
         new = np.ones(len(order), bool)
         new[1:] = (symbol[1:] != symbol[:-1]) | (was[1:] != was[:-1])
-        alone = new & np.append(new[1:], True)
-        keep = ~alone
-        row, interval = back[row[order[keep]]], np.cumsum(new[keep], dtype=np.int32)
+        keep = ~(new & np.append(new[1:], True))  # rows alone in their interval drop out
+        row, interval = (step[order[keep]] >> 16).astype(np.int32), np.cumsum(new[keep], dtype=np.int32)
         if not len(row):
             break
     return place[row], interval
