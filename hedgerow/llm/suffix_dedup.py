@@ -12,7 +12,8 @@ Removes each byte covered by a ``LENGTH``-byte string that also starts in a docu
    refining their interleaving: in step k every row steps back by two symbols, stably, after which rows are in order of
    their first 2k bytes and an interval boundary stands where the common prefix is shorter than 2k. Rows alone in their interval drop out. After
    ``LENGTH`` / 2 steps the intervals left are the repeated strings, without any sort of all suffixes; each knows its smallest document.
-   The windows of hot minimizers are not put into buckets: the smallest document of each is a partial aggregate, brought back by ``spread_join``.
+   The windows of hot minimizers are not put into buckets: the smallest document of each is a partial aggregate, looked up or, if there are many, brought back
+   by ``spread_join``.
 4. What is to go returns to its document as spans, and each text is cut once.
 
 Of equal texts only one takes part; the others, if long enough, go wholly. The sample steers the work alone: whatever it holds, results are the same.
@@ -41,6 +42,8 @@ BUCKET_BYTES, SEGMENT, SHARD = 8 << 20, 1 << 20, 1 << 16
 NO_ID = np.iinfo(np.int64).max
 #: Texts looked at for hot minimizers; the least number of them, and of all texts as it scales, that makes a minimizer hot.
 SAMPLE_TEXTS, HOT_SAMPLED, HOT_TEXTS = 1 << 14, 8, 4096
+#: Windows of hot minimizers that are sent to every task at most: 58 bytes each, 15 MB.
+LOOKUP = 1 << 18
 #: Stands for all hot minimizers of a text.
 _MARK = np.uint64((1 << 48) - 1)
 
@@ -247,19 +250,47 @@ def _hot_windows(candidates: DataFrame, hot) -> DataFrame:
     return candidates.mapInArrow(lean(cut), "window binary, row long, id long, start long")
 
 
+def _bytes_of(windows: pa.Array) -> np.ndarray:
+    """Strings of ``LENGTH`` bytes; all are as long, so that zeros at an end, which numpy leaves out, make no two alike."""
+    fixed = windows.cast(pa.binary(LENGTH))
+    return np.frombuffer(fixed.buffers()[1], f"S{LENGTH}", len(fixed), fixed.offset * LENGTH) if len(fixed) else np.zeros(0, f"S{LENGTH}")
+
+
 def _hot_marked(windows: DataFrame, n: int) -> DataFrame:
-    """Packed spans of the windows that a document of a smaller id has too."""
+    """Packed spans of the windows that a document of a smaller id has too.
+
+    Up to ``LOOKUP`` different windows that two documents have are sent to every task and looked up there; more are joined.
+    """
+
+    def pack(batch):
+        start = batch["start"].to_numpy()
+        spans_ = np.ascontiguousarray(np.stack([start, start + LENGTH], 1).astype("<i8")).view("V16").ravel()
+        return _packed(batch["row"].to_numpy().astype("<i8"), spans_, n).to_batches()
 
-    def pack(batches):
+    least = staged(windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")), "least")
+    again = least.where("least < most")
+    if again.count() > LOOKUP:
+
+        def packed(batches):
+            for batch in batches:
+                yield from pack(batch)
+
+        gone = spread_join(windows.join(again.select("window"), "window", "left_semi"), again, "window", "n").where("least < id")
+        return gone.select("row", "start").mapInArrow(lean(packed, 1 << 14), "bucket long, keys binary, vals binary")
+    found = again.select("window", "least").collect()
+    known = np.array([bytes(r["window"]) for r in found], f"S{LENGTH}")
+    order = np.argsort(known)
+    table = windows.sparkSession.sparkContext.broadcast((known[order], np.array([r["least"] for r in found], np.int64)[order]))
+
+    def looked_up(batches):
+        known, smallest = table.value
         for batch in batches:
-            start = batch["start"].to_numpy()
-            spans_ = np.ascontiguousarray(np.stack([start, start + LENGTH], 1).astype("<i8")).view("V16").ravel()
-            yield from _packed(batch["row"].to_numpy().astype("<i8"), spans_, n).to_batches()
-
-    least = staged(windows.groupBy("window").agg(F.min("id").alias("least"), F.count("*").alias("n")), "least")
-    again = least.where("n > 1")
-    gone = spread_join(windows.join(again.select("window"), "window", "left_semi"), again, "window", "n").where("least < id")
-    return gone.select("row", "start").mapInArrow(lean(pack, 1 << 14), "bucket long, keys binary, vals binary")
+            own = _bytes_of(batch["window"])
+            at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+            goes = (known[at] == own) & (smallest[at] < batch["id"].to_numpy()) if len(known) else np.zeros(len(own), bool)
+            yield from pack(batch.filter(pa.array(goes)))
+
+    return windows.mapInArrow(lean(looked_up, 1 << 14), "bucket long, keys binary, vals binary")
 
 
 def shard_transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -311,7 +311,9 @@ def test_suffix_dedup(spark):
     assert cut.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") and cut.count() == len(texts)
 
 
-def test_suffix_dedup_with_hot_minimizers(spark):
+@pytest.mark.parametrize("lookup", [0, suffix_dedup.LOOKUP])
+def test_suffix_dedup_with_hot_minimizers(spark, monkeypatch, lookup):
+    monkeypatch.setattr(suffix_dedup, "LOOKUP", lookup)
     rng = np.random.default_rng(11)
     word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
     phrase, passage = word(46), word(90)
