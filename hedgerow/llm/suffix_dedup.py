@@ -199,8 +199,8 @@ def _joined(make):
     return run
 
 
-def _hits(batch, hot: np.ndarray, wants_hot: bool):
-    """For each segment of a batch of candidates, its runs of windows with a shared minimizer: bytes, first places, sizes, minimizers, rows, ids, offsets."""
+def _hits(batch, hot: np.ndarray):
+    """For each segment of a batch of candidates, its runs of windows with a shared minimizer: bytes, first places, sizes, minimizers, whether hot, rows, ids, offsets."""
     texts = [(t or "").encode() for t in batch["text"].to_pylist()]
     rows = batch["row"].to_numpy()
     ids = batch["doc_id"].fill_null(int(NO_ID)).to_numpy()
@@ -210,22 +210,19 @@ def _hits(batch, hot: np.ndarray, wants_hot: bool):
         doc, offset = (np.array([p[k] for p in parts]) for k in (0, 1))
         begin = np.concatenate([[0], np.cumsum([len(p[2]) for p in parts])])
         is_hot = _is_in(h, hot)
-        if wants_hot:
-            hit = np.flatnonzero(is_hot)
-        else:
-            wanted = np.concatenate([mixed(lists[i] ^ np.uint64(int(i) << 48)) for i in np.unique(doc)])
-            hit = np.flatnonzero(np.isin(mixed(h ^ (doc[part].astype(np.uint64) << np.uint64(48))), wanted) & ~is_hot)
-        part, first, last, h = part[hit], first[hit], last[hit], h[hit]
-        yield np.frombuffer(raw, np.uint8), first, last - first + LENGTH, h, rows[doc[part]], ids[doc[part]], offset[part] + first - begin[part]
+        wanted = np.concatenate([mixed(lists[i] ^ np.uint64(int(i) << 48)) for i in np.unique(doc)])
+        hit = np.flatnonzero(np.isin(mixed(h ^ (doc[part].astype(np.uint64) << np.uint64(48))), wanted) | is_hot)
+        part, first, last, h, is_hot = part[hit], first[hit], last[hit], h[hit], is_hot[hit]
+        yield np.frombuffer(raw, np.uint8), first, last - first + LENGTH, h, is_hot, rows[doc[part]], ids[doc[part]], offset[part] + first - begin[part]
 
 
 def _strings(candidates: DataFrame, n: int, hot) -> DataFrame:
-    """Runs of windows with a shared minimizer that is not hot, packed by minimizer."""
+    """Runs of windows with a shared minimizer, packed by minimizer; those of hot ones have a bucket ``n`` in name, which no task gathers."""
 
     def cut(batches):
         for batch in batches:
-            for data, first, size, h, rows, ids, starts in _hits(batch, hot.value, False):
-                for b, i in _dealt((h % np.uint64(n)).astype(np.int64), n):
+            for data, first, size, h, is_hot, rows, ids, starts in _hits(batch, hot.value):
+                for b, i in _dealt(np.where(is_hot, n, (h % np.uint64(n)).astype(np.int64)), n + 1):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([b], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (data[spans(first[i], size[i])], size[i].astype(np.uint8), rows[i].astype("<i8"), ids[i].astype("<i8"), starts[i].astype("<i8"))]],
                         ["bucket", "data", "sizes", "rows", "ids", "starts"],
@@ -234,20 +231,22 @@ def _strings(candidates: DataFrame, n: int, hot) -> DataFrame:
     return candidates.mapInArrow(lean(_joined(cut)), "bucket long, data binary, sizes binary, rows binary, ids binary, starts binary")
 
 
-def _hot_windows(candidates: DataFrame, hot) -> DataFrame:
-    """Each window with a hot minimizer: window (its bytes), row, id, start."""
+def _hot_windows(strings: DataFrame) -> DataFrame:
+    """Each window of packed strings: window (its bytes), row, id, start."""
 
     def cut(batches):
         for batch in batches:
-            for data, first, size, _, rows, ids, starts in _hits(batch, hot.value, True):
+            for packed in zip(*[batch[k].to_pylist() for k in ("data", "sizes", "rows", "ids", "starts")], strict=True):
+                data, size, rows, ids, starts = (np.frombuffer(x, t) for x, t in zip(packed, (np.uint8, np.uint8, "<i8", "<i8", "<i8"), strict=True))
+                size = size.astype(np.int64)
                 windows = size - LENGTH + 1
                 at = np.repeat(np.arange(len(size)), windows)
                 step = np.arange(len(at)) - np.repeat(np.cumsum(windows) - windows, windows)
-                flat = data[spans(first[at] + step, np.full(len(at), LENGTH))]
+                flat = data[spans((np.cumsum(size) - size)[at] + step, np.full(len(at), LENGTH))]
                 own = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(at), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([own, pa.array(rows[at]), pa.array(ids[at]), pa.array(starts[at] + step)], ["window", "row", "id", "start"])
 
-    return candidates.mapInArrow(lean(cut), "window binary, row long, id long, start long")
+    return strings.mapInArrow(lean(cut), "window binary, row long, id long, start long")
 
 
 def _bytes_of(windows: pa.Array) -> np.ndarray:
@@ -418,10 +417,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     wanted = firsts.join(shared, F.col("digest") == F.col("key")).select("doc_id", "digest", "row", "vals")
     candidates = own(wanted)
     candidates = (candidates.dropDuplicates(["row"]) if twice else candidates).select("row", "doc_id", "text", "vals")
-    marked = _marked_strings(_strings(candidates, n, hot), n)
+    strings = _strings(candidates, n, hot)
     if len(hot.value):
-        windows = staged(_hot_windows(candidates, hot), "windows")
-        marked = marked.unionByName(_hot_marked(windows, n))
+        strings = staged(strings, "strings")
+        marked = _marked_strings(strings.where(F.col("bucket") < n), n).unionByName(_hot_marked(_hot_windows(strings.where(F.col("bucket") == n)), n))
+    else:
+        marked = _marked_strings(strings, n)
     found = staged(_by_key(marked, 16, False), "spans")
     others = known.join(firsts.select("row"), "row", "left_anti").select("doc_id", "digest", (F.col("n") >= LENGTH).alias("whole"), F.lit(None).cast("binary").alias("vals"))
     first = firsts.join(found, F.col("row") == F.col("key"), "left").select("doc_id", "digest", F.lit(False).alias("whole"), "vals")
