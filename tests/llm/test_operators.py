@@ -345,6 +345,46 @@ def test_merged_transforms_find_every_repeat(strings):
     assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="ab", max_size=75), min_size=1, max_size=12))
+def test_places_of_a_shard_are_in_order_of_fifty_symbols(strings):
+    text = np.frombuffer(b"".join(bytes(x + 1 for x in s.encode()) + b"\0" for s in strings), np.uint8)
+    place = suffix_dedup._sorted_places(text)
+    padded = text.tobytes() + bytes(50)
+    keys = [padded[p : p + 50] for p in place.tolist()]
+    assert sorted(place.tolist()) == list(range(len(text))) and keys == sorted(keys)
+
+
+def test_marking_a_bucket_takes_memory_for_a_block():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    kinds = [rng.integers(97, 123, n, np.uint8).tobytes() for n in rng.integers(50, 81, 40_000)]
+    pick = np.concatenate([np.arange(len(kinds)), rng.integers(0, len(kinds), 20_000)])
+    strings = [kinds[k] for k in pick]
+    sizes, ids = np.array([len(x) for x in strings], np.uint8), rng.integers(0, 10_000, len(strings))
+    rows, parts = np.arange(len(strings)), (pick * 2654435761 % 256).astype(np.uint8)
+    tracemalloc.start()
+    found = suffix_dedup._marked_by_block(np.frombuffer(b"".join(strings), np.uint8), sizes, rows, ids, np.zeros(len(strings), np.int64), parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    least = {}
+    for x, i in zip(strings, ids.tolist(), strict=True):
+        least[x] = min(least.get(x, i), i)
+    want = {(k, 0, len(x)) for k, (x, i) in enumerate(zip(strings, ids.tolist(), strict=True)) if least[x] < i}
+    assert set(zip(*[x.tolist() for x in found], strict=True)) == want
+    assert peak < 64e6, peak  # 4 MB of strings; as one piece the bucket took 265 MB
+
+
+def test_many_hot_windows_are_cut_in_small_batches(spark):
+    rng = np.random.default_rng(6)
+    data, n = rng.integers(97, 123, 80 * 2_000, np.uint8), 2_000
+    packed = [bytearray(x.tobytes()) for x in (data, np.full(n, 80, np.uint8), np.arange(n), np.arange(n) + 5, np.arange(n) * 100)]
+    out = suffix_dedup._hot_windows(spark.createDataFrame([packed], "data binary, sizes binary, rows binary, ids binary, starts binary")).collect()
+    got = {(r.row, r.id, r.start, bytes(r.window)) for r in out}
+    assert got == {(k, k + 5, 100 * k + j, data[80 * k + j : 80 * k + j + 50].tobytes()) for k in range(n) for j in range(31)}
+
+
 def test_quality_rules(spark, docs):
     import duckdb
 
