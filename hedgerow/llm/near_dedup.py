@@ -40,7 +40,10 @@ SLOTS, BLOCKS = 1 << 20, 64
 DAMP = 0.2
 PIVOT_ROUNDS, PIVOTS, TRIES = 2, 32, 16
 _DRAWS = 1 << 16
-_TILE = 8192
+_TILE = 2048
+#: Ranges of the weight of a shingle that stands once, for which draws are worked out beforehand: 0.5 MB each.
+_RANGES = 16
+_UNKNOWN = np.uint64(2**64 - 1)
 
 
 def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -80,27 +83,54 @@ def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r.astype(np.float32), np.log(c).astype(np.float32), rng.random(_DRAWS).astype(np.float32)
 
 
+def _drawn(pick: np.ndarray, log_w: np.ndarray) -> np.ndarray:
+    """What the draws ``pick`` give a weight: in the high half a number that orders as ln a does, in the low half a code of t."""
+    r, ln_c, beta = _draws()
+    rk, bk = r[pick], beta[pick]
+    t = np.floor(log_w / rk + bk)
+    ln_a = ln_c[pick] - rk * (t - bk + np.float32(1))
+    bits = ln_a.view(np.uint32)
+    rank = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))  # orders as the floats do
+    return (rank.astype(np.uint64) << np.uint64(32)) | (t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1))
+
+
+@functools.cache
+def _known_draws() -> tuple[np.ndarray, np.ndarray]:
+    """(edges of the ranges of ln w, what each draw gives each range); made once, 8.5 MB.
+
+    t does not fall as the weight grows, in floating point neither, and what a draw gives hangs on the weight by t alone. So a draw whose t is one at both
+    edges of a range gives all weights between the same; the others are ``_UNKNOWN``, as all are in the last row, that of weights in no range.
+    """
+    edges = np.linspace(np.log(1 - DAMP), 0, _RANGES + 1).astype(np.float32)
+    at_edge = np.stack([_drawn(np.arange(_DRAWS), e) for e in edges])
+    known = np.full((_RANGES + 1, _DRAWS), _UNKNOWN)
+    known[:-1] = np.where(at_edge[:-1] == at_edge[1:], at_edge[:-1], _UNKNOWN)
+    return edges, known.ravel()
+
+
 def samples(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """The samples of texts 0..n-1 as a matrix of 32-bit codes; ``doc`` ascends. Rows of texts without shingles are 0."""
     hashes = BANDS * ROWS
     out = np.zeros((n, hashes), np.uint32)
     rng = np.random.default_rng(7)
     odd = rng.integers(1, 1 << 63, hashes, np.uint64) * np.uint64(2) + np.uint64(1)
-    r, ln_c, beta = _draws()
+    edges, known = _known_draws()
     log_w = np.log(weight).astype(np.float32)
-    code = (value >> np.uint64(8)).astype(np.uint32)
+    span = np.where(log_w == edges[-1], _RANGES, np.searchsorted(edges, log_w, "right")) - 1
+    span[(span < 0) | (span > _RANGES)] = _RANGES
+    base = span.astype(np.uint64) * np.uint64(_DRAWS)
+    code = (value >> np.uint64(8)) & np.uint64(0xFFFFFFFF)
     begins = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
     best = np.full((n, hashes), np.uint64(2**64 - 1))
     for a in range(0, len(doc), _TILE):
         part = slice(a, min(a + _TILE, len(doc)))
-        pick = ((value[part, None] * odd) >> np.uint64(48)).astype(np.int32)
-        rk = r[pick]
-        t = np.floor(log_w[part, None] / rk + beta[pick])
-        ln_a = ln_c[pick] - rk * (t - beta[pick] + np.float32(1))
-        bits = ln_a.view(np.uint32)
-        rank = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))  # orders as the floats do
-        own = code[part, None] ^ (t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1))
-        both = (rank.astype(np.uint64) << np.uint64(32)) | own
+        pick = value[part, None] * odd
+        pick >>= np.uint64(48)
+        pick += base[part, None]
+        both = known.take(pick.view(np.int64))
+        left = np.flatnonzero(both == _UNKNOWN)
+        both.reshape(-1)[left] = _drawn((pick.reshape(-1)[left] % np.uint64(_DRAWS)).astype(np.int64), log_w[part][left // hashes])
+        both ^= code[part, None]
         cut = np.concatenate([[a], begins[(begins > a) & (begins < part.stop)]])
         least = np.minimum.reduceat(both, cut - a, axis=0)
         best[doc[cut]] = np.minimum(best[doc[cut]], least)

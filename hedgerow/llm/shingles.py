@@ -59,7 +59,8 @@ def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np
             own.append(h)
         doc, value = np.concatenate([doc, small]), np.concatenate([value, np.array(own, np.uint64)])
     value = mixed(value)
-    order = np.lexsort((value, doc))
+    order = np.argsort(value)
+    order = order[np.argsort(doc[order].astype(np.min_scalar_type(len(texts))), kind="stable")]  # small numbers are sorted by their digits
     doc, value = doc[order], value[order]
     first = np.ones(len(doc), bool)
     first[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])

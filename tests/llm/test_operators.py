@@ -462,6 +462,45 @@ def test_samples_agree_as_often_as_weighted_similarity_says():
     assert abs(np.mean(off)) < 0.04 and np.std(off) < 0.12
 
 
+def plain_samples(doc, value, weight, n):
+    """Every draw of every shingle worked out."""
+    odd = np.random.default_rng(7).integers(1, 1 << 63, near_dedup.BANDS * near_dedup.ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    r, ln_c, beta = near_dedup._draws()
+    out = np.zeros((n, len(odd)), np.uint32)
+    for i in np.unique(doc):
+        v, w = value[doc == i], np.log(weight[doc == i]).astype(np.float32)
+        pick = ((v[:, None] * odd) >> np.uint64(48)).astype(np.int64)
+        t = np.floor(w[:, None] / r[pick] + beta[pick])
+        ln_a = ln_c[pick] - r[pick] * (t - beta[pick] + np.float32(1))
+        own = (v >> np.uint64(8)).astype(np.uint32)[:, None] ^ (t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1))
+        least = ln_a == ln_a.min(axis=0)
+        out[i] = np.where(least, own, np.uint32(2**32 - 1)).min(axis=0)
+    return out
+
+
+def bag(rng, texts, size):
+    weight = rng.uniform(1 - near_dedup.DAMP, 1, texts * size)
+    weight[::97], weight[1::89], weight[2::83] = 1.0, 1 - near_dedup.DAMP, 2.5
+    return np.repeat(np.arange(texts), size), rng.integers(1, 1 << 63, texts * size, np.uint64), weight
+
+
+def test_known_draws_give_what_working_out_gives():
+    rng = np.random.default_rng(21)
+    doc, value, weight = bag(rng, 40, 211)
+    edges = np.exp(near_dedup._known_draws()[0].astype(float))
+    weight[: 3 * len(edges)] = np.concatenate([edges, np.nextafter(edges, 0), np.nextafter(edges, 9)])
+    assert (near_dedup.samples(doc * 2, value, weight, 80) == plain_samples(doc * 2, value, weight, 80)).all()
+
+
+def test_most_draws_are_not_worked_out(monkeypatch):
+    doc, value, weight = bag(np.random.default_rng(22), 50, 400)
+    near_dedup._known_draws()
+    drawn, floor = [], np.floor
+    monkeypatch.setattr(near_dedup.np, "floor", lambda x: drawn.append(np.size(x)) or floor(x))
+    near_dedup.samples(doc, value, weight, 50)
+    assert sum(drawn) < len(value) * near_dedup.BANDS * near_dedup.ROWS / 20
+
+
 def weighted_links(texts):
     """All pairs at the threshold, by brute force over all pairs and without hashing."""
     from collections import Counter
