@@ -376,7 +376,7 @@ def test_marking_a_bucket_takes_memory_for_a_block():
     assert peak < 64e6, peak  # 4 MB of strings; as one piece the bucket took 265 MB
 
 
-def test_many_hot_windows_are_cut_in_small_batches(spark):
+def test_many_hot_windows_are_all_cut(spark):
     rng = np.random.default_rng(6)
     data, n = rng.integers(97, 123, 80 * 2_000, np.uint8), 2_000
     packed = [bytearray(x.tobytes()) for x in (data, np.full(n, 80, np.uint8), np.arange(n), np.arange(n) + 5, np.arange(n) * 100)]
