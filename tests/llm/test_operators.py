@@ -385,6 +385,31 @@ def test_many_hot_windows_are_all_cut(spark):
     assert got == {(k, k + 5, 100 * k + j, data[80 * k + j : 80 * k + j + 50].tobytes()) for k in range(n) for j in range(31)}
 
 
+@pytest.mark.parametrize("lookup", [0, suffix_dedup.LOOKUP])
+def test_equal_hot_strings_are_cut_into_windows_once(spark, monkeypatch, lookup):
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(rng.choice(list("abcdefghé "), n))
+    passage, made, cut = word(400), [], suffix_dedup._hot_windows
+    monkeypatch.setattr(suffix_dedup, "LOOKUP", lookup)
+    monkeypatch.setattr(suffix_dedup, "_hot_windows", lambda *a: made.append(cut(*a)) or made[-1])
+    texts = [word(30) + passage + word(30) + (passage[50:120] if k % 3 else "") for k in range(90)]
+    ids = [None if k == 7 else k - 20 for k in range(90)]  # the text without an id is the last of all
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    packed = {r.doc_id: r.vals for r in suffix_dedup.removals(df, hot_texts=20).collect()}
+    order = [k for k in range(90) if k != 7] + [7]
+    for k, gone in zip(order, brute_suffix([texts[k] for k in order]), strict=True):
+        marks = np.zeros(len(gone), bool)
+        for a, b in suffix_dedup.united(packed[ids[k]]) if packed[ids[k]] else ():
+            marks[a:b] = True
+        assert (marks == gone).all(), k
+    hot, strings = suffix_dedup._hot_minimizers(df, 20), []
+    for parts in suffix_dedup.segments([t.encode() for t in texts]):
+        raw, _, first, last, h = suffix_dedup.window_runs(parts)
+        strings += [raw[a : b + 50] for a, b, x in zip(first.tolist(), last.tolist(), h.tolist(), strict=True) if x in set(hot.tolist())]
+    once, every = (sum(len(x) - 49 for x in y) for y in (set(strings), strings))
+    assert sum(m.count() for m in made) == once < every / 4, (once, every)
+
+
 def test_quality_rules(spark, docs):
     import duckdb
 
