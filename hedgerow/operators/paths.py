@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import QueryError, Unsupported
-from ..functions.values import LONG, typed
+from ..functions.values import BOOL, LONG, typed
+from ..graph import holds
 from ..plans.parser import Group, NodePattern, Part, RelPattern
 from .checkpoints import cut
 
@@ -23,11 +24,11 @@ UNROLL = 5
 MOST = 100
 
 
-def steps(low, rel: RelPattern) -> tuple[DataFrame, set, T.DataType]:
-    """near, far, ids, rels of one step along a relationship pattern; properties and WHERE hold for each step."""
+def steps(low, rel: RelPattern, keep=None) -> tuple[DataFrame, set, T.DataType]:
+    """near, far, ids, rels of one step along a relationship pattern, over the tables that ``keep`` admits; properties and WHERE hold for each step."""
     from ..plans.lower import Frame
 
-    df, b, tables = low.scan_rels(rel.types)
+    df, b, _ = low.scan_rels(rel.types, keep, True)
     frame = low.props_filter(Frame(df, {rel.var: b} if rel.var else {}), b, rel.props, rel.where)
     v = b.value()
     s, e = F.col(b.fixed["start"]), F.col(b.fixed["end"])
@@ -38,7 +39,74 @@ def steps(low, rel: RelPattern) -> tuple[DataFrame, set, T.DataType]:
         out = back
     elif rel.direction == "-":
         out = out.unionAll(back.where("near <> far"))
-    return out, {t.type for t in tables}, T.ArrayType(v.type)
+    return out, {t.type for t in low.rel_tables(rel.types)}, T.ArrayType(v.type)
+
+
+class Layers:
+    """The edges of each step of a search of at most ``most`` steps between two node patterns.
+
+    A step reads only the types that start at a label the search can have come to and from whose end the labels of the last node are within the
+    steps left; a relationship whose ends' labels aren't known may lead anywhere.
+    """
+
+    def __init__(self, low, rel: RelPattern, first: NodePattern | None, last: NodePattern | None, most: int | None):
+        self.low, self.rel, self.most = low, rel, most
+        self.edges, self.types, self.kind = steps(low, rel)
+        self.made: dict[frozenset, DataFrame] = {}
+        tables = low.rel_tables(rel.types)
+        self.arcs = None if any(None in (t.start_label, t.end_label) for t in tables) else []
+        if self.arcs is None:
+            return
+        known = {t.labels for t in low.graph.nodes}
+        known |= {frozenset({x}) for t in tables for x in (t.start_label, t.end_label) if not any(x in k for k in known)}
+        for n, t in enumerate(tables):
+            ends = [{k for k in known if x in k} for x in (t.start_label, t.end_label)]
+            self.arcs += [(n, *ends)] * (rel.direction != "<") + [(n, *ends[::-1])] * (rel.direction != ">")
+        fits = lambda node: {k for k in known if node is None or node.labels is None or low.depends(node.labels) or holds(k, low.static(node.labels))}
+        self.here = fits(first)
+        self.near = [fits(last)]  # labels from which the last node is within 0, 1, .. steps
+        while most is None or len(self.near) < most:
+            more = self.near[-1].union(*[s for _, s, e in self.arcs if e & self.near[-1]])
+            if more == self.near[-1]:
+                break
+            self.near.append(more)
+
+    def next(self, k: int) -> DataFrame:
+        """The edges of step ``k``; steps are asked for in order."""
+        if self.arcs is None:
+            return self.edges
+        goal = self.near[-1] if self.most is None else self.near[min(self.most - k, len(self.near) - 1)]
+        on = [(n, e & goal) for n, s, e in self.arcs if s & self.here and e & goal]
+        self.here = set().union(*[e for _, e in on])
+        some = frozenset(n for n, _ in on)
+        if some not in self.made:
+            tables = self.low.rel_tables(self.rel.types)
+            self.made[some] = steps(self.low, self.rel, lambda t: any(t is tables[n] for n in some))[0]
+        return self.made[some]
+
+
+class Same:
+    """The same edges at each step."""
+
+    def __init__(self, edges: DataFrame):
+        self.edges = edges
+
+    def next(self, k: int) -> DataFrame:
+        return self.edges
+
+
+def carried(low, part_var: str | None, x, kind: T.DataType) -> dict[str, T.DataType]:
+    """The lists that a search carries: relationships only where a variable or a path holds them, not for their number."""
+    wanted = any(n and n not in low.counted for n in (part_var, getattr(x, "var", None)))
+    return {"ids": T.ArrayType(LONG)} | ({"rels": kind} if wanted else {})
+
+
+def listed(names: dict[str, str], lists: dict[str, T.DataType]):
+    """The value of a list of relationships: their ids where only their number is asked."""
+    from ..plans.lower import Val
+
+    n = "rels" if "rels" in lists else "ids"
+    return Val(names[n], lists[n])
 
 
 def group_steps(low, group: Group) -> tuple[DataFrame, set, T.DataType, dict]:
@@ -55,25 +123,31 @@ def group_steps(low, group: Group) -> tuple[DataFrame, set, T.DataType, dict]:
     for k, x in enumerate(inner.items):
         if isinstance(x, RelPattern) and not x.var:
             inner.items[k] = replace(x, var=f" rel{k}")
+    low.counted, counted = set(), low.counted
     frame = low.match(Frame(None), [inner], group.where)
+    low.counted = counted
     names = [x.var for x in group.part.items if getattr(x, "var", None)]
     values = {n: frame.env[n].value() for n in names}
     rels = low.chain([frame.env[x.var].value() for x in inner.items if isinstance(x, RelPattern)])
     ids = F.transform(rels.col, lambda r: r.getField("id"))
+    values = {n: typed(F.lit(True), BOOL) if n in counted else v for n, v in values.items()}  # only how many there are is asked
     df = frame.df.select(F.col(frame.env[ends[0]].id).alias("near"), F.col(frame.env[ends[1]].id).alias("far"), ids.alias("ids"), rels.col.alias("rels"), *[F.array(v.col).alias(f"v_{n}") for n, v in values.items()])
     types = {t.type for t in low.graph.rels}
     return df, types, rels.type, {n: T.ArrayType(v.type) for n, v in values.items()}
 
 
-def walk(sources: DataFrame, edges: DataFrame, least: int, most: int | None, lists: dict[str, T.DataType]) -> DataFrame:
+def step(edges: Layers | Same, k: int, lists: dict) -> DataFrame:
+    return edges.next(k).select(F.col("near"), F.col("far").alias("to"), *[F.col(n).alias(f"n_{n}") for n in lists])
+
+
+def walk(sources: DataFrame, edges: Layers | Same, least: int, most: int | None, lists: dict[str, T.DataType]) -> DataFrame:
     """src, far and the lists of every trail of least..most steps from each source; no relationship twice in a trail."""
     level = sources.select("src", F.col("src").alias("far"), *[F.array().cast(t).alias(n) for n, t in lists.items()])
     out = level if least == 0 else None
     k, bound = 0, MOST if most is None else most
-    step = edges.select(F.col("near"), F.col("far").alias("to"), *[F.col(n).alias(f"n_{n}") for n in lists])
     while k < bound:
         k += 1
-        level = level.join(step, F.col("far") == F.col("near")).where(~F.arrays_overlap("ids", "n_ids"))
+        level = level.join(step(edges, k, lists), F.col("far") == F.col("near")).where(~F.arrays_overlap("ids", "n_ids"))
         level = level.select("src", F.col("to").alias("far"), *[F.concat(n, f"n_{n}").alias(n) for n in lists])
         if bound > UNROLL:
             level = cut(level)
@@ -86,16 +160,15 @@ def walk(sources: DataFrame, edges: DataFrame, least: int, most: int | None, lis
     return out if out is not None else level.limit(0)
 
 
-def shortest(pairs: DataFrame, edges: DataFrame, most: int | None, lists: dict, every: bool) -> DataFrame:
+def shortest(pairs: DataFrame, edges: Layers | Same, most: int | None, lists: dict, every: bool) -> DataFrame:
     """src, far and the lists of one shortest trail (or all) for each pair (src, dst)."""
     level = cut(pairs.select("src").distinct().select("src", F.col("src").alias("far"), *[F.array().cast(t).alias(n) for n, t in lists.items()]))
     visited = level.select("src", "far")
     left = cut(pairs.select("src", "dst").distinct())
-    step = edges.select(F.col("near"), F.col("far").alias("to"), *[F.col(n).alias(f"n_{n}") for n in lists])
     out, k = None, 0
     while k < (most if most is not None else 1 << 30):
         k += 1
-        level = level.join(step, F.col("far") == F.col("near")).select("src", F.col("to").alias("far"), *[F.concat(n, f"n_{n}").alias(n) for n in lists])
+        level = level.join(step(edges, k, lists), F.col("far") == F.col("near")).select("src", F.col("to").alias("far"), *[F.concat(n, f"n_{n}").alias(n) for n in lists])
         level = level.join(visited, ["src", "far"], "left_anti")
         if not every:
             level = level.groupBy("src", "far").agg(*[F.min_by(n, "ids").alias(n) for n in lists])
@@ -111,7 +184,7 @@ def shortest(pairs: DataFrame, edges: DataFrame, most: int | None, lists: dict,
     return cut(out)
 
 
-def shortest_to(sources: DataFrame, targets: DataFrame, edges: DataFrame, most: int | None, lists: dict, every: bool) -> DataFrame:
+def shortest_to(sources: DataFrame, targets: DataFrame, edges: Layers | Same, most: int | None, lists: dict, every: bool) -> DataFrame:
     """src, far and the lists of one shortest trail (or all) from each source to each other target (far) that it reaches.
 
     Ends are never crossed: a source is searched on until it has met as many targets as there are.
@@ -122,11 +195,10 @@ def shortest_to(sources: DataFrame, targets: DataFrame, edges: DataFrame, most:
     own = targets.select(F.col("far").alias("src"), F.lit(1).alias("own"))
     left = level.select("src").join(own, "src", "left").select("src", (F.lit(many) - F.coalesce("own", F.lit(0))).alias("left"))
     visited = level.select("src", "far")
-    step = edges.select(F.col("near"), F.col("far").alias("to"), *[F.col(n).alias(f"n_{n}") for n in lists])
     out, k = None, 0
     while k < (most if most is not None else 1 << 30):
         k += 1
-        level = level.join(step, F.col("far") == F.col("near")).select("src", F.col("to").alias("far"), *[F.concat(n, f"n_{n}").alias(n) for n in lists])
+        level = level.join(step(edges, k, lists), F.col("far") == F.col("near")).select("src", F.col("to").alias("far"), *[F.concat(n, f"n_{n}").alias(n) for n in lists])
         level = level.join(visited, ["src", "far"], "left_anti")
         if not every:
             level = level.groupBy("src", "far").agg(*[F.min_by(n, "ids").alias(n) for n in lists])
@@ -142,18 +214,18 @@ def shortest_to(sources: DataFrame, targets: DataFrame, edges: DataFrame, most:
     return cut(out)
 
 
-def expand(low, frame, at: str, rel: RelPattern, seen: list, path: bool):
+def expand(low, frame, at: str, rel: RelPattern, seen: list, path: str | None, near: NodePattern, node: NodePattern):
     """A variable-length relationship from the node at column ``at``: (frame, column of the far end, list of relationships)."""
-    from ..plans.lower import Val, fresh
+    from ..plans.lower import fresh
 
-    edges, types, kind = steps(low, rel)
-    lists = {"ids": T.ArrayType(LONG), "rels": kind}
+    edges = Layers(low, rel, near, node, rel.high)
+    types, lists = edges.types, carried(low, path, rel, edges.kind)
     sources = frame.df.select(F.col(at).alias("src")).distinct()
-    names = {n: fresh() for n in ("src", "far", "ids", "rels")}
+    names = {n: fresh() for n in ("src", "far", *lists)}
     found = walk(sources, edges, 1 if rel.low is None else rel.low, rel.high, lists).select(*[F.col(n).alias(c) for n, c in names.items()])
     frame = replace(frame, df=frame.df.join(found, F.col(at) == F.col(names["src"])))
     frame = low.unique(frame, names["ids"], types, True, seen)
-    bound = Val(names["rels"], kind)
+    bound = listed(names, lists)
     if rel.var:
         frame = low.bind(frame, rel.var, bound)
     return frame, names["far"], bound
@@ -172,17 +244,17 @@ def select_paths(low, frame, part: Part, seen: list, waiting: list):
     for near, x, node in zip(items[::2], items[1::2], items[2::2], strict=False):
         if isinstance(x, Group):
             edges, types, kind, values = group_steps(low, x)
-            lists = {"ids": T.ArrayType(LONG), "rels": kind} | {f"v_{n}": t for n, t in values.items()}
+            lists = carried(low, part.var, x, kind) | {f"v_{n}": t for n, t in values.items()}
             names = {n: fresh() for n in ("src", "far", *lists)}
-            found = walk(frame.df.select(F.col(at).alias("src")).distinct(), edges, x.low, x.high, lists).select(*[F.col(n).alias(c) for n, c in names.items()])
+            found = walk(frame.df.select(F.col(at).alias("src")).distinct(), Same(edges), x.low, x.high, lists).select(*[F.col(n).alias(c) for n, c in names.items()])
             frame = replace(frame, df=frame.df.join(found, F.col(at) == F.col(names["src"])))
             frame = low.unique(frame, names["ids"], types, True, seen)
             for n, t in values.items():
                 frame = low.bind(frame, n, Val(names[f"v_{n}"], t))
             at = names["far"]
-            trail.append(("many", Val(names["rels"], kind)))
+            trail.append(("many", listed(names, lists)))
         elif x.many:
-            frame, at, rels = expand(low, frame, at, x, seen, True)
+            frame, at, rels = expand(low, frame, at, x, seen, part.var, near, node)
             trail.append(("many", rels))
         else:
             frame, _, at, b, _ = low.hop(frame, at, x, seen, near, node)
@@ -241,11 +313,12 @@ def _selected(low, frame, part: Part, items: list, at: str, waiting: list):
     values: dict = {}
     if isinstance(x, Group):
         edges, _, kind, values = group_steps(low, x)
-        least, most = x.low, x.high
+        edges, least, most = Same(edges), x.low, x.high
     else:
-        edges, _, kind = steps(low, x)
         least, most = (x.low, x.high) if x.many else (1, 1)
-    lists = {"ids": T.ArrayType(LONG), "rels": kind} | {f"v_{n}": t for n, t in values.items()}
+        edges = Layers(low, x, items[0], node, most)
+        kind = edges.kind
+    lists = carried(low, part.var, x, kind) | {f"v_{n}": t for n, t in values.items()}
     names = {n: fresh() for n in ("src", "far", *lists)}
     kind_of, k = part.selector
     alone = lambda e: set(uses(e, {})) <= {node.var}
@@ -268,7 +341,7 @@ def _selected(low, frame, part: Part, items: list, at: str, waiting: list):
         frame, to = low.match_node(frame, node, names["far"], low.path_labels([x]))
         frame = low.settle(frame, waiting)
         frame = _ranked(low, frame, ("row", 1) if kind_of == "any" else part.selector, F.size(names["ids"]), [at, to])
-    rels = Val(names["rels"], kind)
+    rels = listed(names, lists)
     if getattr(x, "var", None):
         frame = low.bind(frame, x.var, rels)
     for n, t in values.items():

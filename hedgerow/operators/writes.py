@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..errors import ConstraintError, QueryError, QuerySyntaxError, QueryTypeError, Unsupported
 from ..functions.values import is_entity, is_list, is_map, is_node, is_null, lit, typed
 from ..graph import Graph, NodeTable, RelTable
-from ..plans.lower import Ent, Frame, Lowering, Val, fresh
+from ..plans.lower import Ent, Frame, Lowering, Val, counted, fresh
 from ..plans.parser import UPDATES, NodePattern, Part, RelPattern, parse
 from .checkpoints import cut
 
@@ -429,6 +429,8 @@ def execute(graph: Graph, text: str, params: dict | None = None) -> tuple[Graph,
     last = q.branches[-1][-1].kind
     if q.explain == "EXPLAIN":
         return graph, explained(writer, q), dict.fromkeys(COUNTERS, 0)
+    if not changes(q):
+        writer.counted, writer.unread = counted(q)
     frame = writer.query(q, Frame(None))
     if changes(q):
         writer.check()

@@ -119,6 +119,41 @@ def uses(ast, found: dict[str, set]) -> dict[str, set]:
     return found
 
 
+def counted(ast) -> tuple[set[str], set[str]]:
+    """(variables bound once of which a query asks at most how many they hold: size(), length(), count(); those that it doesn't read at all)."""
+    bound: list[str] = []
+    sized: set[str] = set()
+    whole: set[str] = set()
+
+    def walk(x):
+        if isinstance(x, tuple):
+            if x[:1] == ("call",) and x[1] in ("size", "length", "count") and len(x[2]) == 1 and x[2][0][:1] == ("var",) and not x[3]:
+                sized.add(x[2][0][1])
+            elif len(x) == 2 and x[0] == "var" and isinstance(x[1], str):
+                whole.add(x[1])
+            else:
+                if is_subquery(x) and isinstance(x[1], Part):
+                    whole.add(x[1].var)  # a path that is a value of its own
+                for y in x:
+                    walk(y)
+        elif isinstance(x, (list, dict)):
+            for y in x.values() if isinstance(x, dict) else x:
+                if isinstance(y, str):
+                    whole.add(y)
+                walk(y)
+        elif isinstance(x, (Query, Clause, Part, Group, NodePattern, RelPattern)):
+            if isinstance(x, Clause) and x.kind in ("with", "return") and x.data.get("star"):
+                whole.add("*")
+            if not isinstance(x, (Query, Clause, Group)) and x.var:
+                bound.append(x.var)
+            for y in vars(x).values():
+                walk(y)
+
+    walk(ast)
+    once = {n for n in bound if bound.count(n) == 1} - whole if "*" not in whole else set()
+    return once, once - sized
+
+
 def conjuncts(e):
     return [*conjuncts(e[1]), *conjuncts(e[2])] if e and e[0] == "and" else [e] if e else []
 
@@ -127,6 +162,8 @@ class Lowering:
     def __init__(self, graph: Graph, params: dict | None = None):
         self.graph, self.params, self.spark = graph, params or {}, graph.spark
         self.counters: dict[str, int] = {}
+        self.counted: set[str] = set()  # variables of which only the number is asked, see ``counted``
+        self.unread: set[str] = set()
         self.strict = False  # the result has to be computed before the statement is known to succeed
 
     # -- expressions
@@ -571,12 +608,13 @@ class Lowering:
         """Whether a label expression holds names that only rows tell."""
         return isinstance(expr, tuple) and (expr[:1] == ("dynamic",) and expr[1][0] not in ("param", "lit") or any(self.depends(x) for x in expr))
 
-    def scan_rels(self, types, keep=None) -> tuple[DataFrame, Ent, list]:
+    def scan_rels(self, types, keep=None, every: bool = False) -> tuple[DataFrame, Ent, list]:
+        """Relationships of the tables that ``keep`` admits; ``every``: with the properties of all tables of the types."""
         tables = [t for t in self.rel_tables(types) if keep is None or keep(t)]
-        kinds = _common([t.df.schema for t in tables], {"id", "start", "end"})
+        kinds = _common([t.df.schema for t in (self.rel_tables(types) if every else tables)], {"id", "start", "end"})
         ent = Ent("rel", fresh(), {k: fresh() for k in ("type", "start", "end")}, {n: (fresh(), t) for n, t in kinds.items()})
         if not tables:
-            df = self.spark.createDataFrame([], "id long, type string, start long, end long")
+            df = union([self.spark.createDataFrame([], "id long, type string, start long, end long")], kinds, ["id", "type", "start", "end"])
         else:
             df = union([t.df.withColumn("__type", F.lit(t.type)) for t in tables], kinds, ["id", "__type", "start", "end"]).withColumnRenamed("__type", "type")
         cols = [F.col(k).alias(ent.fixed[k]) for k in ("type", "start", "end")]
@@ -690,7 +728,7 @@ class Lowering:
             if rel.many:
                 from ..operators.paths import expand
 
-                frame, at, rels = expand(self, frame, at, rel, seen, part.var is not None)
+                frame, at, rels = expand(self, frame, at, rel, seen, part.var, near, node)
                 trail += [("many", rels)]
                 implied = self.path_labels([rel])
             else:
@@ -818,6 +856,11 @@ class Lowering:
 
     def bind_path(self, frame: Frame, var: str, trail: list, labels: set | None = None) -> Frame:
         """A path value: node ids and relationships, and the nodes by a join with those of the labels that the path can hold."""
+        if var in self.counted or var == " path":  # only its length is asked
+            n = sum((F.lit(1) if isinstance(x, Ent) else F.size(x[1].col) for x in trail[1::2]), F.lit(0))
+            name, flags = fresh(), T.ArrayType(BOOL)
+            df = frame.df.select("*", F.when(F.col(trail[0]).isNotNull(), F.struct(F.lit(None).cast(flags).alias("nodes"), F.array_repeat(F.lit(True), n).alias("relationships"))).alias(name))
+            return self.bind(replace(frame, df=df), var, Val(name, T.StructType([T.StructField("nodes", flags), T.StructField("relationships", flags)])))
         whole = self.chain([x.value() if isinstance(x, Ent) else typed(F.col(x[1].col), x[1].type) for x in trail[1::2]])
         chain, kind, start = whole.col, whole.type.elementType, trail[0]
         follow = F.aggregate(chain, F.array(F.col(start)), lambda acc, r: F.array_append(acc, F.when(r.getField("start") == F.element_at(acc, -1), r.getField("end")).otherwise(r.getField("start"))))
@@ -1235,7 +1278,9 @@ class Lowering:
 def run(graph: Graph, text: str, params: dict | None = None) -> DataFrame:
     """Plan a read query; the result's columns are named as the query says."""
     q = parse(text)
-    frame = Lowering(graph, params).query(q, Frame(None))
+    low = Lowering(graph, params)
+    low.counted, low.unread = counted(q)
+    frame = low.query(q, Frame(None))
     if q.branches[-1][-1].kind not in ("return", "show", "procedure", "finish", "when"):
         raise QuerySyntaxError("InvalidClauseComposition", "a read query ends with RETURN")
     out = frame.df.select(*[b.value().col.alias(n) for n, b in frame.env.items() if not n.startswith(" ")]) if frame.env else frame.df.select()

@@ -4,11 +4,13 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from hedgerow.database import Database
 from hedgerow.errors import ConstraintError, EntityNotFound, ParameterMissing, ProcedureError, QueryError, QuerySyntaxError, QueryTypeError, Unsupported
 from hedgerow.plans.parser import parse
 from hedgerow.queries import CATALOG, ORACLE_SQL, QUERIES
+from hedgerow.sources.tables import star_graph
 
 DATA = "/root/testdata/sf0.001"
 
@@ -317,3 +319,35 @@ def test_result_texts(people):
     lines = list(results.toon(people.run("MATCH (a:P) RETURN a, a.age > 35 AS old, 'x, y' AS t ORDER BY a.name").df, {"nodes_created": 2}))
     assert lines[0].startswith("rows[3]{a._id,a._labels,a.") and lines[1].endswith(',false,"x, y"') and lines[-1] == "  nodesCreated: 2"
     assert sorted(json.loads(x.value)["n"] for x in results.jsonl(people.run("MATCH (a:P) RETURN a.name AS n, null AS z").df).collect()) == ["Alice", "Bob", "Carol"]
+
+
+def unreadable(graph, *types):
+    """The graph with relationships of these types that can't be read."""
+    for t in graph.rels:
+        if t.type in types:
+            t.df = t.df.withColumn("start", F.raise_error(F.lit("read")).cast("long"))
+    return graph
+
+
+def test_a_search_reads_only_types_that_lead_on_to_its_end(spark):
+    db = Database(spark, unreadable(star_graph(spark, DATA), "PLACED", "CONTAINS", "SUPPLIED_BY", "NEXT_EVENT"))
+    found = rows(db, CATALOG["shortest_path_all"][0])
+    want = duckdb.sql(ORACLE_SQL["shortest_path_all"].replace("customer", f"'{DATA}/customer.parquet'").replace("nation ON", f"'{DATA}/nation.parquet' ON").replace("region ON", f"'{DATA}/region.parquet' ON")).fetchall()
+    assert sorted(found) == sorted(want)
+    assert len(rows(db, "MATCH (c:Customer)-[*1..2]->(r:Region) RETURN c.custkey")) == len(found)
+    graph = star_graph(spark, DATA)
+    for t in graph.rels:  # unknown ends: any type may lead on
+        t.start_label = t.end_label = None
+    assert sorted(rows(Database(spark, graph), "MATCH p = shortestPath((c:Customer)-[*..2]->(r:Region)) RETURN c.custkey, r.name, length(p)")) == sorted(want)
+
+
+def test_only_the_number_of_a_path_or_list_is_asked(people):
+    text = "MATCH p = (a:P {name: 'Alice'})-[r:KNOWS*1..2]->(b) RETURN b.name, length(p), size(r)%s ORDER BY b.name"
+    assert rows(people, text % "") == [("Bob", 1, 1), ("Carol", 2, 2)]
+    assert rows(people, text % ", [x IN r | x.since]") == [("Bob", 1, 1, [2001]), ("Carol", 2, 2, [2001, None])]
+    assert rows(people, text % ", [x IN nodes(p) | x.name]") == [("Bob", 1, 1, ["Alice", "Bob"]), ("Carol", 2, 2, ["Alice", "Bob", "Carol"])]
+    text = "MATCH (a:P {name: 'Alice'})((x)-[r:KNOWS]->(y)){1,2}(b) RETURN b.name, size(x), size(r)%s ORDER BY b.name"
+    assert rows(people, text % "") == [("Bob", 1, 1), ("Carol", 2, 2)]
+    assert rows(people, text % ", [n IN y | n.name]") == [("Bob", 1, 1, ["Bob"]), ("Carol", 2, 2, ["Bob", "Carol"])]
+    assert rows(people, "MATCH p = (a)-[:KNOWS*]->(b) RETURN count(p), sum(length(p))") == [(3, 4)]
+    assert rows(people, "MATCH p = (a)-[:KNOWS*]->(b) CALL (p) { RETURN length(p) AS l } RETURN sum(l)") == [(4,)]
