@@ -39,7 +39,7 @@ def steps(low, rel: RelPattern, keep=None) -> tuple[DataFrame, set, T.DataType]:
         out = back
     elif rel.direction == "-":
         out = out.unionAll(back.where("near <> far"))
-    return out, {t.type for t in low.rel_tables(rel.types)}, T.ArrayType(v.type)
+    return out, low.kinds(low.rel_tables(rel.types)), T.ArrayType(v.type)
 
 
 class Layers:
@@ -132,7 +132,7 @@ def group_steps(low, group: Group) -> tuple[DataFrame, set, T.DataType, dict]:
     ids = F.transform(rels.col, lambda r: r.getField("id"))
     values = {n: typed(F.lit(True), BOOL) if n in counted else v for n, v in values.items()}  # only how many there are is asked
     df = frame.df.select(F.col(frame.env[ends[0]].id).alias("near"), F.col(frame.env[ends[1]].id).alias("far"), ids.alias("ids"), rels.col.alias("rels"), *[F.array(v.col).alias(f"v_{n}") for n, v in values.items()])
-    types = {t.type for t in low.graph.rels}
+    types = low.kinds(low.graph.rels)
     return df, types, rels.type, {n: T.ArrayType(v.type) for n, v in values.items()}
 
 

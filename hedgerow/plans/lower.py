@@ -64,6 +64,7 @@ class Frame:
     df: DataFrame | None
     env: dict[str, Val | Ent] = field(default_factory=dict)
     carry: list[str] = field(default_factory=list)
+    weight: str | None = None  # a column of how many equal rows a row stands for, see ``fold``
     order: str | None = None  # a column that ascends in the order that the last WITH gave the rows
 
     def columns(self):
@@ -164,6 +165,7 @@ class Lowering:
         self.counters: dict[str, int] = {}
         self.counted: set[str] = set()  # variables of which only the number is asked, see ``counted``
         self.unread: set[str] = set()
+        self.after: dict | None = None  # of the clause after a MATCH, if it only counts the rows
         self.strict = False  # the result has to be computed before the statement is known to succeed
 
     # -- expressions
@@ -642,12 +644,57 @@ class Lowering:
         names: set[str] = set()
         every = conjuncts(where)
         waiting = [c for c in every if not self.holds_subquery(c)]
-        for part in parts:
+        after, self.after = self.after, None  # not for subqueries
+        if after is not None:
+            parts = [x for p in parts for x in self.meetings(p)]
+        for k, part in enumerate(parts):
             frame = self.match_part(frame, part, seen, names, waiting)
+            if after is not None and k + 1 < len(parts):
+                frame = self.fold(frame, parts[k + 1 :], [after, waiting, [c for c in every if self.holds_subquery(c)]], seen)
         for c in [*waiting, *[c for c in every if self.holds_subquery(c)]]:
             frame = self.filter(frame, c)
         return frame
 
+    def meetings(self, part: Part) -> list[Part]:
+        """A plain chain, split at nodes that two relationships point to: many on one side may meet many on the other."""
+        if part.var or part.selector or any(isinstance(x, Group) for x in part.items):
+            return [part]
+        out, items = [], [part.items[0]]
+        for rel, node, then in zip(part.items[1::2], part.items[2::2], [*part.items[3::2], None], strict=False):
+            if then is not None and not rel.many and not then.many and (rel.direction, then.direction) == (">", "<"):
+                node = replace(node, var=node.var or f" {fresh()}")
+                out.append(replace(part, items=[*items, rel, node]))
+                items = [NodePattern(node.var, node.labels)]
+            else:
+                items += [rel, node]
+        return [*out, replace(part, items=items)]
+
+    def fold(self, frame: Frame, parts: list[Part], later: list, seen: list) -> Frame:
+        """Rows that are equal in all that the rest of the statement reads become one with their number, before the next part multiplies them."""
+        known: set = set()
+        for p in parts:
+            for near, x, node in zip([None, *p.items], p.items, [*p.items[1:], None], strict=False):
+                if isinstance(x, RelPattern):
+                    known |= self.kinds([t for t in self.rel_tables(x.types) if x.many or self.fitting(x, near, node)(t)])
+                elif isinstance(x, Group):
+                    known |= self.kinds(self.graph.rels)
+        if any(kinds & known for _, kinds, _ in seen):  # their ids are still compared
+            return frame
+        read = uses([*later, *parts], {})
+        env = {n: b for n, b in frame.env.items() if n in read or any(n == p.var for p in parts)}
+        for n, b in env.items():
+            if isinstance(b, Ent) and None not in read.get(n, {None}):
+                env[n] = replace(b, props={p: c for p, c in b.props.items() if p in read[n]})
+        if len(env) == len(frame.env):
+            return frame
+        cols = list(dict.fromkeys([*frame.carry, *[c for b in env.values() for c in b.columns()]]))
+        if any(frame.df.schema[c].dataType.typeName() in ("map", "variant") for c in cols):
+            return frame
+        name = fresh()
+        n = F.sum(frame.weight) if frame.weight else F.count(F.lit(1))
+        df = frame.df.groupBy(*cols).agg(n.alias(name)) if cols else frame.df.agg(F.coalesce(n, F.lit(0)).alias(name)).where(F.col(name) > 0)
+        return Frame(df, env, frame.carry, name)
+
     def holds_subquery(self, e) -> bool:
         return is_subquery(e) or isinstance(e, tuple) and any(self.holds_subquery(x) for x in e)
 
@@ -769,14 +816,22 @@ class Lowering:
             raise Unsupported("AdjacentNodes", "two named nodes side by side")
         return NodePattern(a.var or b.var, both(a.labels, b.labels, lambda x, y: ("and", x, y)), both(a.props, b.props, lambda x, y: ("map", x[1] + y[1])), both(a.where, b.where, lambda x, y: ("and", x, y)))
 
+    def kinds(self, tables: list) -> set:
+        """What tells tables of relationships apart; a relationship lies in one table."""
+        return {(t.type, t.start_label, t.end_label) for t in tables}
+
+    def fitting(self, rel: RelPattern, first: NodePattern | None, node: NodePattern | None):
+        """Whether a table's ends can be the nodes at either side of a relationship."""
+        forth = lambda t: self.end_fits(t.start_label, first) and self.end_fits(t.end_label, node)
+        back = lambda t: self.end_fits(t.end_label, first) and self.end_fits(t.start_label, node)
+        return {">": forth, "<": back}.get(rel.direction, lambda t: forth(t) or back(t))
+
     def hop(self, frame: Frame, at: str | None, rel: RelPattern, seen: list, first: NodePattern, node: NodePattern):
         """One relationship from the node at column ``at`` (None: any node): (frame, columns of both ends, binding, labels of the other end).
 
         Types whose ends can't have the labels of the nodes at either side are not read.
         """
-        forth = lambda t: self.end_fits(t.start_label, first) and self.end_fits(t.end_label, node)
-        back = lambda t: self.end_fits(t.end_label, first) and self.end_fits(t.start_label, node)
-        df, b, tables = self.scan_rels(rel.types, {">": forth, "<": back}.get(rel.direction, lambda t: forth(t) or back(t)))
+        df, b, tables = self.scan_rels(rel.types, self.fitting(rel, first, node))
         near, far = (b.fixed["start"], b.fixed["end"]) if rel.direction != "<" else (b.fixed["end"], b.fixed["start"])
         implied = {(t.end_label if rel.direction == ">" else t.start_label) for t in tables}
         if rel.direction == "-":
@@ -793,7 +848,7 @@ class Lowering:
             on = F.col(near) == F.col(at)
         if at is not None:
             frame = replace(frame, df=frame.df.join(df, on))
-        frame = self.unique(frame, b.id, {t.type for t in tables}, False, seen)
+        frame = self.unique(frame, b.id, self.kinds(tables), False, seen)
         if rel.var not in frame.env:
             frame = self.bind(frame, rel.var, b)
         frame = self.props_filter(frame, b, rel.props, rel.where)
@@ -918,10 +973,28 @@ class Lowering:
         return Frame(df, {n: Val(c, types[n]) for n, c in out.items()}, carry)
 
     def branch(self, clauses: list[Clause], frame: Frame) -> Frame:
-        for c in clauses:
+        for c, then in zip(clauses, [*clauses[1:], None], strict=True):
+            self.after = then.data if c.kind == "match" and not c.data["optional"] and then is not None and self.counts(then) else None
             frame = getattr(self, f"do_{c.kind}", self.unknown)(frame, **c.data)
         return frame
 
+    def counts(self, clause: Clause) -> bool:
+        """Whether a clause only groups rows, with aggregates that need no more of equal rows than their number."""
+        if clause.kind not in ("with", "return") or clause.data["star"]:
+            return False
+        found: list = []
+
+        def walk(e):
+            if isinstance(e, tuple):
+                if e[:1] == ("call",) and e[1] in S.AGGREGATES:
+                    found.append(e[1] in ("min", "max") or e[1] == "count")
+                for x in e:
+                    walk(x)
+
+        items = [e for e, _ in clause.data["items"]]
+        walk(tuple(items))
+        return bool(found) and all(found) and not any(self.holds_subquery(e) for e in [*items, *[e for e, _ in clause.data["order"]]])
+
     def unknown(self, frame, **_):
         raise Unsupported("Clause", "this clause")
 
@@ -1086,7 +1159,7 @@ class Lowering:
                 if any(self.has_aggregate(a) for a in e[2]):
                     raise QuerySyntaxError("NestedAggregation", e[1])
                 if e not in aggs:
-                    c, t = self.aggregate_column(e, frame.env)
+                    c, t = self.aggregate_column(e, frame.env, frame.weight)
                     aggs[e] = (fresh(), t, c)
                 return ("agg", e)
             if isinstance(e, tuple):
@@ -1123,15 +1196,16 @@ class Lowering:
         out = {n: out[n] for n in names}
         return Frame(df.select("*", *made), out, frame.carry), out, {}
 
-    def aggregate_column(self, e, env):
+    def aggregate_column(self, e, env, weight: str | None = None):
         _, name, args, distinct = e
+        number = lambda c: F.count(c) if weight is None else F.coalesce(F.sum(F.when(c.isNotNull(), F.col(weight))), F.lit(0).cast("long"))
         if name == "count" and args == (("star",),):
-            return F.count(F.lit(1)), LONG
+            return number(F.lit(1)), LONG
         v = self.compile(args[0], env)
         c = v.col
         if name == "count":
             c = F.col(env[args[0][1]].id) if args[0][0] == "var" and isinstance(env.get(args[0][1]), Ent) else c
-            return (F.count_distinct(c) if distinct else F.count(c)), LONG
+            return (F.count_distinct(c) if distinct else number(c)), LONG
         if name == "collect":
             t = T.ArrayType(STRING if is_null(v.type) else v.type)
             if self.order and not distinct and not is_null(v.type):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hedgerow.database import Database
 from hedgerow.errors import ConstraintError, EntityNotFound, ParameterMissing, ProcedureError, QueryError, QuerySyntaxError, QueryTypeError, Unsupported
+from hedgerow.plans.lower import run
 from hedgerow.plans.parser import parse
 from hedgerow.queries import CATALOG, ORACLE_SQL, QUERIES
 from hedgerow.sources.tables import star_graph
@@ -351,3 +352,25 @@ def test_only_the_number_of_a_path_or_list_is_asked(people):
     assert rows(people, text % ", [n IN y | n.name]") == [("Bob", 1, 1, ["Bob"]), ("Carol", 2, 2, ["Bob", "Carol"])]
     assert rows(people, "MATCH p = (a)-[:KNOWS*]->(b) RETURN count(p), sum(length(p))") == [(3, 4)]
     assert rows(people, "MATCH p = (a)-[:KNOWS*]->(b) CALL (p) { RETURN length(p) AS l } RETURN sum(l)") == [(4,)]
+
+
+def plan(spark, text):
+    return run(star_graph(spark, DATA), text)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_that_only_count_are_folded_before_a_join_multiplies_them(spark, people):
+    db = Database(spark)
+    db.run("UNWIND range(1, 6) AS k CREATE (:H {k: k})")
+    db.run("MATCH (h:H) WHERE h.k < 3 UNWIND range(1, 4) AS i CREATE (:A {i: i})-[:TO {w: i}]->(h), (:B {i: i % 2})-[:AT]->(h)")
+    text = "MATCH (a:A)-[r:TO]->(h), (b:B)-[:AT]->(h) %sRETURN h.k AS k, %s ORDER BY k"
+    assert rows(db, text % ("", "count(*)")) == [(1, 16), (2, 16)]
+    assert rows(db, text % ("", "count(a), count(b.x), count(DISTINCT b.i), min(r.w), max(r.w)")) == [(1, 16, 0, 2, 1, 4), (2, 16, 0, 2, 1, 4)]
+    assert rows(db, text % ("WHERE a.i > b.i ", "count(*)")) == [(1, 14), (2, 14)]
+    assert rows(db, text % ("", "sum(b.i), count(*)")) == [(1, 8, 16), (2, 8, 16)]
+    assert rows(db, "MATCH (a:A)-[:TO]->(h)<-[:AT]-(b:B), (c:A)-[s:TO]->(h) RETURN h.k AS k, count(*) ORDER BY k") == [(1, 48), (2, 48)]
+    assert rows(db, "MATCH (a:A)-[:TO]->(h)<-[:TO]-(b:A) RETURN count(*)") == [(24,)]
+    assert rows(db, "MATCH (a:A), (b:B), (h:H) RETURN count(*)") == [(384,)]
+    assert rows(db, "MATCH (a:Nobody), (b:B) RETURN count(*)") == [(0,)]
+    for shared in (CATALOG["shared_variable"][0], "MATCH (c:Customer)-[:IN_NATION]->(n)<-[:IN_NATION]-(s:Supplier) RETURN n.name AS name, count(*) AS pairs"):
+        assert plan(spark, shared).count("Aggregate [") == 2
+        assert sorted(run(star_graph(spark, DATA), shared).collect()) == sorted(QUERIES["shared_variable"](spark, DATA).collect())
