@@ -305,6 +305,21 @@ def _ranked(low, frame, selector, size, ends):
     return replace(frame, df=frame.df.withColumn(rank, f.over(w)).where(F.col(rank) <= max(1, k)).drop(rank))
 
 
+def _chosen(found: DataFrame, selector, lists: dict, single: bool) -> DataFrame:
+    """The paths of each pair (src, far) that a selector asks for; ``single``: all are of one relationship."""
+    kind, k = selector
+    if kind == "all":
+        return found
+    if k <= 1 and kind not in ("groups", "all shortest"):
+        if single and len(lists) == 1:  # a plain number aggregates by hash
+            return found.groupBy("src", "far").agg(F.min(F.col("ids")[0]).alias("ids")).select("src", "far", F.array("ids").alias("ids"))
+        first = F.struct(F.size("ids"), "ids")
+        return found.groupBy("src", "far").agg(*[F.min_by(n, first).alias(n) for n in lists])
+    w = Window.partitionBy("src", "far").orderBy(F.size("ids"))
+    f = F.dense_rank() if kind in ("groups", "all shortest") else F.row_number()
+    return found.withColumn("rank", f.over(w)).where(F.col("rank") <= max(1, k)).drop("rank")
+
+
 def _selected(low, frame, part: Part, items: list, at: str, waiting: list):
     """A selector over one relationship or group between two nodes."""
     from ..plans.lower import Frame, Val, fresh, uses
@@ -336,11 +351,19 @@ def _selected(low, frame, part: Part, items: list, at: str, waiting: list):
         found = shortest(pairs, edges, most, lists, kind_of != "any").select(*[F.col(n).alias(c) for n, c in names.items()])
         frame = replace(frame, df=frame.df.join(found, (F.col(at) == F.col(names["src"])) & (F.col(to) == F.col(names["far"]))))
     else:
-        found = walk(frame.df.select(F.col(at).alias("src")).distinct(), edges, least, most, lists).select(*[F.col(n).alias(c) for n, c in names.items()])
+        found = walk(frame.df.select(F.col(at).alias("src")).distinct(), edges, least, most, lists)
+        if low.graph.selector_limit is None:  # chosen before anything is joined: conditions on the ends keep or drop all paths of a pair
+            found = _chosen(found, part.selector if kind_of != "any" else ("row", 1), lists, most == 1 and not isinstance(x, Group))
+        found = found.select(*[F.col(n).alias(c) for n, c in names.items()])
         frame = replace(frame, df=frame.df.join(found, F.col(at) == F.col(names["src"])))
-        frame, to = low.match_node(frame, node, names["far"], low.path_labels([x]))
+        last, implied = (replace(node, var=None) if node.var in low.unread else node), low.path_labels([x])
+        if isinstance(x, RelPattern) and x.low != 0 and x.direction != "-":
+            ends = {t.end_label if x.direction == ">" else t.start_label for t in low.rel_tables(x.types)}
+            implied = None if None in ends else ends
+        frame, to = low.match_node(frame, last, names["far"], implied)
         frame = low.settle(frame, waiting)
-        frame = _ranked(low, frame, ("row", 1) if kind_of == "any" else part.selector, F.size(names["ids"]), [at, to])
+        if low.graph.selector_limit is not None:
+            frame = _ranked(low, frame, ("row", 1) if kind_of == "any" else part.selector, F.size(names["ids"]), [at, to])
     rels = listed(names, lists)
     if getattr(x, "var", None):
         frame = low.bind(frame, x.var, rels)

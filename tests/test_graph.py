@@ -374,3 +374,13 @@ def test_rows_that_only_count_are_folded_before_a_join_multiplies_them(spark, pe
     for shared in (CATALOG["shared_variable"][0], "MATCH (c:Customer)-[:IN_NATION]->(n)<-[:IN_NATION]-(s:Supplier) RETURN n.name AS name, count(*) AS pairs"):
         assert plan(spark, shared).count("Aggregate [") == 2
         assert sorted(run(star_graph(spark, DATA), shared).collect()) == sorted(QUERIES["shared_variable"](spark, DATA).collect())
+
+
+def test_any_path_is_chosen_among_numbers(spark, people):
+    found = plan(spark, CATALOG["any_paths"][0])
+    assert "Window" not in found and found.count("l_extendedprice") == 1  # the table's own list of columns
+    db = Database(spark)
+    db.run("CREATE (a:A {n: 1})-[:R {w: 1}]->(b:B {n: 2}), (a)-[:R {w: 2}]->(b), (a)-[:R]->(:B {n: 3}), (a)-[:R]->(:C {n: 4})")
+    assert rows(db, "MATCH p = ANY 1 (x:A)-[:R]->(y:B) RETURN x.n, count(p)") == [(1, 2)]
+    assert rows(db, "MATCH p = ANY 2 (x:A)-[:R]->(y:B) RETURN x.n, count(p)") == [(1, 3)]
+    assert rows(db, "MATCH ANY 1 (x:A)-[r:R]->(y:B) RETURN y.n, size(r), r[0].w IS NULL ORDER BY y.n") == [(2, 1, False), (3, 1, True)]
