@@ -113,7 +113,13 @@ def group_steps(low, group: Group) -> tuple[DataFrame, set, T.DataType, dict]:
     """One step through a group: its pattern matched once; its variables become members of lists."""
     from ..plans.lower import Frame
 
-    seen: list = []
+    first, *rest = group.part.items
+    idle = lambda x: (x.var is None or x.var in low.counted) and x.props is None and x.where is None
+    if len(rest) == 2 and isinstance(first, NodePattern) and isinstance(rest[0], RelPattern) and not rest[0].many and isinstance(rest[1], NodePattern) and group.where is None and all(idle(x) and x.labels is None for x in (first, rest[1])):
+        if rest[0].var is None or rest[0].var in low.counted:  # nothing is asked of its nodes but their number
+            df, types, kind = steps(low, rest[0])
+            names = [x.var for x in group.part.items if x.var]
+            return df.select("*", *[F.array(F.lit(True)).alias(f"v_{n}") for n in names]), types, kind, {n: T.ArrayType(BOOL) for n in names}
     inner = replace(group.part, items=list(group.part.items), var=None)
     ends = []
     for k in (0, -1):

@@ -384,3 +384,8 @@ def test_any_path_is_chosen_among_numbers(spark, people):
     assert rows(db, "MATCH p = ANY 1 (x:A)-[:R]->(y:B) RETURN x.n, count(p)") == [(1, 2)]
     assert rows(db, "MATCH p = ANY 2 (x:A)-[:R]->(y:B) RETURN x.n, count(p)") == [(1, 3)]
     assert rows(db, "MATCH ANY 1 (x:A)-[r:R]->(y:B) RETURN y.n, size(r), r[0].w IS NULL ORDER BY y.n") == [(2, 1, False), (3, 1, True)]
+
+
+def test_a_group_without_conditions_joins_no_nodes(spark):
+    joins = [plan(spark, f"MATCH (e:Event){x}(f) RETURN e.event_id AS e, f.event_id AS f{k}").count("Join ") for x, k in (("((a)-[:NEXT_EVENT]->(b)){2}", ", size(a) AS k"), ("-[:NEXT_EVENT*2..2]->", ""))]
+    assert joins[0] == joins[1]
