@@ -389,3 +389,7 @@ def test_any_path_is_chosen_among_numbers(spark, people):
 def test_a_group_without_conditions_joins_no_nodes(spark):
     joins = [plan(spark, f"MATCH (e:Event){x}(f) RETURN e.event_id AS e, f.event_id AS f{k}").count("Join ") for x, k in (("((a)-[:NEXT_EVENT]->(b)){2}", ", size(a) AS k"), ("-[:NEXT_EVENT*2..2]->", ""))]
     assert joins[0] == joins[1]
+
+
+def test_the_size_of_a_list_needs_no_relationships(spark):
+    assert "NEXT_EVENT" not in plan(spark, CATALOG["quantified_relationship"][0])
