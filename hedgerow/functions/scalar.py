@@ -636,7 +636,14 @@ def vector_distance(a: Value, b: Value, name: str) -> Value:
     return apply(forms[name.upper()], a, b, kind=DOUBLE)
 
 
-def cosine(a: Value, b: Value) -> Value:
+def square(v: Value) -> Value:
+    return apply(lambda x: _dot(x, x), v, kind=DOUBLE)
+
+
+def cosine(a: Value, b: Value, aa: Value | None = None, bb: Value | None = None) -> Value:
+    """``aa`` and ``bb``: the squares of both vectors, if they are at hand."""
+    if aa is not None:
+        return apply(lambda x, y, p, q: (1 + _dot(x, y) / F.sqrt(p * q)) / 2, a, b, aa, bb, kind=DOUBLE)
     return apply(lambda x, y: (1 + _dot(x, y) / F.sqrt(_dot(x, x) * _dot(y, y))) / 2, a, b, kind=DOUBLE)
 
 

@@ -47,9 +47,10 @@ class Ent:
     fixed: dict[str, str]  # labels; or type, start, end
     props: dict[str, tuple[str, T.DataType]]
     deleted: bool = False  # by this statement
+    squares: dict[str, str] = field(default_factory=dict)  # vector property -> column of its square
 
     def columns(self):
-        return [self.id, *self.fixed.values(), *[c for c, _ in self.props.values()]]
+        return [self.id, *self.fixed.values(), *[c for c, _ in self.props.values()], *self.squares.values()]
 
     def value(self) -> Value:
         props = struct_of({n: typed(F.col(c), t) for n, (c, t) in self.props.items()})
@@ -155,6 +156,15 @@ def counted(ast) -> tuple[set[str], set[str]]:
     return once, once - sized
 
 
+def compared(ast) -> set[tuple[str, str]]:
+    """(variable, property) of the vectors whose cosine a query asks for."""
+    out: set = set()
+    if isinstance(ast, tuple) and ast[:2] == ("call", "vector.similarity.cosine"):
+        out |= {(e[1][1], e[2]) for e in ast[2] if e[:1] == ("prop",) and e[1][:1] == ("var",)}
+    inner = ast.values() if isinstance(ast, dict) else ast if isinstance(ast, (tuple, list)) else vars(ast).values() if isinstance(ast, (Query, Clause, Part, Group, NodePattern, RelPattern)) else ()
+    return out.union(*[compared(x) for x in inner])
+
+
 def conjuncts(e):
     return [*conjuncts(e[1]), *conjuncts(e[2])] if e and e[0] == "and" else [e] if e else []
 
@@ -165,6 +175,7 @@ class Lowering:
         self.counters: dict[str, int] = {}
         self.counted: set[str] = set()  # variables of which only the number is asked, see ``counted``
         self.unread: set[str] = set()
+        self.vectors: set[tuple[str, str]] = set()  # see ``compared``
         self.after: dict | None = None  # of the clause after a MATCH, if it only counts the rows
         self.strict = False  # the result has to be computed before the statement is known to succeed
 
@@ -382,6 +393,10 @@ class Lowering:
             raise QuerySyntaxError("UnknownFunction", name)
         if values and is_null(values[0].type) and name not in ("coalesce", "isempty", "valuetype", "nullif"):
             return lit(None)
+        if name == "vector.similarity.cosine" and len(args) == 2:
+            own = [env.get(e[1][1]) if e[:1] == ("prop",) and e[1][:1] == ("var",) and e[1][1] not in local else None for e in args]
+            if all(isinstance(x, Ent) and not x.deleted and e[2] in x.squares for x, e in zip(own, args, strict=True)):
+                values = [*values, *[typed(F.col(x.squares[e[2]]), DOUBLE) for x, e in zip(own, args, strict=True)]]
         try:
             return f(*values)
         except TypeError as x:
@@ -745,6 +760,11 @@ class Lowering:
         if at and n.var is None and n.props is None and n.where is None and (n.labels is None or (implied and all(holds({x}, self.static(n.labels)) for x in implied) and n.labels[0] != "not")):
             return frame, at  # nothing is asked of the node that its id doesn't tell
         df, b = self.scan_nodes(n.labels, implied)
+        for p in sorted(p for v, p in self.vectors if v == n.var and p in b.props):
+            kind = b.props[p][1]
+            if is_list(kind) and is_num(kind.elementType):  # once for a node, not for each pair
+                b.squares[p] = fresh()
+                df = df.withColumn(b.squares[p], S.square(typed(F.col(b.props[p][0]), kind)).col)
         df = self.cross(frame, df) if not at else frame.df.join(df, F.col(at) == F.col(b.id))
         frame = self.bind(replace(frame, df=df), n.var, b)
         return self.props_filter(frame, b, n.props, n.where), b.id
@@ -1353,7 +1373,7 @@ def run(graph: Graph, text: str, params: dict | None = None) -> DataFrame:
     """Plan a read query; the result's columns are named as the query says."""
     q = parse(text)
     low = Lowering(graph, params)
-    low.counted, low.unread = counted(q)
+    (low.counted, low.unread), low.vectors = counted(q), compared(q)
     frame = low.query(q, Frame(None))
     if q.branches[-1][-1].kind not in ("return", "show", "procedure", "finish", "when"):
         raise QuerySyntaxError("InvalidClauseComposition", "a read query ends with RETURN")

@@ -1,6 +1,7 @@
 """Queries on a small graph, updates, errors, and the registered queries against SQL."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -393,3 +394,8 @@ def test_a_group_without_conditions_joins_no_nodes(spark):
 
 def test_the_size_of_a_list_needs_no_relationships(spark):
     assert "NEXT_EVENT" not in plan(spark, CATALOG["quantified_relationship"][0])
+
+
+def test_squares_of_vectors_are_not_taken_for_each_pair(spark):
+    above = plan(spark, CATALOG["vector_similarity_all"][0]).split("Join ")[0]
+    assert "zip_with(" in above and not re.search(r"zip_with\((c\d+#\d+), \1,", above)
